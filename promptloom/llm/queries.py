@@ -1,9 +1,10 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 
-from . import dedup, mixing, sharding
+from . import dedup, mixing, neardup, sharding
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_jaccard_join": neardup.op4_jaccard_join,
     "op5_shard": sharding.op5_shard,
     "op6_exact_dedup": dedup.op6_exact_dedup,
 }
