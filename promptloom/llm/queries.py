@@ -1,12 +1,13 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 
-from . import dedup, mixing, neardup, quality, sharding
+from . import dedup, mixing, neardup, packing, quality, sharding
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_jaccard_join": neardup.op4_jaccard_join,
     "op5_shard": sharding.op5_shard,
     "op6_exact_dedup": dedup.op6_exact_dedup,
+    "op9_pack": packing.op9_pack,
     "op10_quality": quality.op10_quality,
 }
 SQL = {
