@@ -1,9 +1,10 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 
-from . import dedup, mixing, neardup, packing, quality, sharding
+from . import dedup, mixing, neardup, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_secrets": secrets.op3_secrets,
     "op4_jaccard_join": neardup.op4_jaccard_join,
     "op5_shard": sharding.op5_shard,
     "op6_exact_dedup": dedup.op6_exact_dedup,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op3_secrets": secrets.OP3_SQL,
     "op6_exact_dedup": dedup.OP6_SQL,
 }
