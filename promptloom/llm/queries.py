@@ -1,8 +1,9 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 
-from . import dedup, mixing, neardup, packing, quality, secrets, sharding
+from . import dedup, knn, mixing, neardup, packing, quality, secrets, sharding
 
 QUERIES = {
+    "op1_knn": knn.op1_knn,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_secrets": secrets.op3_secrets,
     "op4_jaccard_join": neardup.op4_jaccard_join,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 SQL = {
+    "op1_knn": knn.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
     "op3_secrets": secrets.OP3_SQL,
     "op6_exact_dedup": dedup.OP6_SQL,
