@@ -69,6 +69,12 @@ class _Known(dict):
         return got
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One per worker process: the words that a task has met serve the next ones."""
+    return Encoder(path)
+
+
 @cache
 def _directions() -> np.ndarray:
     """A hashed vector component per token id, projected: a sign per id and dimension."""
@@ -107,7 +113,7 @@ def curve_keys(docs: list[np.ndarray]) -> np.ndarray:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = _encoder(path)
         end = np.array([END_ID], "<u2").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
