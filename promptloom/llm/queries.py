@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 
-from . import dedup, knn, mixing, neardup, packing, quality, secrets, sharding
+from . import dedup, knn, mixing, neardup, packing, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_knn": knn.op1_knn,
@@ -9,10 +9,12 @@ QUERIES = {
     "op4_jaccard_join": neardup.op4_jaccard_join,
     "op5_shard": sharding.op5_shard,
     "op6_exact_dedup": dedup.op6_exact_dedup,
+    "op7_warc": warc.op7_warc,
     "op9_pack": packing.op9_pack,
     "op10_quality": quality.op10_quality,
 }
 SQL = {
+    "op7_warc": warc.OP7_SQL,
     "op1_knn": knn.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
     "op3_secrets": secrets.OP3_SQL,
