@@ -14,6 +14,7 @@ DEFAULT_WEIGHT = 1
 BLOCK_ROWS = 4
 #: The schedule of one period has (sum of weights) x (number of sources) counters; more are refused.
 MAX_PATTERN = 4_000_000
+ADDED = ("weight", "block", "slot", "position")
 _NULL = "\0null"
 
 #: One period of the schedule. In slot t a source's next block (the j-th, from 1) is
@@ -71,17 +72,16 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = DEFAULT_WEIGHT,
     leaves its slots empty; the others keep their order and proportions.
     No row is dropped or repeated.
 
-    Reads doc_id and source; all other columns pass through (a clash with
-    the added names is an error of the caller's choice of names: rename
-    first). Null sources are one source of the default weight; rows with a
-    null or repeated doc_id are ordered among themselves in no fixed order;
-    an empty table gives no rows.
+    Reads doc_id and source; all other columns pass through, but for those
+    that have the name of an added one. Null sources are one source of the
+    default weight; rows with a null or repeated doc_id are ordered among
+    themselves in no fixed order; an empty table gives no rows.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.withColumn("_s", source_key(F.col("source"))).withColumn("_h", key)
+    rows = docs.select(F.col("doc_id").alias("_id"), source_key(F.col("source")).alias("_s"), key.alias("_h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     pattern = schedule(rows.groupBy("_s").agg(F.count("*").alias("n")), weights, default)
     bucket = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
-    rows = common.numbered(rows, ["_s"], [F.col("_h"), F.col("doc_id")], bucket, "_i")
+    rows = common.numbered(rows, ["_s"], [F.col("_h"), F.col("_id")], bucket, "_i")
     j = F.expr(f"_i div {block_rows}")
     named = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, int(w))]) if weights else None
     w = (F.lit(default) if named is None else F.coalesce(named[F.col("_s")], F.lit(default))).cast("long")
@@ -89,15 +89,17 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = DEFAULT_WEIGHT,
     out = rows.join(F.broadcast(pattern), ["_s", "_k"])  # at most MAX_PATTERN counters
     prior = F.expr(f"aggregate(zip_with(zip_with(before, ws, (b, w) -> {block_rows} * (b + _p * w)), ns, (x, n) -> least(x, n)), 0L, (a, x) -> a + x)")
     out = out.withColumn("position", prior + F.expr(f"_i % {block_rows}")).withColumn("slot", F.col("slot") + F.col("_p") * F.col("period"))
-    return out.select(*docs.columns, "weight", "block", "slot", "position")
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ADDED]
+    return out.select(*kept, *ADDED)
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, int] = TARGET_WEIGHTS, default: int = DEFAULT_WEIGHT, per_file: int = 20_000) -> DataFrame:
     """``docs`` itself, its rows in the order of the mix: partition after partition, file after file."""
-    mixed = mix(docs, weights, default)
+    whole = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    mixed = mix(whole, weights, default)
     parts = max(1, -(-docs.count() // per_file))
     placed = mixed.repartitionById(parts, F.expr(f"cast(position div {per_file} as int)"))
-    return placed.sortWithinPartitions("position").select(*docs.columns)
+    return placed.sortWithinPartitions("position").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

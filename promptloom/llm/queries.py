@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 
-from . import dedup, knn, mixing, neardup, packing, quality, secrets, sharding, warc
+from . import dedup, knn, licences, mixing, neardup, packing, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_knn": knn.op1_knn,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_shard": sharding.op5_shard,
     "op6_exact_dedup": dedup.op6_exact_dedup,
     "op7_warc": warc.op7_warc,
+    "op8_licences": licences.op8_licences,
     "op9_pack": packing.op9_pack,
     "op10_quality": quality.op10_quality,
 }
