@@ -4,6 +4,7 @@ gapless numbering and connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -57,9 +58,10 @@ def staged(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucket_of(key: Column, bits: int) -> Column:
-    """The highest ``bits`` bits of a long key, as an unsigned number."""
-    return F.shiftrightunsigned(key, 64 - bits)
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished plans: Spark removes them once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, name: str, total: Column | None = None) -> DataFrame:
