@@ -36,6 +36,10 @@ class Dialect:
     def any(self, arr: str, name: str, body: str) -> str:
         return f"exists({arr}, {name} -> {body})"
 
+    def let(self, value: str, name: str, body: str) -> str:
+        """``body`` with ``name`` bound to ``value``. What a lambda refers to would otherwise be merged into it and computed per element."""
+        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
     def size(self, arr: str) -> str:
         return f"cast(size({arr}) as bigint)"
 
@@ -141,6 +145,9 @@ class Check(Dialect):
 
         return re.sub(rf"\b{i}\b", f"({i}_ - 1)", body)
 
+    def let(self, value: str, name: str, body: str) -> str:
+        return f"(list_transform([{value}], lambda {name}: {body}))[1]"
+
     def any(self, arr: str, name: str, body: str) -> str:
         return f"(len(list_filter({arr}, lambda {name}: {body})) > 0)"
 

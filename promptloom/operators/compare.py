@@ -48,9 +48,9 @@ def drift(d: Dialect, original: str = "text", transformed: str = "transformed")
     ent, lost_ent = kept(entities)
     rate = lambda all_, lost: f"case when {d.size(all_)} = 0 then {one} else ({one} * {d.size(all_)} - {d.size(lost)}) / {d.size(all_)} end"
     low = X.lower(transformed)
-    keys = d.keep(content_words(d, "c.text").replace("lambda x: x_", "lambda x: x_"), "w", f"{d.bytes('w')} > 3")
-    hits = d.keep("c.w", "w", "contains(_low, w)")
-    survive = d.keep("_keys", "c", f"{d.size('c.w')} = 0 or {d.size(hits)} * 2 >= {d.size('c.w')}")
+    keys = d.keep(content_words(d, "c.text"), "w", f"{d.bytes('w')} > 3")
+    hits = d.keep("c.w", "w", "contains(lo, w)")
+    survive = d.let("_low", "lo", d.keep("_keys", "c", f"{d.size('c.w')} = 0 or {d.size(hits)} * 2 >= {d.size('c.w')}"))
     a, b = d.distinct(content_words(d, original)), d.distinct(content_words(d, transformed))
     return [
         ("_low", low), ("_num", num), ("lost_numbers", lost_num), ("_ent", ent), ("lost_entities", lost_ent),

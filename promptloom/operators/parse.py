@@ -44,11 +44,12 @@ def constraints(d: Dialect) -> Steps:
     polarity = "case " + " ".join(f"when {X.has(d, 'x.l', words)} then {d.lit(name)}" for name, _, words in L.POLARITIES) + " end"
     weak = ", ".join(d.lit(name) for name, strength, _ in L.POLARITIES if strength < 2)
     category = X.first(d, "x.l", L.CATEGORIES, "'general'")
+    position = "array_position" if d.name == "spark" else "list_position"
     return [
         ("_clauses", d.map(d.keep(clauses, "x", f"{d.bytes('x.c')} >= 3"), "x", d.struct(c="x.c", l=X.lower("x.c"), line="x.line"))),
         ("_ruled", d.keep(d.map("_clauses", "x", d.struct(polarity=polarity, text=d.replace_all("x.c", f"[{X.WS}]+", " "), category=category, line="x.line", l=X.lower(d.replace_all("x.c", f"[{X.WS}]+", " ")), n=X.words(d, "x.c"))), "x", f"x.polarity is not null and not (x.n < 2 and x.polarity in ({weak}))")),
         ("_seen", d.map("_ruled", "x", "x.l")),
-        ("constraints", d.map(d.keep("_ruled", "x, i", f"{'array_position' if d.name == 'spark' else 'list_position'}(_seen, x.l) = i + 1"), "x", d.struct(polarity="x.polarity", text="x.text", category="x.category", line="x.line"))),
+        ("constraints", d.map(d.let("_seen", "seen", d.keep("_ruled", "x, i", f"{position}(seen, x.l) = i + 1")), "x", d.struct(polarity="x.polarity", text="x.text", category="x.category", line="x.line"))),
         ("n_constraints", d.size("constraints")),
     ]
 
@@ -69,13 +70,11 @@ def sections(d: Dialect) -> Steps:
     label = "case when x.md then " + d.replace_all("x.t", ":+$", "") + " when " + d.contains("x.t", ":") + f" then {d.extract('x.t', '^([^:]*):', 1)} end"
     fits = f"(x.md or ({d.bytes('x.label')} <= 24 and x.label <> '' and {X.words(d, 'x.label')} <= 3))"
     kind = X.first(d, X.trim(d, X.lower("x.label")), L.HEADINGS, "null")
-    fences = d.size(d.keep(d.slice("_fences", "0", "i"), "f", "f"))
-    blank = f"{X.trim(d, 'y')} = ''"
+    fences = d.size(d.keep(d.slice("fs", "0", "i"), "f", "f"))
     n = d.size("lines")
-    ends = d.at("_bounds", "i + 1")
-    lead = d.size(d.keep(d.range(d.size("x.body")), "k", d.size(d.keep(d.slice("x.body", "0", "k + 1"), "y", f"not ({blank})")) + " = 0"))
-    # a section's first line that isn't blank: only leading blanks are counted, so stop at the first other line
-    lead = f"case when {d.size('x.body')} = 0 then 0 when not ({X.trim(d, d.at('x.body', '0'))} = '') then 0 else {lead} end"
+    ends = d.at("bs", "i + 1")
+    position = "array_position" if d.name == "spark" else "list_position"
+    lead = f"coalesce(nullif({position}({d.map('x.body', 'y', f'{X.trim(d, chr(121))} = {chr(39) * 2}')}, false), 0) - 1, {d.size('x.body')})"
     low = X.lower("x.content")
     trimmed = X.trim(d, "x.content")
     opener = d.extract(low, f"^[{X.WS}]*([^{X.WS}]+)", 1)
@@ -90,18 +89,18 @@ def sections(d: Dialect) -> Steps:
         ("_fenced", d.any("_fences", "f", "f")),
         ("_marks", d.map("_raw", "x", d.struct(raw="x", md=d.starts("x", "#"), t=_trimmed_marks(d, "x")))),
         ("_labels", d.map("_marks", "x", d.struct(raw="x.raw", md="x.md", t="x.t", label=label))),
-        ("_kinds", d.map("_labels", "x, i", f"case when x.raw = '' or x.label is null or {d.at('_fences', 'i')} then null when _fenced and {fences} % 2 = 1 then null when {fits} then {kind} end")),
-        ("_heads", d.keep(d.range(n), "k", f"{d.at('_kinds', 'k')} is not null")),
+        ("_kinds", d.let("_fences", "fs", d.map("_labels", "x, i", f"case when x.raw = '' or x.label is null or {d.at('fs', 'i')} then null when _fenced and {fences} % 2 = 1 then null when {fits} then {kind} end"))),
+        ("_heads", d.let("_kinds", "ks", d.keep(d.range(n), "k", f"{d.at('ks', 'k')} is not null"))),
         ("_starts", d.concat_arrays(d.array("cast(-1 as bigint)"), "_heads")),
         ("_bounds", d.concat_arrays("_starts", d.array(n))),
-        ("_bodies", d.map("_starts", "x, i", d.struct(s="x", e=ends, body=d.slice("lines", "x + 1", f"{ends} - x - 1")))),
+        ("_bodies", d.let("_bounds", "bs", d.let("lines", "ls", d.map("_starts", "x, i", d.struct(s="x", e=ends, body=d.slice("ls", "x + 1", f"{ends} - x - 1")))))),
         ("_lead", d.map("_bodies", "x", d.struct(s="x.s", e="x.e", body="x.body", lead=f"cast({lead} as bigint)"))),
         ("_texts", d.map("_lead", "x", d.struct(s="x.s", e="x.e", lead="x.lead", content=d.join(d.slice("x.body", "x.lead", f"{d.size('x.body')} - x.lead"), "\n")))),
-        ("sections", d.map(d.keep("_texts", "x", f"x.s >= 0 or {trimmed} <> ''"), "x", d.struct(
-            kind=f"case when x.s >= 0 then {d.at('_kinds', 'x.s')} else {by_content} end",
-            title=f"case when x.s < 0 then '' when {d.at('_labels', 'x.s')}.md then {d.at('_labels', 'x.s')}.t else {d.at('_labels', 'x.s')}.raw end",
+        ("sections", d.let("_kinds", "ks", d.let("_labels", "ts", d.map(d.keep("_texts", "x", f"x.s >= 0 or {trimmed} <> ''"), "x", d.struct(
+            kind=f"case when x.s >= 0 then {d.at('ks', 'x.s')} else {by_content} end",
+            title=f"case when x.s < 0 then '' when {d.at('ts', 'x.s')}.md then {d.at('ts', 'x.s')}.t else {d.at('ts', 'x.s')}.raw end",
             content=X.trim_end(d, "x.content"), tokens=X.tokens(d, "x.content"),
-            start_line="cast(case when x.lead > 0 or x.s < 0 then x.s + 1 + x.lead else x.s end as int)", end_line="cast(greatest(0, x.e - 1) as int)"))),
+            start_line="cast(case when x.lead > 0 or x.s < 0 then x.s + 1 + x.lead else x.s end as int)", end_line="cast(greatest(0, x.e - 1) as int)"))))),
     ]
 
 
