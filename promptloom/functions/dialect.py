@@ -206,7 +206,7 @@ class Check(Dialect):
         return f"list_distinct(list_intersect({a}, {b}))"
 
     def without(self, a: str, b: str) -> str:
-        return f"list_distinct(list_filter({a}, lambda w_: NOT list_contains({b}, w_)))"
+        return self.let(b, "b_", f"list_distinct(list_filter({a}, lambda w_: NOT list_contains(b_, w_)))")
 
     def sha(self, s: str) -> str:
         return f"sha256({s})"
