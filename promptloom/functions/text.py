@@ -64,7 +64,7 @@ def tokens(d: Dialect, s: str) -> str:
         when ascii(x) between 48 and 57 then floor(({n} + 2) / 3)
         when ascii(x) >= 128 then 1 else floor(({n} + 1) / 2) end"""
     total = d.sum(d.map(runs, "x", f"cast({cost} as bigint)"))
-    return f"case when {s} = '' then cast(0 as bigint) else greatest({total}, cast(1 as bigint)) end"
+    return f"case when {s} is null then null when {s} = '' then cast(0 as bigint) else greatest({total}, cast(1 as bigint)) end"
 
 
 def count_tokens(column):

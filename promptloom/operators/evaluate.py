@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
@@ -43,7 +44,7 @@ def _first_object(text: str | None):
         return None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_fields(output: pd.Series) -> pd.Series:
     """Keys of the first balanced object; null if there is none or it doesn't parse."""
     found = [_first_object(t) for t in output]

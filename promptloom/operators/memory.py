@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
@@ -37,7 +38,7 @@ def fnv1a(words: list[bytes]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embed(text: pd.Series) -> pd.Series:
     """256 signed counts of words and word pairs, normalised; null for null."""
     found = []

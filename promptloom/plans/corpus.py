@@ -41,9 +41,16 @@ TEMPLATES = (
 K = len(TEMPLATES)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few small files over all cores; larger inputs, which have partitions enough, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def prompt_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(prompt_id, template_id, text) for every document; null texts stay null."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(docs)
     forms = ", ".join(SPARK.lit(t) for t, _, _ in TEMPLATES)
     return docs.selectExpr("doc_id as prompt_id", f"cast(doc_id % {K} as int) as template_id", f"replace(get(array({forms}), cast(doc_id % {K} as int)), '{{body}}', text) as text")
 

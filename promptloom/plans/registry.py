@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..functions.dialect import CHECK, SPARK, Dialect, apply, query
 from ..operators import compare, evaluate, firewall, lint, memory, optimize, parse, receipt, rewrite, score
 from ..sources import library
-from .corpus import corpus_sql, prompt_corpus
+from .corpus import corpus_sql, prompt_corpus, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,7 +21,7 @@ DOCS_SQL = "SELECT doc_id AS prompt_id, text FROM documents"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as prompt_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as prompt_id", "text"))
 
 
 def _steps(name: str, base, base_sql: str, make, columns: dict[str, str], rows: str | None = None) -> None:
@@ -105,7 +105,7 @@ SQL["drift_report"] = SQL["drift_report"].replace("array_join(lost", "array_to_s
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("conv_id as prompt_id", "role", "text")
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("conv_id as prompt_id", "role", "text").transform(spread)
 
 
 @_query("firewall_by_role", query("SELECT conv_id AS prompt_id, role, text FROM conversations", _guarded(CHECK), "SELECT role, decision, count(*) AS n, round(avg(risk), 6) AS mean_risk FROM result GROUP BY role, decision"))
