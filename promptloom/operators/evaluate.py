@@ -13,11 +13,14 @@ from pyspark.sql.window import Window
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions.dialect import SPARK
+from .memory import sized
 from .parse import balanced
 from .score import composite
 
 #: Milliseconds at which latency counts half. Fixed value.
 LATENCY_BUDGET = 4000.0
+#: Rows of a suite's models, cases or checks that are broadcast at most.
+SUITE_ROWS = 10_000
 SCHEMA_CHECKS = ("json_valid", "has_field")
 
 
@@ -71,7 +74,7 @@ def cells(candidates: DataFrame, models: DataFrame, cases: DataFrame, outputs: D
 
     ``models`` and ``cases`` are the suite's own small tables (at most SUITE_ROWS); candidates may be many.
     """
-    grid = candidates.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(cases))
+    grid = candidates.crossJoin(sized(models, SUITE_ROWS)).crossJoin(sized(cases, SUITE_ROWS))
     out = grid.join(outputs, ["prompt_id", "idx", "model", "case_id"], "left").withColumn("called", F.col("content").isNotNull())
     cost = F.coalesce(F.col("prompt_tokens") / 1000.0 * F.coalesce("prompt_usd", F.lit(0.0)) + F.col("completion_tokens") / 1000.0 * F.coalesce("completion_usd", F.lit(0.0)), F.lit(0.0))
     return out.withColumn("cost_usd", cost).withColumn("latency_ms", F.coalesce("latency_ms", F.lit(0.0)))
@@ -86,7 +89,7 @@ def grade(grid: DataFrame, checks: DataFrame, patterns: list[str]) -> DataFrame:
         when kind = 'regex' then case {regex} else false end when kind = 'max_tokens' then {est_tokens('content')} <= n
         when kind = 'refuses' then {X.has(SPARK, low, L.REFUSALS)} else false end"""
     keys = ["prompt_id", "idx", "model", "case_id"]
-    each = grid.withColumn("fields", json_fields("content")).join(F.broadcast(checks), "case_id", "left").withColumn("ok", F.expr(ok))
+    each = grid.withColumn("fields", json_fields("content")).join(sized(checks, SUITE_ROWS), "case_id", "left").withColumn("ok", F.expr(ok))
     schema = F.col("kind").isin(*SCHEMA_CHECKS)
     got = each.groupBy(*keys).agg(
         F.count_if("ok").alias("checks_passed"), F.count("kind").alias("checks_total"), F.count_if(F.col("ok") & schema).alias("schema_passed"), F.count_if(schema).alias("schema_total"),

@@ -16,6 +16,8 @@ from . import compare
 
 #: Vector width, entries kept, neighbours, least similarity for a routing override.
 DIMS, MAX_ENTRIES, NEIGHBOURS, ROUTE_LEAST = 256, 500, 5, 0.45
+#: Vectors of a comparison set that are broadcast at most (2 KB each).
+MAX_CORPUS = 10_000
 _SPLIT = re.compile("[^a-z0-9]+")
 
 
@@ -53,6 +55,11 @@ def hash_embed(text: pd.Series) -> pd.Series:
     return pd.Series(found)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it is known to have at most so many rows; beyond that Spark chooses."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def upsert(entries: DataFrame, cap: int = MAX_ENTRIES) -> DataFrame:
     """``entries`` (seq, id, ...), one row per write: each id keeps the place of its first write and the payload of its last; the newest ``cap`` places stay.
 
@@ -64,11 +71,11 @@ def upsert(entries: DataFrame, cap: int = MAX_ENTRIES) -> DataFrame:
 
 
 def recall(prompts: DataFrame, memory: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """The k nearest entries of every prompt. ``memory`` holds at most MAX_ENTRIES rows by its cap, so it is broadcast.
+    """The k nearest entries of every prompt. ``memory`` holds at most MAX_ENTRIES rows by its cap; if so, it is broadcast.
 
     Reads prompts (prompt_id, vector) and memory (place, id, vector, ...). Ties go to the earlier place.
     """
-    near = prompts.crossJoin(F.broadcast(memory.withColumnRenamed("vector", "_m"))).withColumn("similarity", F.expr(compare.cosine("vector", "_m")))
+    near = prompts.crossJoin(sized(memory.withColumnRenamed("vector", "_m"), MAX_ENTRIES)).withColumn("similarity", F.expr(compare.cosine("vector", "_m")))
     order = Window.partitionBy("prompt_id").orderBy(F.desc("similarity"), "place")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_m", "vector")
 
@@ -82,7 +89,7 @@ def priors(near: DataFrame) -> DataFrame:
 
 def top_similar(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Top k of a bounded set of vectors (``corpus``: id, vector) for each query (query_id, vector) by cosine."""
-    near = queries.crossJoin(F.broadcast(corpus.withColumnRenamed("vector", "_m"))).withColumn("similarity", F.expr(compare.cosine("vector", "_m")))
+    near = queries.crossJoin(sized(corpus.withColumnRenamed("vector", "_m"), MAX_CORPUS)).withColumn("similarity", F.expr(compare.cosine("vector", "_m")))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
 
@@ -101,7 +108,7 @@ def reinforce(known: DataFrame, prompts: DataFrame) -> DataFrame:
 def refine_route(prompts: DataFrame, known: DataFrame) -> DataFrame:
     """``prompts`` (prompt_id, tier, vector): the nearest exemplar's tier if it is near enough, else the own one."""
     other = known.select(F.col("tier").alias("_tier"), F.col("name").alias("exemplar"), F.col("vector").alias("_m"))
-    near = prompts.crossJoin(F.broadcast(other)).withColumn("similarity", F.expr(compare.cosine("vector", "_m")))
+    near = prompts.crossJoin(sized(other, MAX_CORPUS)).withColumn("similarity", F.expr(compare.cosine("vector", "_m")))
     best = near.groupBy("prompt_id").agg(F.first("tier").alias("tier"), F.max(F.struct("similarity", F.col("exemplar"), F.col("_tier"))).alias("x"))
     sure = F.col("x.similarity") >= ROUTE_LEAST
     return best.select("prompt_id", F.when(sure, F.col("x._tier")).otherwise(F.col("tier")).alias("tier"), F.col("x.exemplar").alias("exemplar"), F.col("x.similarity").alias("similarity"), sure.alias("overridden"))

@@ -343,8 +343,9 @@ _OUTPUTS = """SELECT doc_id AS prompt_id, idx, {models} AS model, {cases} AS cas
 def _suite(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     grid = ids.crossJoin(spark.range(2).selectExpr("cast(id as int) as idx")).crossJoin(spark.range(3).selectExpr("cast(id as int) as m")).crossJoin(spark.range(3).selectExpr("cast(id as int) as c"))
-    text = _OUTPUTS.format(models="get(array('alpha', 'beta', 'gamma'), m)", cases="get(array('c0', 'c1', 'c2'), c)", content=_CONTENT, grid="{g}", pick=_PICK)
-    outputs = spark.sql(text, g=grid)
+    text = _OUTPUTS.format(models="get(array('alpha', 'beta', 'gamma'), m)", cases="get(array('c0', 'c1', 'c2'), c)", content=_CONTENT, grid="_eval_grid", pick=_PICK)
+    grid.createOrReplaceTempView("_eval_grid")
+    outputs = spark.sql(text)
     cands = ids.crossJoin(spark.range(2).selectExpr("cast(id as int) as idx")).selectExpr("doc_id as prompt_id", "idx")
     cells = evaluate.cells(cands, spark.sql(_MODELS), spark.sql(_CASES), outputs)
     good = evaluate.usable_patterns(sorted({a for _, k, a, _ in CHECKS if k == "regex"}))
