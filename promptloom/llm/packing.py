@@ -19,8 +19,8 @@ SEQUENCE = 2048
 END_ID = 1
 #: Dimensions and bits of each on the curve; the projection's seed.
 DIMS, BITS, SEED = 4, 10, 20_240_229
-#: Words whose ids a worker keeps.
-KNOWN_WORDS = 800_000
+#: Words whose ids a worker keeps, and their longest: longer ones hardly come again.
+KNOWN_WORDS, KNOWN_LENGTH = 400_000, 14
 #: Letters, numbers and white space below U+0250, as the byte-level tokenizer splits words.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 _SPLIT = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -64,7 +64,7 @@ class _Known(dict):
 
     def __missing__(self, word: str) -> bytes:
         got = self.make(word)
-        if len(word) < 64 and len(self) < KNOWN_WORDS:  # first come: frequent words come early
+        if len(word) <= KNOWN_LENGTH and len(self) < KNOWN_WORDS:  # first come: frequent words come early
             self[word] = got
         return got
 
