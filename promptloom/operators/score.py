@@ -77,12 +77,10 @@ def without_scratch(df: DataFrame) -> DataFrame:
 def analyze(df: DataFrame, o: Options = Options()) -> DataFrame:
     """Add the whole analysis to a frame with ``text``: counts, intent, sections, constraints, findings, schema, score, route.
 
-    Null text gives null results; blank text is a prompt like any other.
+    Null text gives null counts, lists and findings; blank text is a prompt like any other.
     """
     df = apply(df, [*parse.basics(SPARK), *parse.intent(SPARK), *parse.lines(SPARK), *parse.constraints(SPARK), *parse.sections(SPARK), *lint.ambiguity(SPARK), *lint.safety(SPARK)])
     df = apply(parse.with_schema(df), [*objectives(SPARK, o), *route(SPARK)])
-    for c in (*NAMES, "composite", "clarity", "coverage", "complexity", "confidence"):
-        df = df.withColumn(c, F.when(F.col("text").isNotNull(), F.col(c)))
     return without_scratch(df.withColumn("route_examples", route_examples())).drop("lc", "lines", "hits")
 
 
