@@ -21,16 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or the one its context was given.
 
-    Only where it is unset (tests in local mode) a temporary folder takes its place.
+    Only in local mode (tests) a temporary folder takes its place where neither is set.
     """
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    app = context.applicationId
     if app not in _SCRATCH:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
         if not base:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="promptloom-")
-            spark.sparkContext.setCheckpointDir(base)
+            context.setCheckpointDir(base)
         _SCRATCH[app] = f"{base.rstrip('/')}/promptloom-{app}"
         atexit.register(_remove, spark, _SCRATCH[app])
     return _SCRATCH[app]
@@ -58,6 +61,12 @@ def staged(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a staged table that no plan needs any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished plans: Spark removes them once the driver has collected what refers to them."""
     gc.collect()
@@ -90,29 +99,48 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], bucket: Colu
     return out.drop(*keys, "_b", "_n", "_r", "_o")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: A key with more than this share of all rows counts as hot; there are fewer than its inverse of them.
+HOT_SHARE = 1 / 1000
+
+
+def join_by_key(rows: DataFrame, one: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the row of ``one`` (a row per key) that has their key; ``how``: inner or left.
+
+    ``weight``: a column of ``one``, how many rows have the key. Keys above
+    ``HOT_SHARE`` of their sum, fewer than 1 / HOT_SHARE by that very bound, are
+    broadcast, so no task gets all rows of a hot key. Both tables are staged ones.
+    """
+    total = one.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(one.where(F.col(weight) > total * HOT_SHARE))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(one, key, how))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 
     ``edges``: two long columns ``u`` and ``v``. Returns ``(node, component)`` for
     every node of an edge; ``component`` is the smallest node it can reach. Each
     round is a grouped minimum and an equi join on the edge list, which shrinks
-    towards one row per node; nothing is collected but one count and one sum.
+    towards one row per node, until nothing changes; a hub's edges are not
+    gathered in one task. Nothing is collected but a count and a sum per round,
+    and a round's tables go when the next one is written.
     """
-    spark = edges.sparkSession
     e = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("d")), "cc-low")
+        large = join_by_key(both, low, "u", "d").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = staged(small.select("x.u", "x.v").where("u <> v").distinct(), "cc")
+        new = staged(small.select("x.u", "x.v").where("u <> v").distinct(), "cc")
+        forget(low)
+        forget(e)
+        e = new
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == last:
             break
         last = (now["n"], now["h"])
-    else:
-        raise RuntimeError("the components did not settle")
     own = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own)

@@ -10,15 +10,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 SEQUENCE = 2048
 END_ID = 1
-#: Dimensions and bits of each on the curve; the projection's seed.
-DIMS, BITS, SEED = 4, 10, 20_240_229
+#: Dimensions and bits of each on the curve; the projection's seed; how likely two tokens of a text are the same, roughly.
+DIMS, BITS, SEED, REPEATS = 4, 10, 20_240_229, 0.01
 #: Words whose ids a worker keeps, and their longest: longer ones hardly come again.
 KNOWN_WORDS, KNOWN_LENGTH = 400_000, 14
 #: Letters, numbers and white space below U+0250, as the byte-level tokenizer splits words.
@@ -36,14 +36,15 @@ def tokenizer_path() -> str:
 class Encoder:
     """Ids of whole texts, as uint16. The tokenizer never looks across the words that its
     own splitting gives, so each distinct word is encoded once and its ids kept; texts
-    with characters from U+0250 on, whose splitting needs full Unicode tables, go to it whole."""
+    with characters from U+0250 on, whose splitting needs full Unicode tables, and texts
+    with the string of an added token go to it whole."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings are ordinary text
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.known = _Known(self._ids)
@@ -52,7 +53,7 @@ class Encoder:
         return np.array(self.model.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if _HIGH.search(text):
+        if _HIGH.search(text) or any(a in text for a in self.added):
             return self._ids(text)
         return b"".join(map(self.known.__getitem__, _SPLIT.findall(text)))
 
@@ -106,9 +107,12 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def curve_keys(docs: list[np.ndarray]) -> np.ndarray:
-    """The Hilbert keys of documents: mean projection of their hashed ids, times sqrt(n), on a fixed grid."""
-    z = np.array([_directions()[ids].sum(0, dtype=np.int64) / np.sqrt(max(1, len(ids))) for ids in docs]).reshape(-1, DIMS)
-    return hilbert(np.clip((z / 8 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1), BITS)
+    """The Hilbert keys of documents: their hashed token counts, scaled to about unit length, projected
+    and squashed onto the grid. A text's count vector has the squared length n + REPEATS * n * n, roughly."""
+    sizes = np.array([len(ids) for ids in docs], np.float64)
+    z = np.array([_directions()[ids].sum(0, dtype=np.int64) for ids in docs], np.float64).reshape(-1, DIMS)
+    z /= np.sqrt(np.maximum(1, sizes + REPEATS * sizes * sizes))[:, None]
+    return hilbert(np.minimum((1 << BITS) - 1, (1 << BITS) / (1 + np.exp(-1.7 * z))), BITS)
 
 
 def _encode(path: str):
@@ -120,7 +124,8 @@ def _encode(path: str):
                 part = batch.slice(at, 500)
                 raw = [encode(t or "") for t in part.column(1).to_pylist()]
                 keys = curve_keys([np.frombuffer(r, "<u2") for r in raw])
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(keys, pa.int64()), pa.array([r + end for r in raw], pa.binary())], names=["doc_id", "tie", "key", "ids"])
+                sizes = pa.array([len(r) // 2 + 1 for r in raw], pa.int64())
+                yield pa.record_batch([part.column(0), part.column(2), part.column(3), pa.array(keys, pa.int64()), sizes, pa.array([r + end for r in raw], pa.binary())], names=["doc_id", "tie", "window", "key", "n", "ids"])
 
     return run
 
@@ -131,60 +136,77 @@ def sizes_of_rest(rest: int) -> list[int]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one part in curve order, led by how many tokens the part has (``part_tokens``)."""
-    base, seq, offset, full, todo = None, 0, 0, 0, []
+    """Rows of one part in order: sequences of 2048 tokens, then what is left, cut at powers of two."""
+    base, seq, fill, waiting = 0, 0, 0, []  # waiting: (doc, start, ids, doc_tokens) of the sequence that isn't full
+
+    def close(pieces: list[tuple]) -> list[tuple]:
+        nonlocal seq
+        out, offset = [], 0
+        for doc, start, ids, total in pieces:
+            out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + seq, offset))
+            offset += len(ids)
+        seq += 1
+        return out
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
     for batch in batches:
-        out: list[tuple] = []
-        cols = [batch.column(i).to_pylist() for i in range(4)]
-        for doc, raw, part, total in zip(*cols, strict=True):
-            if base is None:
-                full, rest = divmod(total, SEQUENCE)
-                todo = sizes_of_rest(rest)
-                base = part << 32
+        found: list[tuple] = []
+        for doc, raw, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            base, start = part << 32, 0
             ids = np.frombuffer(raw, "<u2").astype("<u4")
-            start = 0
             while start < len(ids):
-                room = (SEQUENCE if seq < full else todo[seq - full]) - offset
-                n = min(room, len(ids) - start)
-                out.append((doc, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), base + seq, offset))
-                start, offset = start + n, offset + n
-                if n == room:
-                    seq, offset = seq + 1, 0
-        if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-
-def pack(docs: DataFrame, path: str | None = None, part_tokens: int = 4_000_000) -> DataFrame:
+                n = min(SEQUENCE - fill, len(ids) - start)
+                waiting.append((doc, start, ids[start : start + n], len(ids)))
+                start, fill = start + n, fill + n
+                if fill == SEQUENCE:
+                    found += close(waiting)
+                    waiting, fill = [], 0
+        if found:
+            yield rows(found)
+    found = []
+    for room in sizes_of_rest(fill):
+        taken = []
+        while room:
+            doc, start, ids, total = waiting.pop(0)
+            taken.append((doc, start, ids[:room], total))
+            if len(ids) > room:
+                waiting.insert(0, (doc, start + room, ids[room:], total))
+            room -= len(taken[-1][2])
+        found += close(taken)
+    if found:
+        yield rows(found)
+
+
+def pack(docs: DataFrame, path: str | None = None, part_tokens: int = 4_000_000, window: Column | None = None) -> DataFrame:
     """Pack every document into sequences of at most 2048 tokens.
 
-    A document's tokens are its whole text's ids and then id 1. Documents are
-    ordered along a Hilbert curve through a projection of their hashed token
-    counts, the order is cut into parts of about ``part_tokens``, and each
-    part's stream is cut at every 2048 tokens. What a part has left is cut at
-    powers of two, so no sequence needs padding.
+    A document's tokens are its whole text's ids, as the tokenizer gives them
+    without options, and then id 1. Documents are ordered along a Hilbert curve
+    through a projection of their hashed token counts; the order is cut into
+    parts of about ``part_tokens``, and each part's stream at every 2048
+    tokens. What a part has left is cut at powers of two, so no sequence needs
+    padding. With ``window`` (a number per row) the curve is followed within
+    each window, and the windows follow each other in the order of
+    sequence_id: so the order of a mix holds on the scale of a window.
 
     Null texts count as empty: one piece, of id 1. Null or repeated doc_ids
     are documents like any other; documents with equal keys follow in the
-    order of a hash of their row. A stretch of the curve that holds more than a
-    part (a large group of copies) is split by that hash; other columns are ignored; an empty table
-    gives no rows. Returns one row per piece: doc_id, start, length,
-    ids_crc32, doc_tokens, sequence_id, offset.
+    order of a hash of their row, so a large group of copies is split over
+    parts; other columns are ignored; an empty table gives no rows. Returns one
+    row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
+    offset. A sequence_id is the number of its part times 2**32 and then its
+    number there.
     """
     path = path or tokenizer_path()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("tie"))
-    rows = common.staged(texts.mapInArrow(_encode(path), "doc_id long, tie long, key long, ids binary"), "tokens")
-    # a few thousand slices of the curve, and of the hash within a slice, say where parts begin
-    n = F.expr("octet_length(ids) div 2")
-    spot = F.struct(F.shiftright("key", DIMS * BITS - 12).alias("a"), F.shiftrightunsigned("tie", 58).alias("b"))
-    slices = rows.groupBy(spot.alias("spot")).agg(F.sum(n).alias("t"))
-    at = common.numbered(slices.select("spot", "t", F.col("spot.a").alias("_a")), [], [F.col("spot")], F.shiftright(F.col("_a"), 6), "before", F.col("t"))
-    at = at.select(F.col("spot.a").alias("_a"), F.col("spot.b").alias("_b"), F.expr(f"before div {part_tokens}").alias("part"), "t")
-    parts = at.groupBy("part").agg(F.sum("t").alias("total"))
-    at = at.join(parts, "part").select("_a", "_b", "part", "total")
-    count = max(1, (at.agg(F.max("part").alias("p")).first()["p"] or 0) + 1)
-    placed = rows.withColumn("_a", F.shiftright("key", DIMS * BITS - 12)).withColumn("_b", F.shiftrightunsigned("tie", 58)).join(F.broadcast(at), ["_a", "_b"])
-    ordered = placed.repartitionById(count, F.col("part").cast("int")).sortWithinPartitions("key", "tie")
-    return ordered.select("doc_id", "ids", "part", "total").mapInArrow(_pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    tie = F.xxhash64("doc_id", F.monotonically_increasing_id())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie.alias("tie"), F.coalesce(F.lit(0) if window is None else window, F.lit(0)).cast("long").alias("window"))
+    rows = common.staged(texts.mapInArrow(_encode(path), "doc_id long, tie long, window long, key long, n long, ids binary"), "tokens")
+    parts = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // part_tokens))
+    order = ["window", "key", "tie"]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "ids", F.spark_partition_id().alias("part")).mapInArrow(_pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from functools import reduce
 from itertools import accumulate
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,71 +13,86 @@ from pyspark.sql import functions as F
 from . import common
 
 KEY_BITS, FIRST_BITS, STEP_BITS = 60, 12, 6
-
-
-class Atoms:
-    """Sizes along the key order. An atom covers the keys lo to lo + 2**bits - 1 and holds n groups."""
-
-    def __init__(self, atoms: list[tuple[int, int, int, int]]) -> None:
-        self.atoms = sorted(atoms)
-        self.ends = [0, *accumulate(a[2] for a in self.atoms)]
-
-    def cuts(self, capacity: int, shards: int) -> list[int] | None:
-        """Greedy: the index of the first atom of each shard after the first; None if ``shards`` don't suffice."""
-        found, at = [], 0
-        while True:
-            nxt = bisect_right(self.ends, self.ends[at] + capacity) - 1
-            if nxt >= len(self.atoms):
-                return found
-            if nxt == at or len(found) == shards - 1:
-                return None
-            found.append(nxt)
-            at = nxt
-
-    def capacity(self, shards: int) -> int:
-        """The smallest feasible capacity, atoms whole."""
-        low, high = 1, max(1, self.ends[-1])
+#: Capacities tried between two reads of the table.
+TRIES = 5
+
+
+class Ranges:
+    """What is known of the groups along the key order. A range covers the keys lo to lo + 2**bits - 1 and
+    holds n groups of size s together, the largest of size most; with n = 1, lo is that group's key."""
+
+    def __init__(self, found: list[tuple[int, int, int, int, int]]) -> None:
+        self.all = sorted(found)
+        self.ends = [0, *accumulate(r[2] for r in self.all)]
+
+    def step(self, at: int) -> tuple[int, int]:
+        """Bounds of the last group end (total size up to there) that is no larger than ``at``."""
+        i = bisect_right(self.ends, at) - 1
+        if i >= len(self.all) or self.ends[i] == at:
+            return (min(at, self.ends[-1]),) * 2
+        n, most = self.all[i][3:]
+        return (self.ends[i], self.ends[i]) if n == 1 else (max(self.ends[i], at - most + 1), at)
+
+    def cuts(self, capacity: int, shards: int) -> list[tuple[int, int]]:
+        """Bounds of where each shard ends if every one takes all that ``capacity`` allows."""
+        low, high, out = 0, 0, []
+        for _ in range(shards):
+            low, high = self.step(low + capacity)[0], self.step(high + capacity)[1]
+            out.append((low, high))
+        return out
+
+    def least(self, shards: int, side: int) -> int:
+        """The smallest capacity that does for certain (side 0), or may do (side 1)."""
+        low, high, total = 1, max(1, self.ends[-1]), self.ends[-1]
         while low < high:
             mid = (low + high) // 2
-            low, high = (low, mid) if self.cuts(mid, shards) is not None else (mid + 1, high)
+            low, high = (low, mid) if self.cuts(mid, shards)[-1][side] >= total else (mid + 1, high)
         return low
 
-    def uncertain(self, least: int, shards: int) -> list[tuple[int, int, int, int]]:
-        """Atoms of several groups in which a cut may fall for some capacity from ``least`` to the feasible one."""
-        most, wide, seen = self.capacity(shards), max((a[2] for a in self.atoms), default=0), set()
-        for j in range(1, shards):
-            first = bisect_right(self.ends, max(0, j * (least - wide))) - 1
-            last = bisect_right(self.ends, j * most)
-            seen.update(range(max(0, first), min(last + 1, len(self.atoms))))
-        return [self.atoms[i] for i in sorted(seen) if self.atoms[i][3] > 1]
+    def unclear(self, capacity: int, shards: int) -> set[int]:
+        """Ranges of several groups in which a cut of this capacity may lie; of wide bounds only both ends."""
+        found: set[int] = set()
+        before = (0, 0)
+        for low, high in self.cuts(capacity, shards):
+            if low != high:
+                ends = [min(len(self.all), bisect_right(self.ends, x + capacity)) - 1 for x in before]
+                found.update(i for i in ends if self.all[i][3] > 1)
+            before = (low, high)
+        return found
 
 
-def boundaries(groups: DataFrame, shards: int, total: int, largest: int) -> list[int]:
+def boundaries(groups: DataFrame, shards: int) -> list[int]:
     """The keys at which shards 1, 2, ... begin, so that the largest shard is as small as can be.
 
-    ``groups``: (k, s, n), one row per group, k below 2**60. The search sees
-    totals of key ranges; only ranges in which a cut may fall are split
-    again, until each of them is one group. What reaches the driver is
-    bounded: 2**12 ranges, then 2**6 for each of the few split ones.
+    ``groups``: (k, s), one row per group, k below 2**60. The driver sees totals
+    of key ranges: 2**12 at first. A few capacities between the one that may do
+    and the one that does for certain are tried; the ranges in which one of
+    their cuts lies, at most two per cut, are split in 2**6, and so on until the
+    two capacities meet. What is read per round is at most
+    2 * TRIES * (shards - 1) * 2**6 rows, however many groups there are.
     """
-    def ranges(df: DataFrame, bits: int) -> list[tuple[int, int, int, int]]:
-        got = df.groupBy(F.shiftright("k", bits).alias("p")).agg(F.sum("s").alias("s"), F.count("*").alias("n"), F.min("k").alias("k")).collect()
-        return [(r["k"] if r["n"] == 1 else r["p"] << bits, bits, r["s"], r["n"]) for r in got]
-
-    bits = KEY_BITS - FIRST_BITS
-    atoms = Atoms(ranges(groups, bits))
-    least = max(largest, -(-total // shards))
-    while split := atoms.uncertain(least, shards):
-        by = {}
-        for a in split:
-            by.setdefault(a[1], []).append(a[0] >> a[1])
+    def read(df: DataFrame, bits: int) -> list[tuple[int, int, int, int, int]]:
+        by = df.groupBy(F.shiftright("k", bits).alias("p")).agg(F.sum("s").alias("s"), F.count("*").alias("n"), F.min("k").alias("k"), F.max("s").alias("m"))
+        return [(r["k"] if r["n"] == 1 else r["p"] << bits, bits, r["s"], r["n"], r["m"]) for r in by.collect()]
+
+    ranges = Ranges(read(groups, KEY_BITS - FIRST_BITS))
+    while True:
+        may, does = ranges.least(shards, 1), ranges.least(shards, 0)
+        tried = {may + (does - may) * i // (TRIES - 1) for i in range(TRIES)}
+        split = set().union(*(ranges.unclear(c, shards) for c in tried)) if may < does else ranges.unclear(does, shards)
+        if not split:
+            break
+        by: dict[int, list[int]] = {}
+        for i in split:
+            by.setdefault(ranges.all[i][1], []).append(ranges.all[i][0])
         finer = []
-        for b, prefixes in by.items():
-            finer += ranges(groups.where(F.shiftright("k", b).isin(prefixes)), max(0, b - STEP_BITS))
-        gone = set(split)
-        atoms = Atoms([a for a in atoms.atoms if a not in gone] + finer)
-    cuts = atoms.cuts(atoms.capacity(shards), shards) if atoms.atoms else []
-    return [atoms.atoms[i][0] for i in cuts]
+        for bits, lows in by.items():
+            inside = [F.col("k").between(lo, lo + (1 << bits) - 1) for lo in lows]
+            finer += read(groups.where(reduce(or_, inside)), max(0, bits - STEP_BITS))
+        ranges = Ranges([r for i, r in enumerate(ranges.all) if i not in split] + finer)
+    ends = [low for low, _ in ranges.cuts(does, shards)[:-1]]
+    at = [bisect_left(ranges.ends, e) for e in ends]
+    return [ranges.all[i][0] for i in at if i < len(ranges.all)]
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -86,14 +103,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     group at least as large as an even share of what is left takes a shard
     alone, the rest is cut at the smallest feasible shard capacity.
 
-    Reads doc_id and text, other columns are ignored. Null doc_ids and
-    repeated rows are rows like any other. With fewer groups than shards some
-    shards stay empty; an empty table gives no rows. Returns doc_id, size,
-    text_crc32, law, shard, slot, grown_shard.
+    Slots follow the order in which the rows are read. Reads doc_id and text,
+    other columns are ignored. Null doc_ids and repeated rows are rows like any
+    other. With fewer groups than shards some shards stay empty; an empty table
+    gives no rows. Returns doc_id, size, text_crc32, law, shard, slot,
+    grown_shard.
     """
     text = F.coalesce("text", F.lit(""))
     key = F.conv(F.substring(F.sha2(text, 256), 1, KEY_BITS // 4), 16, 10).cast("long")
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("k"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("k"), F.monotonically_increasing_id().alias("row"))
     rows = common.staged(rows, "sizes")
     groups = common.staged(rows.groupBy("k").agg(F.sum("size").alias("s")), "groups")
     left = groups.agg(F.sum("s").alias("s")).first()["s"] or 0
@@ -103,19 +121,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
         left -= top[len(own)]["s"]
         own.append(top[len(own)]["k"])
     rest = groups.where(~F.col("k").isin(own)) if own else groups
-    largest = top[len(own)]["s"] if len(own) < len(top) else 0
-    at = boundaries(rest, shards - len(own), left, largest) if largest else []
+    at = boundaries(rest, shards - len(own)) if left else []
     shard = F.lit(len(own))
     for b in at:
         shard = shard + (F.col("k") >= F.lit(b)).cast("int")
-    alone = F.lit(False)
     for i, k in enumerate(own):
         shard = F.when(F.col("k") == k, i).otherwise(shard)
-        alone = alone | (F.col("k") == k)
-    out = rows.withColumn("shard", shard.cast("int"))
-    spread = F.when(alone, F.pmod(F.xxhash64("doc_id"), F.lit(4096))).otherwise(F.lit(0))
-    bucket = F.shiftright("k", KEY_BITS - 12) * 4096 + spread  # a group that has a shard of its own is numbered in many parts
-    out = common.numbered(out, ["shard"], [F.col("k"), F.col("doc_id")], bucket, "slot")
+    part = F.shiftrightunsigned("row", 33)  # the partition that read the row, so no group is numbered in one task
+    out = common.numbered(rows.withColumn("shard", shard.cast("int")), ["shard"], [F.col("row")], part, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
