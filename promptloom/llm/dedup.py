@@ -40,20 +40,33 @@ class PerfectHash:
 
     LEVELS = 64
 
-    def __init__(self, keys: np.ndarray) -> None:
+    def __init__(self, bits: list[np.ndarray], rest: np.ndarray) -> None:
+        self.bits, self.rest, self.base = bits, rest, 0
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        base, left = 0, keys
-        for level in range(self.LEVELS):
+        for alone in bits:
+            self.levels.append((alone, self.base + np.cumsum(alone) - alone))
+            self.base += int(alone.sum())
+
+    @classmethod
+    def build(cls, keys: np.ndarray) -> PerfectHash:
+        bits, left = [], keys
+        for level in range(cls.LEVELS):
             if not len(left):
                 break
-            width = max(2, 2 * len(left))
-            at = _slot_hash(left, level) % np.uint64(width)
-            alone = np.bincount(at.astype(np.int64), minlength=width) == 1
-            self.levels.append((alone, base + np.cumsum(alone) - alone))
-            base += int(alone.sum())
-            left = left[~alone[at.astype(np.int64)]]
-        self.rest = np.sort(left)
-        self.base = base
+            width = 8 * max(1, len(left) // 4 + 1)
+            at = (_slot_hash(left, level) % np.uint64(width)).astype(np.int64)
+            alone = np.bincount(at, minlength=width) == 1
+            bits.append(alone)
+            left = left[~alone[at]]
+        return cls(bits, np.sort(left))
+
+    def packed(self) -> tuple[list[bytes], bytes]:
+        """The bit arrays and the rest, as the index keeps them."""
+        return [np.packbits(b).tobytes() for b in self.bits], self.rest.tobytes()
+
+    @classmethod
+    def unpacked(cls, bits: list[bytes], rest: bytes) -> PerfectHash:
+        return cls([np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for b in bits], np.frombuffer(rest, np.uint64))
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Each key's slot; -1 if it certainly is no member. A non-member may get any slot."""
@@ -71,21 +84,35 @@ class PerfectHash:
         return out
 
 
-def _keys(digests: pd.Series) -> np.ndarray:
-    """64 bits of each digest, other than those that choose the shard."""
-    return np.frombuffer(b"".join(d[8:16] for d in digests), ">u8").astype(np.uint64)
+def _matrix(digests: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), np.uint8).reshape(len(digests), 32)
+
 
+def _keys(digests: np.ndarray, at: int) -> np.ndarray:
+    """Eight bytes of each digest."""
+    return np.ascontiguousarray(digests[:, at : at + 8]).view(">u8").ravel().astype(np.uint64)
 
-INDEX_SCHEMA = "shard long, slot long, digest binary, keep_id long, keep_chars long, seen long"
+
+#: A row per shard: the hash's bit arrays; by slot, the full digests and the winners' locators.
+INDEX_SCHEMA = "shard long, at int, bits array<binary>, rest binary, digests binary, keep_id array<long>, keep_chars array<long>, seen array<long>"
 
 
 def build_index(winners: DataFrame, shards: int) -> DataFrame:
-    """``winners``: one row per digest (digest, keep_id, keep_chars, seen). Returns the index:
-    per shard, the slot of the minimal perfect hash with the full digest and the winner's locator."""
+    """``winners``: one row per digest (digest, keep_id, keep_chars, seen). Returns the index of the minimal perfect hashes.
+
+    The key is the first of three eight-byte parts of the digests in which those of the shard differ.
+    """
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(slot=PerfectHash(_keys(pdf["digest"])).slots(_keys(pdf["digest"])))
-        return pdf.sort_values("slot")[["shard", "slot", "digest", "keep_id", "keep_chars", "seen"]]
+        every = _matrix(pdf["digest"])
+        at = next((i for i in (8, 16, 24) if len(np.unique(_keys(every, i))) == len(every)), None)
+        if at is None:
+            raise ValueError("a shard's digests share all their parts")
+        table = PerfectHash.build(_keys(every, at))
+        order = np.argsort(table.slots(_keys(every, at)))
+        bits, rest = table.packed()
+        kept = [[None if pd.isna(x) else int(x) for x in pdf[c].to_numpy(object)[order]] for c in ("keep_id", "keep_chars", "seen")]
+        return pd.DataFrame({"shard": [key[0]], "at": [at], "bits": [bits], "rest": [rest], "digests": [every[order].tobytes()], "keep_id": [kept[0]], "keep_chars": [kept[1]], "seen": [kept[2]]})
 
     sharded = winners.withColumn("shard", shard_of(F.col("digest"), shards))
     return sharded.groupBy("shard").applyInPandas(build, INDEX_SCHEMA)
@@ -96,30 +123,36 @@ def shard_of(digest: Column, shards: int) -> Column:
     return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long") % F.lit(shards)
 
 
-def look_up(rows: DataFrame, index: DataFrame, shards: int, weights: DataFrame) -> DataFrame:
-    """``rows`` (row_id long, digest) with the locator of their digest, null for nonmembers.
+def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """``rows`` (with digest) with the locator of their digest, null for nonmembers.
 
-    A shard's index rows meet the rows in one task; a shard that has many
+    A shard's index row meets the rows in one task; a shard that has many
     rows (a large group of copies) is split over salts, each with a copy of
-    the shard's bounded index. ``weights``: (shard, parts) of such shards.
+    the shard's bounded index.
     """
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in ("keep_id", "keep_chars", "seen"))])
+    names = ("keep_id", "keep_chars", "seen")
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+    load = rows.groupBy(shard_of(F.col("digest"), shards).alias("shard")).agg(F.count("*").alias("s"))
+    weights = load.select("shard", F.ceil(F.col("s") / LOOKUP_ROWS).cast("long").alias("parts")).where("parts > 1")
 
     def find(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.drop(columns=["shard", "salt"])
-        none = np.full(len(left), None, object)
         if not len(right) or not len(left):
-            return left.assign(keep_id=none, keep_chars=none, seen=none).head(len(left))
-        right = right.sort_values("slot")
-        slots = PerfectHash(_keys(right["digest"])).slots(_keys(left["digest"]))
-        kept = right["digest"].to_numpy()
-        same = np.fromiter((s >= 0 and kept[s] == d for s, d in zip(slots, left["digest"], strict=True)), bool, len(left))  # the byte check
-        found = {c: pd.Series(right[c].to_numpy()[np.where(same, slots, 0)], index=left.index).astype("Int64").where(pd.Series(same, index=left.index)) for c in ("keep_id", "keep_chars", "seen")}
+            return left.assign(**{n: np.full(len(left), None, object) for n in names})
+        row = right.iloc[0]
+        wanted = _matrix(left["digest"])
+        slots = PerfectHash.unpacked(list(row["bits"]), row["rest"]).slots(_keys(wanted, int(row["at"])))
+        kept = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
+        same = (slots >= 0) & (kept[np.maximum(slots, 0)] == wanted).all(1)  # the byte check
+        found = {n: pd.array(np.array(row[n], object)[np.where(same, slots, 0)], "Int64") for n in names}
+        for column in found.values():
+            column[~same] = pd.NA
         return left.assign(**found)
 
-    salted = rows.withColumn("shard", shard_of(F.col("digest"), shards)).join(weights, "shard", "left")
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.coalesce(F.col("parts"), F.lit(1)))).drop("parts")
-    copies = index.join(weights, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)).cast("long") - 1))).drop("parts")
+    one = F.lit(1).cast("long")
+    salted = rows.withColumn("shard", shard_of(F.col("digest"), shards)).withColumn("_n", F.monotonically_increasing_id()).join(weights, "shard", "left")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("_n"), F.coalesce(F.col("parts"), one))).drop("parts", "_n")
+    copies = index.join(weights, "shard", "left").withColumn("salt", F.explode(F.sequence(one - 1, F.coalesce(F.col("parts"), one) - 1))).drop("parts")
     return salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(find, schema)
 
 
@@ -128,55 +161,61 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
 
 
+def _winners(rows: DataFrame) -> DataFrame:
+    """Per digest the row with the most characters, then the smallest id, and how many rows there are."""
+    best = F.max(F.struct("chars", (-F.col("row_id")).alias("neg")))
+    own = rows.groupBy("digest").agg(best.alias("b"), F.count("*").alias("seen"))
+    return own.select("digest", (-F.col("b.neg")).alias("keep_id"), F.col("b.chars").alias("keep_chars"), "seen")
+
+
+def _indexed(winners: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    shards = max(1, -(-winners.count() // SHARD_DIGESTS))
+    return common.staged(build_index(winners, shards), tag), shards
+
+
 def exact_groups(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Groups of equal texts. ``docs``: doc_id long, text string; other columns are ignored.
 
-    Texts are equal when identical without white space. ``history`` is an index
-    table of earlier corpora (digest, keep_id, keep_chars, seen). A row whose
-    digest is a member (found through the perfect hash, full digest compared)
-    joins that group; nonmembers are grouped among themselves. The row with
-    the most code points, then the smallest doc_id, is kept, historical
-    winners included.
+    Texts are equal when identical without white space. ``history`` is a
+    table of earlier corpora (digest, keep_id, keep_chars, seen). Its distinct
+    digests go into a minimal perfect hash, whose slots hold the full digest
+    and the winner's locator. A row whose digest is found there, byte by byte,
+    joins that group; nonmembers are grouped among themselves. The row with the
+    most code points, then the smallest doc_id, is kept, historical winners
+    included. A second hash, over the groups that then hold, gives every row its
+    winner.
 
-    Without a history the corpus' own distinct digests are the history: one
-    grouped pass finds each digest's winner, the hash over them then gives
-    each row its winner.
+    Without a history the first half of the rows, by a hash of doc_id, is the
+    history of the second.
 
     Null or empty texts form one group. A null doc_id is never chosen while
-    another row of its group has one. Repeated rows count each; of rows with
-    the winner's doc_id, kept is true for all. An empty table gives no rows.
-    Returns doc_id, keep_id, group_size, kept, text_sha256.
+    another row of its group with as many characters has one. Repeated rows
+    count each; of rows with the winner's doc_id, kept is true for all. An
+    empty table gives no rows. Returns doc_id, keep_id, group_size, kept,
+    text_sha256.
     """
-    spark = docs.sparkSession
     rows = common.staged(digests(docs).withColumnRenamed("doc_id", "row_id"), "digests")
-    best = F.max(F.struct("chars", (-F.col("row_id")).alias("neg")))
-    own = rows.groupBy("digest").agg(best.alias("b"), F.count("*").alias("seen"))
-    winners = own.select("digest", (-F.col("b.neg")).alias("keep_id"), F.col("b.chars").alias("keep_chars"), "seen")
-    past = winners if history is None else history.select("digest", "keep_id", "keep_chars", "seen")
-    winners = common.staged(past, "winners")
-    n = winners.count()
-    shards = max(1, -(-n // SHARD_DIGESTS))
-    index = common.staged(build_index(winners, shards), "index")
-    load = index.groupBy("shard").agg(F.sum("seen").alias("s")) if history is None else rows.groupBy(shard_of(F.col("digest"), shards).alias("shard")).agg(F.count("*").alias("s"))
-    weights = load.select("shard", F.ceil(F.col("s") / LOOKUP_ROWS).cast("long").alias("parts")).where("parts > 1")
-    found = look_up(rows, index, shards, weights)
-    if history is not None:
-        found = _with_batch(common.staged(found, "found"))
-    return found.select(
+    first = F.pmod(F.xxhash64("row_id"), F.lit(2)) == 0
+    batch = rows.where(~first) if history is None else rows
+    past = _winners(rows.where(first)) if history is None else history.select("digest", "keep_id", "keep_chars", "seen")
+    past = common.staged(past, "winners")
+    index, shards = _indexed(past, "index")
+    found = common.staged(look_up(batch, index, shards), "found")
+    again = _winners(found.where("seen is not null")).toDF("digest", "new_id", "new_chars", "more")
+    known = past.join(again, "digest", "left" if history is None else "inner")
+    better = (F.col("new_chars") > F.col("keep_chars")) | ((F.col("new_chars") == F.col("keep_chars")) & (F.col("keep_id").isNull() | (F.col("new_id") < F.col("keep_id"))))
+    known = known.select(
+        "digest", F.when(better, F.col("new_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.greatest("keep_chars", "new_chars").alias("keep_chars"), (F.col("seen") + F.coalesce("more", F.lit(0))).alias("seen"),
+    )
+    groups = common.staged(known.unionByName(_winners(found.where("seen is null").drop("keep_id", "keep_chars", "seen"))), "groups")
+    index, shards = _indexed(groups, "index")
+    return look_up(rows, index, shards).select(
         F.col("row_id").alias("doc_id"), "keep_id", F.col("seen").alias("group_size"),
         F.col("row_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def _with_batch(found: DataFrame) -> DataFrame:
-    """Join the batch's own rows to what the history said: members may bring a longer winner, nonmembers group alone."""
-    best = F.max(F.struct("chars", (-F.col("row_id")).alias("neg")))
-    mine = found.groupBy("digest").agg(best.alias("b"), F.count("*").alias("n"), F.max(F.struct("keep_chars", (-F.col("keep_id")).alias("neg"))).alias("h"), F.max("seen").alias("s"))
-    top = F.greatest(F.struct(F.coalesce("b.chars", F.lit(-1)).alias("c"), F.col("b.neg").alias("g")), F.struct(F.coalesce("h.keep_chars", F.lit(-1)).alias("c"), F.col("h.neg").alias("g")))
-    mine = mine.select("digest", (-top["g"]).alias("keep_id"), (F.col("n") + F.coalesce("s", F.lit(0))).alias("seen"))
-    return found.drop("keep_id", "keep_chars", "seen").join(mine, "digest")
-
-
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that their group keeps, one of each group; columns unchanged."""
     groups = common.staged(exact_groups(docs), "groups")

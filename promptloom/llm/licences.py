@@ -2,154 +2,179 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .licence_texts import NOTICES, OPENINGS, TEXTS
 
-#: Notices by licence: what headers say, and the core of the licence files.
-TEMPLATES = {
-    "AGPL-3.0": [
-        "Licensed under the GNU Affero General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-        "Apache License Version 2.0, January 2004. Terms and conditions for use, reproduction, and distribution.",
-    ],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following two conditions are met"],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistributions of source code must retain the above copyright notice. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal."],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    ],
-    "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
-}
-#: Least cosine of a header line, and of a whole text that is a licence file.
-HEADER_COSINE, FILE_COSINE = 0.7, 0.5
+#: Words are hashed to 2**18 features; their document frequencies are counted over all documents.
+FEATURE_BITS = 18
+#: Least cosine of a window; share of a text's words that a whole licence must fill for a licence file;
+#: before which word a licence's opening must begin for that.
+LEAST, FILLED, AT_START = 0.7, 0.5, 50
 _WORD = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-#: Lines without any of these are no headers (every template has one).
-_HINTS = (b"licen", b"copyright", b"redistribut", b"public domain", b"hereby granted", b"free software", b"waived", b"cc0")
+_FILE_NAME = re.compile(r"(?i)^(?:un)?(?:licen[cs]e|copying)(?:[-._].*)?$")
 
 
-def words(text: bytes) -> list[bytes]:
-    return _WORD.findall(text.lower())
+class _Features(dict):
+    """The feature of each word; frequent words are hashed once."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word) >> (64 - FEATURE_BITS)
+        return got
 
-def templates() -> list[tuple[str, Counter]]:
-    return [(name, Counter(words(t.encode()))) for name, texts in sorted(TEMPLATES.items()) for t in texts]
+
+def features(text: bytes, known: dict) -> np.ndarray:
+    """The features of all words of a text, in order; line ends and comment marks are between words."""
+    words = _WORD.findall(text.lower())
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 class Matcher:
-    """Cosines to all templates. ``df``: documents with a word, of ``n``; words of no template count as the rarest."""
-
-    def __init__(self, df: dict[bytes, int], n: int) -> None:
-        self.rare = math.log((1 + n) / 2) + 1
-        vocabulary = {w for _, t in templates() for w in t}
-        self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in sorted(vocabulary)}
-        self.known = []
-        for name, t in templates():
-            v = {w: c * self.idf[w] for w, c in sorted(t.items())}
-            size = math.sqrt(sum(x * x for x in v.values()))
-            self.known.append((name, {w: x / size for w, x in v.items()}))
-
-    def best(self, text: bytes) -> tuple[str | None, float]:
-        """The template with the largest cosine, ties to the first by name; (None, 0) if no word is shared."""
-        tf = Counter(words(text))
-        v = {w: c * self.idf.get(w, self.rare) for w, c in tf.items()}
-        size = math.sqrt(math.fsum(x * x for x in v.values()))
-        found: tuple[str | None, float] = (None, 0.0)
-        for name, t in self.known:
-            dot = math.fsum(x * v[w] for w, x in t.items() if w in v)
-            if dot and dot / size > found[1] + 1e-12:
-                found = (name, dot / size)
+    """The best window of a text for each template. ``df``: documents with a feature, of ``n``.
+
+    A window has as many words as the template (or all of a shorter text). Its
+    vector holds count times idf for every word, in the template or not.
+    """
+
+    def __init__(self, df: np.ndarray, n: int) -> None:
+        self.idf = np.log((1 + n) / (1 + df)) + 1
+        known = _Features()
+        kinds = [(name, kind, t) for kind, of in (("notice", NOTICES), ("text", TEXTS), ("opening", OPENINGS)) for name, texts in of.items() for t in texts]
+        self.names, self.kinds, texts = zip(*sorted(kinds), strict=True)
+        ids = [features(t.encode(), known) for t in texts]
+        self.lengths = [len(i) for i in ids]
+        vocabulary = np.unique(np.concatenate(ids))
+        self.place = np.full(1 << FEATURE_BITS, len(vocabulary), np.int64)  # the last place: a word of no template
+        self.place[vocabulary] = np.arange(len(vocabulary))
+        self.units = np.zeros((len(ids), len(vocabulary) + 1))
+        for row, i in zip(self.units, ids, strict=True):
+            np.add.at(row, self.place[i], self.idf[i])
+        self.units /= np.sqrt((self.units**2).sum(1))[:, None]
+        self.squares = self.units**2
+
+    def windows(self, ids: np.ndarray) -> list[tuple[int, float, int]]:
+        """(template, cosine, first word) of the best window of each template that has one of cosine ``LEAST`` or more."""
+        if not len(ids):
+            return []
+        at = self.place[ids]
+        met = np.zeros(self.units.shape[1])
+        met[at] = 1
+        met[-1] = 0
+        possible = np.flatnonzero(self.squares @ met >= LEAST**2 - 1e-9)  # shared words alone bound the cosine
+        if not len(possible):
+            return []
+        weight = self.idf[ids]
+        squares = np.r_[0, np.cumsum(weight**2)]
+        found = []
+        for t in possible:
+            n = min(self.lengths[t], len(ids))
+            dots = np.r_[0, np.cumsum(self.units[t][at] * weight)]
+            dot = dots[n:] - dots[:-n]
+            bound = dot / np.sqrt(squares[n:] - squares[:-n])  # repeated words only make a vector longer
+            best, where = 0.0, -1
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] < max(LEAST, best) - 1e-9:
+                    break
+                part, counts = np.unique(ids[i : i + n], return_counts=True)
+                cosine = float(dot[i] / np.sqrt(((counts * self.idf[part]) ** 2).sum()))
+                if cosine > best + 1e-9 or (cosine > best - 1e-9 and i < where):
+                    best, where = max(best, cosine), int(i)
+            if best >= LEAST - 1e-9:
+                found.append((int(t), best, where))
         return found
 
-    def scan(self, text: bytes) -> tuple[str | None, float, str | None, float]:
-        """(licence, cosine) of the best header line and of the whole text; no licence below the thresholds."""
-        low = text.lower()
-        if not any(h in low for h in _HINTS):
-            return None, 0.0, None, 0.0
-        head: tuple[str | None, float] = (None, 0.0)
-        for line in text.split(b"\n"):
-            if any(h in line.lower() for h in _HINTS):
-                got = self.best(line)
-                head = got if got[1] > head[1] + 1e-12 else head
-        whole = self.best(text)
-        return (*(head if head[1] >= HEADER_COSINE else (None, head[1])), *(whole if whole[1] >= FILE_COSINE else (None, whole[1])))
+    def scan(self, ids: np.ndarray, named: bool) -> tuple[str | None, float | None, str | None, float | None]:
+        """(licence, cosine) of the best window of all, and of the best one that makes the text a licence file."""
+        own: tuple = (None, None)
+        whole: tuple = (None, None)
+        for t, cosine, at in self.windows(ids):
+            if own[1] is None or cosine > own[1] + 1e-9:
+                own = (self.names[t], cosine)
+            kind = self.kinds[t]
+            if kind != "notice" and (named or (kind == "text" and self.lengths[t] >= FILLED * len(ids)) or (kind == "opening" and at < AT_START)):
+                if whole[1] is None or cosine > whole[1] + 1e-9:
+                    whole = (self.names[t], cosine)
+        return (*own, *whole)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vocabulary = {w for _, t in templates() for w in t}
-    df: Counter = Counter()
-    n = 0
+    known, df, n = _Features(), np.zeros(1 << FEATURE_BITS, np.int64), 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            for text in batch.column(0).slice(at, 1000).to_pylist():
-                n += 1
-                df.update(vocabulary.intersection(words(text or b"")))
-    yield pa.record_batch([pa.array([b"", *df], pa.binary()), pa.array([n, *df.values()], pa.int64())], names=["word", "n"])
+        for at in range(0, batch.num_rows, 200):
+            part = [np.unique(features(t, known)) for t in batch.column(0).slice(at, 200).to_pylist() if t]
+            if part:
+                df += np.bincount(np.concatenate(part), minlength=len(df))
+        n += batch.num_rows
+    at = np.flatnonzero(df)
+    yield pa.record_batch([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], names=["feature", "n"])
 
 
 def _scan(matcher: Matcher):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Features()
+        kinds = (pa.string(), pa.float64(), pa.string(), pa.float64())
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                got = [matcher.scan(t or b"") for t in part.column(2).to_pylist()]
-                cols = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.string(), pa.float64()))]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                got = [matcher.scan(features(t or b"", known), bool(p) and bool(_FILE_NAME.match(p.rsplit("/", 1)[-1]))) for p, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                cols = [pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]
                 yield pa.record_batch([part.column(0), part.column(1), *cols], names=["doc_id", "path", "own", "cosine", "file", "file_cosine"])
 
     return run
 
 
 def scan(docs: DataFrame, path: Column) -> DataFrame:
-    """The licence of every document: its own header's, or that of the nearest licence file in a directory above.
+    """The licence of every document: its own text's, or that of the nearest licence file in a directory above.
 
     ``docs``: doc_id long, text string; ``path``: a column with '/' between
-    directories. Word frequencies are those of all documents. A header is a
-    line whose TF-IDF cosine to a template reaches 0.7; a document whose whole
-    text reaches 0.5 is a licence file for its directory (of several the best
-    cosine, then the smallest doc_id). A document without a header takes the
-    licence of the file in its directory or, failing that, the nearest one
-    above.
+    directories. Word frequencies are those of all documents, by 2**18 hashed
+    features. Every window of a text that is as long as a template, over line
+    ends and comment marks, is compared with it; a TF-IDF cosine of 0.7 or more
+    is a match, and a document's own licence is its best one (ties: the first by
+    name). A document is a licence file for its directory if a licence's text
+    fills half of it, if it begins with a long licence's opening, or if its name
+    says so and it holds either (of several files the best cosine, then the
+    smallest doc_id). A document without a licence of its own takes that of the
+    file in its directory or, failing that, the nearest one above.
 
     Null texts count as empty; a null path inherits nothing and gives
     nothing. Null or repeated doc_ids are rows like any other; other columns
     are ignored; an empty table gives no rows. Returns doc_id, path, licence,
-    basis (header, file, inherited or none), cosine (of the header), from_dir.
+    basis (file, header, inherited or none), cosine (of the best window, null
+    without a match), from_dir.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.cast("string").alias("path"), F.col("text").cast("binary").alias("text"))
-    counts = rows.select("text").mapInArrow(_frequencies, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the templates' words
-    df = {bytes(r["word"]): r["n"] for r in counts}
-    matcher = Matcher(df, df.pop(b"", 0))
+    counts = rows.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # one row per feature
+    df = np.zeros(1 << FEATURE_BITS, np.int64)
+    seen = counts[counts["feature"] >= 0]
+    df[seen["feature"].to_numpy()] = seen["n"].to_numpy()
+    matcher = Matcher(df, int(counts.loc[counts["feature"] < 0, "n"].sum()))
     noted = rows.mapInArrow(_scan(matcher), "doc_id long, path string, own string, cosine double, file string, file_cosine double")
     above_name = F.expr("substring(path, 1, greatest(0, length(path) - length(substring_index(path, '/', -1)) - 1))")
     noted = common.staged(noted.withColumn("dir", above_name), "licences")
-    files = noted.where("file is not null and path is not null").groupBy("dir").agg(F.max(F.struct("file_cosine", (-F.col("doc_id")).alias("neg"), "file")).alias("f")).select("dir", F.col("f.file").alias("licence"))
-    dirs = noted.where("own is null and path is not null").select("dir").distinct()
-    above = dirs.withColumn("up", F.explode(F.expr("transform(sequence(0, size(split(dir, '/'))), n -> array_join(slice(split(dir, '/'), 1, n), '/'))"))).distinct()
-    nearest = above.join(files.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("licence", "up"), F.length("up")).alias("x")).select("dir", F.col("x.licence").alias("inherited"), F.col("x.up").alias("from_dir"))
-    out = noted.join(nearest, "dir", "left")
-    whole = F.col("file").isNotNull()
-    licence = F.coalesce("own", "file", "inherited")
-    basis = F.when(F.col("own").isNotNull(), "header").when(whole, "file").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
+    files = noted.where("file is not null and path is not null").groupBy("dir").agg(F.max(F.struct("file_cosine", (-F.col("doc_id")).alias("neg"), "file")).alias("f")).select(F.col("dir").alias("up"), F.col("f.file").alias("licence"))
+    dirs = noted.where("own is null and path is not null").groupBy("dir").agg(F.count("*").alias("docs"))
+    parents = "transform(sequence(0, size(split(dir, '/'))), n -> array_join(slice(split(dir, '/'), 1, n), '/'))"
+    above = common.staged(dirs.select("dir", "docs", F.explode(F.array_distinct(F.expr(parents))).alias("up")), "above")
+    files = common.staged(files.join(above.groupBy("up").agg(F.count("*").alias("below")), "up"), "files")
+    near = common.join_by_key(above, files, "up", "below").groupBy("dir").agg(F.max_by(F.struct("licence", "up"), F.length("up")).alias("x"), F.max("docs").alias("docs"))
+    near = common.staged(near.select("dir", F.col("x.licence").alias("inherited"), F.col("x.up").alias("from_dir"), "docs"), "inherited")
+    bare = F.col("own").isNull() & F.col("path").isNotNull()
+    heirs = common.join_by_key(noted.where(bare), near, "dir", "docs", "left").drop("docs")
+    none = F.lit(None).cast("string")
+    out = noted.where(~bare).select("*", none.alias("inherited"), none.alias("from_dir")).unionByName(heirs)
+    licence = F.coalesce("file", "own", "inherited")
+    basis = F.when(F.col("file").isNotNull(), "file").when(F.col("own").isNotNull(), "header").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", licence.alias("licence"), basis.alias("basis"), F.round("cosine", 6).alias("cosine"), F.when(basis == "inherited", F.col("from_dir")).alias("from_dir"))
 
 

@@ -19,5 +19,6 @@ SQL = {
     "op1_knn": knn.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
     "op3_secrets": secrets.OP3_SQL,
+    "op4_jaccard_join": neardup.OP4_SQL,
     "op6_exact_dedup": dedup.OP6_SQL,
 }

@@ -61,8 +61,9 @@ def _scan(rules: tuple[Rule, ...]):
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """What the ledger at ``path`` says, one row per key even if an append ran twice; None before the first append."""
     try:
-        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+        return spark.read.schema(LEDGER_SCHEMA).parquet(path).dropDuplicates(["blob", "kind", "version"])
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -127,8 +128,10 @@ def find_secrets(docs: DataFrame, path: str | None = None, rules: tuple[Rule, ..
     one = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))  # a blob's rules: few rows
     one = one.withColumn("spans", F.expr("array_join(transform(x, y -> concat(y.kind, ':', y.s, ':', y.e)), ',')"))
     counts = [F.expr(f"cast(size(filter(x, y -> y.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    one = one.select("blob", "spans", *counts)
-    rows = noted.select("doc_id", "blob").join(one, "blob", "left")
+    seen = noted.where(F.size("hinted") > 0).select("doc_id", "blob")
+    one = one.select("blob", "spans", *counts).join(seen.groupBy("blob").agg(F.count("*").alias("rows")), "blob")
+    rows = common.join_by_key(seen, common.staged(one, "found"), "blob", "rows", "left")
+    rows = rows.unionByName(noted.where(F.size("hinted") == 0).select("doc_id", "blob"), allowMissingColumns=True)  # nothing to find in them
     zero = F.lit(0).cast("long")
     return rows.select("doc_id", *(F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(F.coalesce("spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 

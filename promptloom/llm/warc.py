@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -25,18 +26,24 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _VERSION = b"WARC/1.1\r\n"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, digest: str, size: int, refers: tuple[int, str | None] | None) -> bytes:
-    """One WARC record. A revisit has no payload; its headers keep the payload's digest and size."""
-    body = payload if kind == "response" else b""
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, digest: str, size: int, refers: tuple[int, str | None] | None, date: str) -> bytes:
+    """One WARC record: a response holds the payload as an HTTP message, a revisit has no block; its headers keep the payload's digest and size."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    body = http + payload if kind == "response" else b""
     head = [
-        f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {_clean(url)}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {size}", "Content-Type: text/html", f"Content-Length: {len(body)}",
+        f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_target(page_id, url)}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {size}", f"X-Page-ID: {'' if page_id is None else page_id}",
+        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if refers:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers[0]}>", f"WARC-Refers-To-Target-URI: {_clean(refers[1])}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {_target(*refers)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers[0]}"]
     return _VERSION + "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def _target(page_id: int | None, url: str | None) -> str:
+    return _clean(url) or f"urn:page:{'' if page_id is None else page_id}"
+
+
 def _clean(url: str | None) -> str:
     return "".join(c for c in url or "" if c not in "\r\n")
 
@@ -104,7 +111,8 @@ class BundleReader:
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    """The shared folder's file system, local mount or remote store, by its URI."""
+    """The shared folder's file system, local mount or remote store, by its URI (s3a is the same store as s3)."""
+    folder = re.sub("^s3[an]://", "s3://", folder)
     return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
 
 
@@ -112,7 +120,7 @@ INDEX = "page_id long, bundle string, frame int, offset long"
 _WRITE_COLUMNS = ("page_id", "url", "payload", "digest", "size", "refers_to", "refers_url")
 
 
-def _write(folder: str):
+def _write(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
         name = out = writer = None
@@ -132,7 +140,7 @@ def _write(folder: str):
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)  # the frames are ours
                         writer, index, load = BundleWriter(out), [], 0
                     kind = "response" if refers is None else "revisit"
-                    raw = record(page, url, payload, kind, digest, size, None if refers is None else (refers, refers_url))
+                    raw = record(page, url, payload, kind, digest, size, None if refers is None else (refers, refers_url), date)
                     index.append((page, name, *writer.add(raw)))
                     load += len(raw)
                     if load >= BUNDLE_BYTES or len(index) >= BUNDLE_RECORDS:
@@ -159,12 +167,13 @@ def _read(folder: str, with_payload: bool):
                 if frame != frame_as:
                     frame_as, raw = frame, reader.frame(frame)
                 head, body = parse(raw, offset)
+                body = body.partition(b"\r\n\r\n")[2]
                 digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                if head["WARC-Record-ID"] != f"<urn:page:{'' if page is None else page}>":
+                if head["X-Page-ID"] != ("" if page is None else str(page)):
                     raise ValueError("the index and the archive disagree")
                 if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
                     raise ValueError("a payload doesn't match its digest")
-                refers = int(head["WARC-Refers-To"][len("<urn:page:") : -1]) if kind == "revisit" else None
+                refers = int(head["X-Refers-To-Page"]) if kind == "revisit" else None
                 size = len(body) if kind == "response" else int(head["X-Payload-Bytes"])
                 out.append((page, size, digest, kind, refers, body if with_payload and kind == "response" else None))
             if out:
@@ -174,28 +183,33 @@ def _read(folder: str, with_payload: bool):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a record per page into bundles in ``folder`` (a folder that all executors share); returns the index.
 
     The index maps each page_id to its bundle, frame and offset in the frame.
-    ``pages``: page_id, url, html; other columns are ignored. A null html is
-    an empty payload, a null url an empty target. Of records with equal
-    payloads of 1000 bytes or more the one with the largest page_id is the
-    response, the others revisit it; of rows that repeat that page_id all are
-    responses. Rows with a null page_id are always responses.
+    ``pages``: page_id, url, html; other columns are ignored. ``date``: when
+    the pages were captured (every record must have a WARC-Date). A null html
+    is an empty payload; a page without a url gets the target urn:page:id. Of
+    records with equal payloads of 1000 bytes or more the one with the largest
+    page_id is the response, the others revisit it; of rows that repeat that
+    page_id all are responses. Rows with a null page_id are always responses.
+
+    Which rows are revisits is found from ids and digests alone; the pages meet
+    that list by (page_id, digest), which Spark broadcasts if it is small by
+    the size of its files, and shuffles otherwise.
     """
     fs, base = _open(folder)
     fs.create_dir(base)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    keyed = rows.select("page_id", "url", "size", F.sha2("payload", 256).alias("key")).where(F.col("size") >= LEAST_REVISIT)
-    firsts = keyed.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("f"))
-    revisits = keyed.join(firsts, "key").where(F.col("page_id") < F.col("f.page_id"))
-    revisits = revisits.select(F.col("page_id").alias("_p"), F.col("key").alias("_k"), F.col("f.page_id").alias("refers_to"), F.col("f.url").alias("refers_url")).distinct()
-    rows = rows.withColumn("key", F.sha2("payload", 256)).join(revisits, (F.col("page_id") == F.col("_p")) & (F.col("key") == F.col("_k")), "left")
+    keyed = common.staged(rows.where(F.col("size") >= LEAST_REVISIT).select("page_id", "url", "digest", F.sha2("payload", 256).alias("key")), "warc-keys")
+    firsts = keyed.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    revisits = common.join_by_key(keyed, common.staged(firsts, "warc-firsts"), "key", "n").where(F.col("page_id") < F.col("f.page_id"))
+    revisits = common.staged(revisits.select("page_id", "digest", F.col("f.page_id").alias("refers_to"), F.col("f.url").alias("refers_url")).distinct(), "warc-revisits")
+    rows = rows.join(revisits, ["page_id", "digest"], "left")
     rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
-    index = rows.select(*_WRITE_COLUMNS).mapInArrow(_write(folder), INDEX)
+    index = rows.select(*_WRITE_COLUMNS).mapInArrow(_write(folder, date), INDEX)
     return common.staged(index, "warc-index")
 
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -67,9 +68,20 @@ def test_dedup_history(spark):
 
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
-    table = dedup.PerfectHash(keys)
+    table = dedup.PerfectHash.build(keys)
     assert sorted(table.slots(keys).tolist()) == list(range(len(keys)))
-    assert dedup.PerfectHash(keys[:0]).slots(keys[:3]).tolist() == [-1] * 3
+    again = dedup.PerfectHash.unpacked(*table.packed())
+    assert again.slots(keys).tolist() == table.slots(keys).tolist()
+    assert dedup.PerfectHash.build(keys[:0]).slots(keys[:3]).tolist() == [-1] * 3
+
+
+def test_dedup_hot_group(spark, monkeypatch):
+    """Many shards, and a group of copies whose shard is looked up in parts; every row without an id."""
+    monkeypatch.setattr(dedup, "SHARD_DIGESTS", 20)
+    monkeypatch.setattr(dedup, "LOOKUP_ROWS", 30)
+    got = dedup.exact_groups(documents(spark, ["hot text"] * 400 + [f"text {i}" for i in range(100)], [None] * 300 + list(range(200))))
+    by = {(r["keep_id"], r["group_size"]) for r in got.collect()}
+    assert by == {(0, 400)} | {(i, 1) for i in range(100, 200)}
 
 
 def brute_groups(texts):
@@ -103,9 +115,24 @@ def test_neardup(spark, texts, monkeypatch, short, weight):
     assert got == sorted(brute_groups(texts), key=repr)
 
 
+def test_neardup_long_lists(spark, texts, monkeypatch):
+    """Token lists that are tied in parts, and hot keys that are joined by broadcast or not."""
+    monkeypatch.setattr(neardup, "excess", lambda counts: np.maximum(0, counts - 3).astype(np.int64))
+    monkeypatch.setattr(neardup, "LONG_LIST", 1)
+    monkeypatch.setattr(common, "HOT_SHARE", 0.05)
+    assert rows(neardup.jaccard_groups(documents(spark, texts)), "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute_groups(texts), key=repr)
+
+
 def test_neardup_edges(spark):
-    got = rows(neardup.jaccard_groups(documents(spark, ["x y", "x y", "x y", None], [None, 4, 4, 5])), "doc_id", "component_id")
-    assert got == [(4, 4), (4, 4), (5, 5), (None, 4)]
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    odd = ["x y", "x y", "x y", None, base, base + " 1", base + " 2", "other words than those of the rest"]
+    docs = documents(spark, odd, [None, 4, 4, 5, None, None, 9, 9])
+    got = rows(neardup.jaccard_groups(docs), "doc_id", "component_id", "n_links")
+    assert got == sorted([(4, 4, 2), (4, 4, 2), (None, 4, 2), (5, 5, 0), (None, 9, 2), (None, 9, 2), (9, 9, 2), (9, 9, 0)], key=repr)
+    kept = rows(neardup.one_of_each_group(docs), "doc_id", "text")
+    assert kept == sorted([(4, "x y"), (4, "x y"), (5, None), (9, base + " 2"), (9, odd[-1])], key=repr)
+    bare = neardup.one_of_each_group(documents(spark, [base, base + " 1"], [None, None]))
+    assert [r["text"] for r in bare.collect()] in ([base], [base + " 1"])
     assert neardup.jaccard_groups(documents(spark, ["a"]).limit(0)).count() == 0
 
 
@@ -312,13 +339,20 @@ def test_secrets(spark, tmp_path):
     newer = (secrets.RULES[0], secrets.RULES[1], secrets.Rule("hex", 2, r"[0-9a-f]{30,}", re.ASCII, 0, 30, "[0-9a-f]{30}"))
     assert secrets.scan_new(secrets.versions(more, newer), path, newer).where("kind <> 'hex'").count() == 0
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+    spark.read.parquet(path).where("kind = 'assign'").write.parquet(path + "-again")
+    spark.read.parquet(path + "-again").write.mode("append").parquet(path)  # an append that ran twice
+    again = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs, path).collect()}
+    assert again == {i: secrets.brute_force(t)[-1] for i, t in enumerate([*SECRETS, SECRETS[2]])}
+    long = "word " * 200_000 + 'token = "abcdef123"'
+    (one,) = secrets.find_secrets(documents(spark, [long])).collect()
+    assert one["spans"] == secrets.brute_force(long)[-1] != ""
 
 
 def test_warc(spark):
     big, small = "<p>" + "é" * 600, "<p>small"
     pages = spark.createDataFrame([(1, "http://a", big, "x"), (5, "http://b\r\nX: y", big, "x"), (3, None, big, "x"), (2, "u", small, "x"), (4, "u", small, "x"), (6, "u", None, "x"), (None, "u", big, "x"), (7, "u", "\r\n\r\nWARC/1.1\r\n", "x")], "page_id long, url string, html string, bundle string")
     folder = common.scratch_path(spark, "warc")
-    index = warc.write_archives(pages, folder)
+    index = warc.write_archives(pages, folder, "2024-05-06T07:08:09Z")
     got = {r["page_id"]: r for r in warc.read_archives(index, folder).collect()}
     for page, _, html, _ in pages.collect():
         raw = (html or "").encode()
@@ -328,6 +362,21 @@ def test_warc(spark):
         assert (r["record_type"], r["refers_to"]) == (("revisit", 5) if revisit else ("response", None))
         assert r["payload"] is None if revisit else bytes(r["payload"]) == raw
     assert warc.write_archives(pages.limit(0), folder).count() == 0
+    heads = []
+    for r in index.collect():
+        fs, base = warc._open(folder)
+        head, body = warc.parse(warc.BundleReader(fs.open_input_file(f"{base}/{r['bundle']}")).frame(r["frame"]), r["offset"])
+        assert head["WARC-Date"] == "2024-05-06T07:08:09Z" and head["WARC-Target-URI"] and (head["WARC-Type"] == "revisit" or body.startswith(b"HTTP/1.1 200 OK"))
+        heads.append(head["WARC-Record-ID"])
+    assert len(set(heads)) == 8
+
+
+def test_warc_long_record(spark):
+    folder = common.scratch_path(spark, "warc")
+    html = "<p>" + "long " * 1_000_000
+    pages = spark.createDataFrame([(1, "u", html), (2, "v", html), (2, "w", html), (3, "x", "<p>y")], "page_id long, url string, html string")
+    got = rows(warc.read_archives(warc.write_archives(pages, folder), folder), "page_id", "payload_bytes", "record_type", "refers_to")
+    assert got == [(1, len(html), "revisit", 2), (2, len(html), "response", None), (2, len(html), "response", None), (3, 4, "response", None)]
 
 
 def test_bundle_frames_stand_alone(tmp_path):
@@ -345,10 +394,65 @@ def test_bundle_frames_stand_alone(tmp_path):
     assert len(whole) == 2_000_000  # any reader passes over the seek table
 
 
+def brute_licence(texts, names):
+    """(own, cosine, file) of every text, by plain dictionaries over all windows."""
+    def words(t):
+        return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", (t or "").lower())
+
+    n, df = len(texts), Counter(w for t in texts for w in set(words(t)))
+    idf = lambda w: math.log((1 + n) / (1 + df[w])) + 1
+    vector = lambda ws: {w: c * idf(w) for w, c in Counter(ws).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = sorted((name, kind, t) for kind, of in (("notice", licences.NOTICES), ("text", licences.TEXTS), ("opening", licences.OPENINGS)) for name, ts in of.items() for t in ts)
+    out = []
+    for text, named in zip(texts, names, strict=True):
+        ws, own, whole = words(text), (None, 0.7 - 1e-9), (None, 0.7 - 1e-9)
+        for name, kind, t in known:
+            a = vector(words(t))
+            wide = min(len(words(t)), len(ws))
+            best, where = 0.0, 0
+            for i in range(len(ws) - wide + 1 if ws else 0):
+                b = vector(ws[i : i + wide])
+                c = sum(x * b.get(w, 0) for w, x in a.items()) / (size(a) * size(b))
+                if c > best + 1e-9:
+                    best, where = c, i
+            own = (name, best) if best > own[1] + 1e-9 else own
+            if kind != "notice" and (named or (kind == "text" and 2 * len(words(t)) >= len(ws)) or (kind == "opening" and where < 50)):
+                whole = (name, best) if best > whole[1] + 1e-9 else whole
+        out.append((own[0], round(own[1], 6) if own[0] else None, whole[0]))
+    return out
+
+
 def test_licences(spark):
-    docs = spark.createDataFrame([(1, "Released under the MIT License.", "a/LICENSE"), (2, "hello world", "a/b/c/x.txt"), (3, None, "z"), (4, "Licensed under the Apache License, Version 2.0.", "a/b/LICENSE"), (5, "foo", None), (6, "bar", "a/q.txt"), (7, "x\nReleased under the MIT License.\ny", "a/b/k")], "doc_id long, text string, path string")
-    got = {r["doc_id"]: (r["licence"], r["basis"], r["from_dir"]) for r in licences.scan(docs, F.col("path")).collect()}
-    assert got == {1: ("MIT", "header", None), 2: ("Apache-2.0", "inherited", "a/b"), 3: (None, "none", None), 4: ("Apache-2.0", "header", None), 5: (None, "none", None), 6: ("MIT", "inherited", "a"), 7: ("MIT", "header", None)}
+    gpl = "\n".join(f" * {x}" for x in re.findall(r".{1,50}(?: |$)", licences.NOTICES["GPL-3.0"][1]))
+    mpl = "/* " + licences.NOTICES["MPL-2.0"][1].replace(". ", ".\n * ") + " */"
+    rng = random.Random(4)
+    texts = {
+        "a/LICENSE": licences.TEXTS["MIT"][0], "a/b/c/x.txt": "hello world", "z": None, "a/b/COPYING": licences.OPENINGS["GPL-3.0"][0] + prose(rng, 900),
+        "a/b/y.c": gpl + "\nint main() { return 0; }\n" + prose(rng, 50), "a/q.txt": "", "a/b/k": "Copyright 2020 Foo. Released under the MIT License. See the file for more. " + prose(rng, 30),
+        "m/n.c": mpl + prose(rng, 40), "m/o.c": prose(rng, 60), "l/x": licences.TEXTS["BSD-3-Clause"][0].replace("\n", " "), "l/deep/er/z.c": "y " * 30,
+        "a/b/l.c": "Licensed under the Apache License, Version 2.0, January", "t/t": "license " * 50, "a/code.c": licences.TEXTS["ISC"][0] + prose(rng, 400), "a/b/c/x2.txt": "hello world",
+    }
+    docs = spark.createDataFrame([(i, t, p, "x") for i, (p, t) in enumerate(texts.items())] + [(99, "foo", None, "x"), (None, "bar", "a/r", "x")], "doc_id long, text string, path string, licence string")
+    every = [*texts.items(), (None, "foo"), ("a/r", "bar")]
+    want = brute_licence([t for _, t in every], [bool(p) and p.rsplit("/", 1)[-1] in ("LICENSE", "COPYING") for p, _ in every])
+    got = {r["path"]: r for r in licences.scan(docs, F.col("path")).collect()}
+    assert len(got) == len(every)
+    files = {p.rsplit("/", 1)[0]: w[2] for (p, _), w in zip(every, want, strict=True) if p and w[2]}
+    assert {"MIT", "GPL-3.0", "BSD-3-Clause"} <= set(files.values()) and "m" not in files
+    for (p, _), (own, cosine, whole) in zip(every, want, strict=True):
+        up, found = p.rsplit("/", 1)[0] if p and "/" in p else "", None
+        while p and not own and not whole and found is None:
+            found = (files[up], up) if up in files else found
+            if not up:
+                break
+            up = up.rsplit("/", 1)[0] if "/" in up else ""
+        basis = "file" if whole else "header" if own else "inherited" if found else "none"
+        r = got[p]
+        assert (r["licence"], r["basis"], r["from_dir"]) == (whole or own or (found or (None,))[0], basis, found[1] if basis == "inherited" else None), p
+        assert r["cosine"] == cosine or abs(r["cosine"] - cosine) < 2e-6, p
+    assert [got[p]["licence"] for p in ("a/b/y.c", "m/n.c", "a/b/k", "a/b/l.c", "a/code.c")] == ["GPL-3.0", "MPL-2.0", "MIT", "Apache-2.0", "ISC"]
+    assert got["a/code.c"]["basis"] == "header" and got["l/deep/er/z.c"]["licence"] == "BSD-3-Clause"
     assert licences.scan(docs.limit(0), F.col("path")).count() == 0
 
 
@@ -398,6 +502,41 @@ def test_quality(spark):
     assert empty.rules == () and quality.score(docs.limit(0), empty).count() == 0
 
 
+def plain_scores(model, texts):
+    """The compiled column, evaluated rule by rule."""
+    out = []
+    for t in texts:
+        x = dict(zip(quality.STATISTICS, quality.statistics((t or "").encode()), strict=True))
+        z = model.intercept + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all((x[n] > at) == above for n, above, at in rule))
+        out.append(1 / (1 + math.exp(-z)))
+    return out
+
+
+def test_quality_column_and_edges(spark, texts):
+    rng = random.Random(2)
+    every = [*texts, *(prose(rng, n % 60) + (" ##" * (n % 9)) for n in range(400))]
+    ids = [*range(len(every) - 2), 5, None]
+    docs = documents(spark, every, ids).withColumn("score", F.lit("x")).withColumn("_q_chars", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 9 < 4), 0) for i in range(len(every))] + [(3, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    assert model.rules
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 9)) for r in quality.score(docs, model).collect()), key=repr)
+    assert got == sorted(((i is None, i or 0, round(s, 9)) for i, s in zip(ids, plain_scores(model, every), strict=True)), key=repr)
+    kept = quality.accepted(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(s >= 0.5 for s in plain_scores(model, every))
+
+
+def test_lasso_is_optimal():
+    """At the optimum a kept rule's gradient equals the penalty, against the weight's sign; others' stay within it."""
+    rng = np.random.default_rng(3)
+    z = (rng.random((800, 12)) < 0.4).astype(float)
+    y = (rng.random(800) < 1 / (1 + np.exp(-(2 * z[:, 0] - 1.5 * z[:, 1])))).astype(float)
+    w, b = quality._lasso(z, y, 0.0)
+    slope = z.T @ (1 / (1 + np.exp(-(z @ w + b))) - y) / len(y)
+    assert np.abs(slope[w == 0]).max(initial=0) <= quality.PENALTY + 1e-5
+    assert np.allclose(slope[w != 0], -quality.PENALTY * np.sign(w[w != 0]), atol=1e-5) and abs(w[0] - 2) < 0.7
+
+
 def test_pipeline_stages(spark, tmp_path, texts):
     sf = str(tmp_path)
     docs = documents(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
@@ -410,8 +549,33 @@ def test_pipeline_stages(spark, tmp_path, texts):
     assert {r["doc_id"] for r in b.collect()} == {c for _, _, c, _ in brute_groups(texts)}
     c = corpus_pipeline.mix_sources(spark, docs, sf)
     assert c.columns == docs.columns and c.count() == len(texts)
-    out = corpus_pipeline.run(spark, sf)
-    assert out.count() > 0
+    d = corpus_pipeline.pack_sequences(spark, docs, sf)
+    assert {r["doc_id"] for r in d.collect()} == set(range(len(texts)))
+
+
+def test_pipeline_run(spark, tmp_path, texts):
+    """The whole against plain versions of its stages: who stays, every token of theirs, nothing else."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    every = [*texts, *(" ".join(w + "###" for w in prose(rng, 30).split()) for _ in range(120)), *(prose(rng, 30) for _ in range(120))]
+    sf = str(tmp_path)
+    docs = documents(spark, every).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    labels = spark.createDataFrame([(i, int("###" not in (t or "")), 0) for i, t in enumerate(every)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    ids = [i for i, s in enumerate(plain_scores(quality.train(docs, labels), every)) if s >= 0.5]
+    assert 0 < len(ids) < len(every) - 100
+    norm = lambda t: re.sub(r"[\x20\x09-\x0d]", "", t or "")
+    ids = [i for i in ids if i == min((j for j in ids if norm(every[j]) == norm(every[i])), key=lambda j: (-len(every[j] or ""), j))]
+    ids = [ids[c] for k, (_, _, c, _) in enumerate(brute_groups([every[i] for i in ids])) if c == k]
+    model = Tokenizer.from_file(packing.tokenizer_path())
+    want = {i: len(model.encode(every[i] or "", add_special_tokens=False).ids) + 1 for i in ids}
+    got = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    assert {i: sum(n for _, n in p) for i, p in got.items()} == want
+    assert all(a[0] + a[1] == b[0] for p in got.values() for a, b in zip(sorted(p), sorted(p)[1:]))
 
 
 def test_one_query_per_operator():
