@@ -36,6 +36,10 @@ class Dialect:
     def any(self, arr: str, name: str, body: str) -> str:
         return f"exists({arr}, {name} -> {body})"
 
+    def gate(self, arr: str, test: str) -> str:
+        """``arr``, or no element of it where ``test``, which holds for the whole row if it holds for any element, fails."""
+        return f"if({test}, {arr}, slice({arr}, 1, 0))"
+
     def let(self, value: str, name: str, body: str) -> str:
         """``body`` with ``name`` bound to ``value``. What a lambda refers to would otherwise be merged into it and computed per element."""
         return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -145,6 +149,9 @@ class Check(Dialect):
 
         return re.sub(rf"\b{i}\b", f"({i}_ - 1)", body)
 
+    def gate(self, arr: str, test: str) -> str:
+        return arr
+
     def let(self, value: str, name: str, body: str) -> str:
         return f"(list_transform([{value}], lambda {name}: {body}))[1]"
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from .dialect import Dialect
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space as Unicode has it, for character classes of either engine.
 WS = r"\t\n\x0B\x0C\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same characters as a literal.
+_WS_CHARS = "'" + "".join(f"\\u{c:04X}" for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) + "'"
 _SPECIAL = set("\\.^$|?*+()[]{}")
 
 
@@ -21,16 +25,19 @@ def lower(s: str) -> str:
 
 
 def trim(d: Dialect, s: str) -> str:
-    return d.replace_all(s, f"^[{WS}]+|[{WS}]+$", "")
+    return f"trim(BOTH {_WS_CHARS} FROM {s})" if d.name == "spark" else d.replace_all(s, f"^[{WS}]+|[{WS}]+$", "")
 
 
 def trim_end(d: Dialect, s: str) -> str:
-    return d.replace_all(s, f"[{WS}]+$", "")
+    return f"trim(TRAILING {_WS_CHARS} FROM {s})" if d.name == "spark" else d.replace_all(s, f"[{WS}]+$", "")
 
 
 def has(d: Dialect, s: str, words: tuple[str, ...]) -> str:
-    """Some word is a substring of ``s``."""
-    return d.matches(s, "|".join(quote(w) for w in words))
+    """Some word is a substring of ``s``. Plain searches: an alternation would be tried in full at every character."""
+    if d.name != "spark":
+        return d.matches(s, "|".join(quote(w) for w in words))
+    any_of = lambda x: "(" + " or ".join(d.contains(x, w) for w in words) + ")"
+    return any_of(s) if re.fullmatch(r"[A-Za-z_][\w.]*", s) else d.let(s, "s_", any_of("s_"))
 
 
 def first(d: Dialect, s: str, groups, default: str) -> str:
@@ -49,7 +56,8 @@ def lines(d: Dialect, s: str) -> str:
     parts = d.split(s, "\n")
     n = d.size(parts)
     kept = d.slice(parts, "0", f"({n} - case when {d.at(parts, f'({n} - 1)')} = '' then 1 else 0 end)")
-    return d.map(kept, "x", d.replace_all("x", "\r$", ""))
+    bare = d.map(kept, "x", d.replace_all("x", "\r$", ""))
+    return f"if(contains({s}, '\\r'), {bare}, {kept})" if d.name == "spark" else bare
 
 
 def tokens(d: Dialect, s: str) -> str:

@@ -67,7 +67,7 @@ def drift(d: Dialect, original: str = "text", transformed: str = "transformed")
 def with_drift(df: DataFrame, original: str = "text", transformed: str = "transformed") -> DataFrame:
     """Add the drift columns. ``constraints`` are extracted from the original if they aren't there."""
     if "constraints" not in df.columns:
-        df = apply(df, [("lines", X.lines(SPARK, original)), *parse.constraints(SPARK)]).drop("lines")
+        df = apply(df, [("lines", X.lines(SPARK, original)), *parse.constraints(SPARK, X.lower(original))]).drop("lines")
     df = apply(df, drift(SPARK, original, transformed))
     return df.drop(*(c for c in df.columns if c.startswith("_")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,17 +70,48 @@ def usable_patterns(patterns: list[str]) -> list[str]:
     return good
 
 
-def cells(candidates: DataFrame, models: DataFrame, cases: DataFrame, outputs: DataFrame) -> DataFrame:
+def cells(candidates: DataFrame, models: DataFrame, cases: DataFrame, outputs: DataFrame, frontier_only: bool = True) -> DataFrame:
     """One cell per candidate, model and case, with what the model gave; ``called`` is false where it gave nothing.
 
-    ``models`` and ``cases`` are the suite's own small tables (at most SUITE_ROWS); candidates may be many.
+    ``models`` and ``cases`` are the suite's own small tables (at most SUITE_ROWS); candidates may be many. Of
+    candidates with an ``on_frontier`` mark only those on the frontier are evaluated, unless ``frontier_only`` is off.
     """
+    if frontier_only and "on_frontier" in candidates.columns:
+        candidates = candidates.where("on_frontier")
     grid = candidates.crossJoin(sized(models, SUITE_ROWS)).crossJoin(sized(cases, SUITE_ROWS))
     out = grid.join(outputs, ["prompt_id", "idx", "model", "case_id"], "left").withColumn("called", F.col("content").isNotNull())
     cost = F.coalesce(F.col("prompt_tokens") / 1000.0 * F.coalesce("prompt_usd", F.lit(0.0)) + F.col("completion_tokens") / 1000.0 * F.coalesce("completion_usd", F.lit(0.0)), F.lit(0.0))
     return out.withColumn("cost_usd", cost).withColumn("latency_ms", F.coalesce("latency_ms", F.lit(0.0)))
 
 
+def call_models(grid: DataFrame, chat: Callable[[str, str], dict]) -> DataFrame:
+    """What a user's ``chat(model, prompt)`` gives for every row of ``grid`` (prompt_id, idx, model, case_id, prompt): the outputs that ``cells`` joins.
+
+    It returns content, prompt_tokens, completion_tokens and latency_ms. Missing token counts are estimated from
+    the texts; a call that raises gives no row, so its cell counts as failed.
+    """
+    keys = ["prompt_id", "idx", "model", "case_id"]
+    kinds = {f.name: f.dataType.simpleString() for f in grid.schema}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "prompt string", "content string", "prompt_tokens long", "completion_tokens long", "latency_ms double"])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf[[*keys, "prompt"]].itertuples(index=False):
+                try:
+                    got = chat(row.model, row.prompt)
+                except Exception:  # noqa: BLE001  whatever the user's function raises is a failed call
+                    continue
+                rows.append((*row, got.get("content"), got.get("prompt_tokens"), got.get("completion_tokens"), got.get("latency_ms")))
+            out = pd.DataFrame(rows, columns=[*keys, "prompt", "content", "prompt_tokens", "completion_tokens", "latency_ms"])
+            yield out.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64", "latency_ms": "Float64"})
+
+    out = grid.mapInPandas(run, schema)
+    for count, of in (("prompt_tokens", "prompt"), ("completion_tokens", "content")):
+        out = out.withColumn(count, F.coalesce(count, F.expr(est_tokens(of))))
+    return out.drop("prompt")
+
+
 def grade(grid: DataFrame, checks: DataFrame, patterns: list[str]) -> DataFrame:
     """Grade every cell by its case's checks (case_id, kind, arg, n). A cell without output fails them all. Returns one row per cell."""
     low = "lower(content)"
@@ -104,7 +136,10 @@ def per_model(graded: DataFrame) -> DataFrame:
 
 
 def aggregate(graded: DataFrame, static: DataFrame) -> DataFrame:
-    """A measured score per candidate. ``static`` (prompt_id, idx, tokens and the objectives) keeps what isn't measured."""
+    """A measured score per candidate. ``static`` (prompt_id, idx, tokens and the objectives) keeps what isn't measured.
+
+    A candidate without cells keeps its row: accuracy 0, no cost, no latency, its static schema validity.
+    """
     by_model = per_model(graded).groupBy("prompt_id", "idx").agg(
         F.expr("case when count(*) < 2 then 1D else greatest(0D, least(1D, 1D - 2D * stddev_pop(accuracy))) end").alias("_stability"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "accuracy")))).alias("model_accuracy"),
@@ -113,7 +148,8 @@ def aggregate(graded: DataFrame, static: DataFrame) -> DataFrame:
         F.expr("cast(count_if(pass) as double) / count(*)").alias("_accuracy"), F.expr("sum(schema_passed) / nullif(sum(schema_total), 0)").alias("_schema"),
         F.avg("latency_ms").alias("mean_latency_ms"), F.sum("cost_usd").alias("total_cost_usd"), F.avg("cost_usd").alias("est_cost"),
     )
-    df = static.join(own, ["prompt_id", "idx"]).join(by_model, ["prompt_id", "idx"])
+    df = static.join(own, ["prompt_id", "idx"], "left").join(by_model, ["prompt_id", "idx"], "left")
+    df = df.fillna(0.0, ["_accuracy", "mean_latency_ms", "total_cost_usd", "est_cost"]).fillna(1.0, ["_stability"])
     df = df.withColumn("accuracy", F.col("_accuracy")).withColumn("schema_validity", F.coalesce("_schema", "schema_validity"))
     df = df.withColumn("cross_model_stability", F.col("_stability")).withColumn("latency_efficiency", 1 / (1 + F.col("mean_latency_ms") / LATENCY_BUDGET))
     return df.withColumn("composite", F.expr(composite())).drop("_accuracy", "_schema", "_stability")
@@ -128,3 +164,8 @@ def totals(graded: DataFrame) -> DataFrame:
     return graded.agg(F.count("*").alias("calls"), F.sum("cost_usd").alias("cost_usd"), F.count_if("pass").alias("passed"))
 
 
+def winners(graded: DataFrame, scored: DataFrame) -> DataFrame:
+    """Per prompt of ``scored`` (ranked, with label): calls, their cost, and the label of the candidate of rank 1 (empty without one)."""
+    calls = graded.groupBy("prompt_id").agg(F.count("*").alias("calls"), F.sum("cost_usd").alias("cost_usd"))
+    first = scored.groupBy("prompt_id").agg(F.max(F.when(F.col("rank") == 1, F.col("label"))).alias("winner"))
+    return first.join(calls, "prompt_id", "left").select("prompt_id", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), F.coalesce("winner", F.lit("")).alias("winner"))

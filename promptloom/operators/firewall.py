@@ -56,11 +56,11 @@ def firewall(d: Dialect) -> Steps:
     risk = " + ".join(f"{n(w)} * {c}" for c, w, _ in L.RISK_WEIGHTS)
     ranked = d.array(*(d.struct(neg=f"(- {n(w)} * {c})", i=str(i), name=d.lit(label)) for i, (c, w, label) in enumerate(L.RISK_WEIGHTS)))
     return [
-        ("_injected", d.keep("lines", "x", has(L.INJECTIONS, low))),
+        ("_injected", d.gate(d.keep("lines", "x", has(L.INJECTIONS, low)), has(L.INJECTIONS))),
         ("_bare", f"({has(L.RISK_PLACEHOLDERS)} and not {has(L.RISK_DELIMITERS)})"),
         ("_confused", _mixed(d)),
         ("_leak", f"({has(L.FORWARDING)} and {d.size('secrets')} > 0)"),
-        ("_destroys", f"case when {given['tool_power']} then null else {d.at(d.keep('lines', 'x', f'{has(L.DESTRUCTIVE, low)} and not {has(L.FRAMING, low)}'), '0')} end"),
+        ("_destroys", f"case when {given['tool_power']} then null else {d.at(d.gate(d.keep('lines', 'x', f'{has(L.DESTRUCTIVE, low)} and not {has(L.FRAMING, low)}'), has(L.DESTRUCTIVE)), '0')} end"),
         ("_delegates", f"(not {given['tool_power']} and {has(L.DELEGATION)})"),
         ("_leaves", f"(not {given['external_destination']} and {has(L.EXTERNAL)})"),
         ("findings", d.concat_arrays(

@@ -20,13 +20,15 @@ def vague_term(d: Dialect, s: str) -> str:
     """The first vague term, in list order, that ``s`` has as a word (terms with a space: anywhere)."""
     whens = []
     for term in L.VAGUE:
-        test = d.contains(s, term) if " " in term else d.matches(s, f"(?:^|[^a-z0-9_]){X.quote(term)}(?:$|[^a-z0-9_])")
+        test = d.contains(s, term)
+        if " " not in term:
+            test = f"{test} and {d.matches(s, f'(?:^|[^a-z0-9_]){X.quote(term)}(?:$|[^a-z0-9_])')}"
         whens.append(f"when {test} then {d.lit(term)}")
     return f"case when not {X.has(d, s, L.VAGUE)} then null {' '.join(whens)} end"
 
 
 def ambiguity(d: Dialect) -> Steps:
-    vague = d.map("lines", "x, i", d.struct(line="i", raw="x", term=vague_term(d, X.lower("x"))))
+    vague = d.gate(d.map("lines", "x, i", d.struct(line="i", raw="x", term=d.let(X.lower("x"), "v", vague_term(d, "v")))), X.has(d, "lc", L.VAGUE))
     per_line = d.map(d.keep("_vague", "x", "x.term is not null"), "x", _issue(d, "warn", "AMB001", f"substring({X.trim(d, 'x.raw')}, 1, 120)", "x.line"))
     opener = " or ".join(d.starts(X.lower(X.trim(d, "text")), w) for w in L.UNDEFINED_OPENERS)
     unclear = f"not ({X.has(d, 'lc', L.CRITERIA)} or n_constraints > 0) and words > 12"
@@ -55,7 +57,7 @@ def mixed(d: Dialect, groups, tokens: int) -> str:
 
 
 def safety(d: Dialect) -> Steps:
-    override = d.keep(d.map("lines", "x, i", d.struct(line="i", raw="x")), "x", X.has(d, X.lower("x.raw"), L.OVERRIDES))
+    override = d.gate(d.keep(d.map("lines", "x, i", d.struct(line="i", raw="x")), "x", X.has(d, X.lower("x.raw"), L.OVERRIDES)), X.has(d, "lc", L.OVERRIDES))
     policy = f"({d.any('sections', 'x', f'x.kind = {d.lit("Policy")}')} or {X.has(d, 'lc', L.POLICY_WORDS)})"
     return [
         ("safety", d.concat_arrays(

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
-from . import compare
 
 #: Vector width, entries kept, neighbours, least similarity for a routing override.
 DIMS, MAX_ENTRIES, NEIGHBOURS, ROUTE_LEAST = 256, 500, 5, 0.45
-#: Vectors of a comparison set that are broadcast at most (2 KB each).
-MAX_CORPUS = 10_000
+#: Vectors of one block of a comparison set (2 KB each).
+BLOCK = 4096
 _SPLIT = re.compile("[^a-z0-9]+")
 
 
@@ -42,17 +45,19 @@ def fnv1a(words: list[bytes]) -> np.ndarray:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embed(text: pd.Series) -> pd.Series:
-    """256 signed counts of words and word pairs, normalised; null for null."""
-    found = []
-    for t in text:
-        if t is None:
-            found.append(None)
-            continue
-        h = fnv1a(grams(t))
-        v = np.zeros(DIMS)
-        np.add.at(v, (h % DIMS).astype(np.int64), np.where(h >> 31, -1.0, 1.0))
-        found.append(v / (np.sqrt((v**2).sum()) or 1.0))
-    return pd.Series(found)
+    """256 signed counts of words and word pairs, normalised; null for null. A batch's words are hashed together, each distinct one once."""
+    found: list = []
+    for at in range(0, len(text), 500):
+        part = [grams(t) if t is not None else [] for t in text.iloc[at : at + 500]]
+        number = {g: i for i, g in enumerate(dict.fromkeys(chain.from_iterable(part)))}
+        h = fnv1a(list(number))
+        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(part)), np.int64)
+        row = np.repeat(np.arange(len(part)), [len(p) for p in part])
+        sign = np.where(h >> 31, -1.0, 1.0)
+        flat = np.bincount(row * DIMS + (h % DIMS).astype(np.int64)[ids], sign[ids], len(part) * DIMS).reshape(-1, DIMS)
+        size = np.sqrt((flat**2).sum(1))
+        found += list(flat / np.where(size > 0, size, 1)[:, None])
+    return pd.Series([None if t is None else v for t, v in zip(text, found, strict=True)], dtype=object)
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -60,6 +65,84 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Rows of vectors; missing components, as those of shorter vectors, are 0."""
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = np.nan_to_num(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False))
+    out = np.zeros((len(column), lengths.max(initial=0)))
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    return out
+
+
+def _near(names: np.ndarray, vectors: np.ndarray, k: int, asked: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the batch, number of the entry, similarity) of the k best of entries in the order of their ties."""
+    q = _vectors(asked.column(1))
+    wide = min(q.shape[1], vectors.shape[1])
+    score = q[:, :wide] @ vectors[:, :wide].T
+    n = min(k, len(names))
+    edge = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n : score.shape[1] - n + 1]
+    r, c = np.nonzero(score >= edge - 1e-12)
+    order = np.lexsort((c, -np.round(score[r, c], 12), r))
+    r, c = r[order], c[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < n
+    return r[keep], c[keep], score[r[keep], c[keep]]
+
+
+def nearest(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """The k entries (id long, vector) that are most similar to each query (query_id long, vector): query_id, id, similarity.
+
+    Similarity is the dot product of normalised vectors; ties go to the smaller
+    id; null vectors take no part. One block of entries, ``BLOCK`` at most, is
+    sent to all queries. Of more entries each block meets all queries in
+    batches, and what each block found is ranked again.
+    """
+    schema = "query_id long, id long, similarity double"
+    queries = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    entries = entries.where("vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    few = entries.limit(BLOCK + 1).toArrow()
+    if len(few) <= BLOCK:
+        few = few.sort_by("id").combine_chunks()
+        names, vectors = few.column(0).to_numpy(), _vectors(few.column(1).combine_chunks())
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(names) else 0, 1000):
+                    part = batch.slice(at, 1000)
+                    r, c, s = _near(names, vectors, k, part)
+                    yield pa.record_batch([part.column(0).take(pa.array(r)), pa.array(names[c]), pa.array(s)], names=["query_id", "id", "similarity"])
+
+        return queries.mapInArrow(solve, schema)
+    blocks = -(-entries.count() // BLOCK)
+    held = entries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.lit(0).alias("side"), "id", "vector")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.lit(1).alias("side"), F.col("query_id").alias("id"), "vector")
+    both = held.unionByName(asked).repartition("b").sortWithinPartitions("b", "side", "id")
+
+    def solve_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)], 1)
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip([0, *cut], [*cut, len(keys)], strict=True):
+                if a == b:
+                    continue
+                if keys[a, 0] != block:
+                    block, held = keys[a, 0], []
+                part = batch.slice(a, b - a).select(["id", "vector"])
+                if keys[a, 1] == 0:
+                    held.append(part)
+                elif held:
+                    own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    names, vectors = own.column(0).to_numpy(), _vectors(own.column(1))
+                    for at in range(0, part.num_rows, 1000):
+                        some = part.slice(at, 1000)
+                        r, c, s = _near(names, vectors, k, some)
+                        yield pa.record_batch([some.column(0).take(pa.array(r)), pa.array(names[c]), pa.array(s)], names=["query_id", "id", "similarity"])
+
+    found = both.mapInArrow(solve_blocks, schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "id"))
+    return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+
 def upsert(entries: DataFrame, cap: int = MAX_ENTRIES) -> DataFrame:
     """``entries`` (seq, id, ...), one row per write: each id keeps the place of its first write and the payload of its last; the newest ``cap`` places stay.
 
@@ -71,13 +154,11 @@ def upsert(entries: DataFrame, cap: int = MAX_ENTRIES) -> DataFrame:
 
 
 def recall(prompts: DataFrame, memory: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """The k nearest entries of every prompt. ``memory`` holds at most MAX_ENTRIES rows by its cap; if so, it is broadcast.
-
-    Reads prompts (prompt_id, vector) and memory (place, id, vector, ...). Ties go to the earlier place.
-    """
-    near = prompts.crossJoin(sized(memory.withColumnRenamed("vector", "_m"), MAX_ENTRIES)).withColumn("similarity", F.expr(compare.cosine("vector", "_m")))
-    order = Window.partitionBy("prompt_id").orderBy(F.desc("similarity"), "place")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_m", "vector")
+    """The k nearest entries of every prompt, with their rank. Reads prompts (prompt_id, vector) and memory (place, vector, ...); ties go to the earlier place."""
+    near = nearest(prompts.select(F.col("prompt_id").alias("query_id"), "vector"), memory.select(F.col("place").alias("id"), "vector"), k)
+    near = near.select(F.col("query_id").alias("prompt_id"), F.col("id").alias("place"), "similarity")
+    order = Window.partitionBy("prompt_id").orderBy(F.round("similarity", 12).desc(), "place")
+    return near.withColumn("rank", F.row_number().over(order)).join(sized(memory.drop("vector"), MAX_ENTRIES), "place")
 
 
 def priors(near: DataFrame) -> DataFrame:
@@ -88,14 +169,90 @@ def priors(near: DataFrame) -> DataFrame:
 
 
 def top_similar(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Top k of a bounded set of vectors (``corpus``: id, vector) for each query (query_id, vector) by cosine."""
-    near = queries.crossJoin(sized(corpus.withColumnRenamed("vector", "_m"), MAX_CORPUS)).withColumn("similarity", F.expr(compare.cosine("vector", "_m")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+    """Top k of a set of vectors (``corpus``: id, vector) for each query (query_id, vector) by cosine."""
+    near = nearest(queries, corpus, k)
+    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "id")
+    return near.withColumn("rank", F.row_number().over(order)).select("query_id", "id", "similarity", "rank")
+
+
+ENTRY = "place long, id string, preview string, vector array<double>, composite double, accepted boolean, decision string, n_findings int, token_reduction double"
+PAYLOAD = ("preview", "vector", "composite", "accepted", "decision", "n_findings", "token_reduction")
+#: An evaluation accepts its winner from this accuracy on, and so much of a prompt is its preview. Fixed values.
+ACCEPT_ACCURACY, PREVIEW = 0.9, 160
+
+
+def entries(outcomes: DataFrame) -> DataFrame:
+    """Memory writes from outcomes (seq, id, text, composite, accepted, decision, n_findings, token_reduction); without an id the text's hash is it."""
+    key = F.coalesce(F.when(F.col("id") != "", F.col("id")), F.sha2("text", 256))
+    kept = ("composite", "accepted", "decision", "n_findings", "token_reduction")
+    return outcomes.select("seq", key.alias("id"), F.substring("text", 1, PREVIEW).alias("preview"), hash_embed("text").alias("vector"), *kept)
 
 
-def exemplars(spark) -> DataFrame:
-    """The seed exemplars with their vectors. Learned ones are appended to a table of the same columns."""
+def evaluated(wins: DataFrame) -> DataFrame:
+    """Outcomes of an evaluation (seq, id, text, composite, accuracy, decision, n_findings, token_reduction): under the same id they take the place of what the optimizer wrote."""
+    return wins.withColumn("accepted", F.col("accuracy") >= ACCEPT_ACCURACY)
+
+
+class Backend(Protocol):
+    """What a similarity memory does. Any store that does it can stand in for the table."""
+
+    def upsert(self, writes: DataFrame) -> None: ...
+    def query(self, prompts: DataFrame, k: int = NEIGHBOURS) -> DataFrame: ...
+    def all(self) -> DataFrame: ...
+    def clear(self) -> None: ...
+
+
+class TableBackend:
+    """A memory in a folder of Parquet snapshots. A write makes the next snapshot; readers take the last one that is complete, so a write that fails or runs twice harms nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, cap: int = MAX_ENTRIES) -> None:
+        self.spark, self.path, self.cap = spark, path.rstrip("/"), cap
+
+    def _folder(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _last(self) -> int:
+        folder, fs = self._folder(self.path)
+        if not fs.exists(folder):
+            return -1
+        names = [s.getPath() for s in fs.listStatus(folder)]
+        return max((int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(self._folder(f"{p.toString()}/_SUCCESS")[0])), default=-1)
+
+    def _write(self, table: DataFrame, number: int) -> None:
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={number}")  # at most ``cap`` rows
+
+    def all(self) -> DataFrame:
+        last = self._last()
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/v={last}") if last >= 0 else self.spark.createDataFrame([], ENTRY)
+
+    def upsert(self, writes: DataFrame, number: int | None = None) -> None:
+        """Merge writes (seq, id, ...). ``number``: the snapshot to make; one that is there already stays as it is."""
+        last = self._last()
+        number = last + 1 if number is None else number
+        if number <= last:
+            return
+        old = self.all()
+        base = old.agg(F.max("place")).first()[0]
+        seq = F.col("seq").cast("long") + (0 if base is None else base + 1)
+        both = old.withColumnRenamed("place", "seq").unionByName(writes.select(seq.alias("seq"), "id", *PAYLOAD))
+        self._write(upsert(both, self.cap).select([f.name for f in old.schema]), number)
+
+    def query(self, prompts: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+        return recall(prompts, self.all(), k)
+
+    def clear(self) -> None:
+        self._write(self.spark.createDataFrame([], ENTRY), self._last() + 1)
+
+    def size(self) -> int:
+        return self.all().count()
+
+
+def exemplars(spark, learned: str | None = None) -> DataFrame:
+    """The seed exemplars with their vectors, and those in the table at ``learned``."""
+    if learned is not None:
+        return exemplars(spark).unionByName(spark.read.schema("tier string, name string, vector array<double>").parquet(learned))
     rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', '{n}', '{x}')" for t, n, x in L.ROUTE_EXEMPLARS) + " AS x(tier, name, text)")
     return rows.withColumn("vector", hash_embed("text")).drop("text")
 
@@ -105,10 +262,16 @@ def reinforce(known: DataFrame, prompts: DataFrame) -> DataFrame:
     return known.unionByName(prompts.select("tier", "name", hash_embed("text").alias("vector")))
 
 
+def learn_route(prompts: DataFrame, path: str) -> None:
+    """Append exemplars (tier, name, text) to the table at ``path``."""
+    prompts.select("tier", "name", hash_embed("text").alias("vector")).write.mode("append").parquet(path)
+
+
 def refine_route(prompts: DataFrame, known: DataFrame) -> DataFrame:
-    """``prompts`` (prompt_id, tier, vector): the nearest exemplar's tier if it is near enough, else the own one."""
-    other = known.select(F.col("tier").alias("_tier"), F.col("name").alias("exemplar"), F.col("vector").alias("_m"))
-    near = prompts.crossJoin(sized(other, MAX_CORPUS)).withColumn("similarity", F.expr(compare.cosine("vector", "_m")))
-    best = near.groupBy("prompt_id").agg(F.first("tier").alias("tier"), F.max(F.struct("similarity", F.col("exemplar"), F.col("_tier"))).alias("x"))
-    sure = F.col("x.similarity") >= ROUTE_LEAST
-    return best.select("prompt_id", F.when(sure, F.col("x._tier")).otherwise(F.col("tier")).alias("tier"), F.col("x.exemplar").alias("exemplar"), F.col("x.similarity").alias("similarity"), sure.alias("overridden"))
+    """``prompts`` (prompt_id, tier, vector): the nearest exemplar's tier if it is near enough, else the own one; ties to the first by name and tier."""
+    listed = known.withColumn("id", F.row_number().over(Window.orderBy("name", "tier")).cast("long"))  # exemplars are few
+    near = nearest(prompts.select(F.col("prompt_id").alias("query_id"), "vector"), listed, 1)
+    near = near.join(sized(listed.select("id", F.col("name").alias("exemplar"), F.col("tier").alias("_tier")), BLOCK), "id").drop("id")
+    best = prompts.select("prompt_id", "tier").join(near.withColumnRenamed("query_id", "prompt_id"), "prompt_id", "left")
+    sure = F.coalesce(F.col("similarity") >= ROUTE_LEAST, F.lit(False))
+    return best.select("prompt_id", F.when(sure, F.col("_tier")).otherwise(F.col("tier")).alias("tier"), "exemplar", "similarity", sure.alias("overridden"))

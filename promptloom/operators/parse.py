@@ -37,17 +37,21 @@ def lines(d: Dialect) -> Steps:
     return [("lines", X.lines(d, "text"))]
 
 
-def constraints(d: Dialect) -> Steps:
-    """``constraints``: array of (polarity, text, category, line), repeats (but for case) dropped. Needs ``lines``."""
+def constraints(d: Dialect, low: str = "lc") -> Steps:
+    """``constraints``: array of (polarity, text, category, line), repeats (but for case) dropped. Needs ``lines``; ``low``: the text in lower case."""
     cleaned = d.replace_all("x", f"^[-*•0-9.){X.WS}]+", "")
     clauses = d.flatten(d.map("lines", "x, i", d.map(d.split(cleaned, "[.;]"), "c", d.struct(c=X.trim(d, "c"), line="cast(i as int)"))))
     polarity = "case " + " ".join(f"when {X.has(d, 'x.l', words)} then {d.lit(name)}" for name, _, words in L.POLARITIES) + " end"
+    any_word = tuple(w for _, _, words in L.POLARITIES for w in words)
     weak = ", ".join(d.lit(name) for name, strength, _ in L.POLARITIES if strength < 2)
     category = X.first(d, "x.l", L.CATEGORIES, "'general'")
     position = "array_position" if d.name == "spark" else "list_position"
+    said = d.replace_all("x.c", f"[{X.WS}]+", " ")
+    lowered = d.map(d.keep(clauses, "x", f"{d.bytes('x.c')} >= 3"), "x", d.struct(c="x.c", l=X.lower("x.c"), line="x.line"))
+    polar = d.keep(d.map(lowered, "x", d.struct(c="x.c", l="x.l", line="x.line", polarity=polarity)), "x", f"x.polarity is not null and not ({X.words(d, 'x.c')} < 2 and x.polarity in ({weak}))")
     return [
-        ("_clauses", d.map(d.keep(clauses, "x", f"{d.bytes('x.c')} >= 3"), "x", d.struct(c="x.c", l=X.lower("x.c"), line="x.line"))),
-        ("_ruled", d.keep(d.map("_clauses", "x", d.struct(polarity=polarity, text=d.replace_all("x.c", f"[{X.WS}]+", " "), category=category, line="x.line", l=X.lower(d.replace_all("x.c", f"[{X.WS}]+", " ")), n=X.words(d, "x.c"))), "x", f"x.polarity is not null and not (x.n < 2 and x.polarity in ({weak}))")),
+        ("_polar", d.gate(polar, X.has(d, low, any_word))),
+        ("_ruled", d.map("_polar", "x", d.struct(polarity="x.polarity", text=said, category=category, line="x.line", l=X.lower(said)))),
         ("_seen", d.map("_ruled", "x", "x.l")),
         ("constraints", d.map(d.let("_seen", "seen", d.keep("_ruled", "x, i", f"{position}(seen, x.l) = i + 1")), "x", d.struct(polarity="x.polarity", text="x.text", category="x.category", line="x.line"))),
         ("n_constraints", d.size("constraints")),
@@ -87,7 +91,7 @@ def sections(d: Dialect) -> Steps:
         ("_raw", d.map("lines", "x", X.trim(d, "x"))),
         ("_fences", d.map("_raw", "x", d.starts("x", "```"))),
         ("_fenced", d.any("_fences", "f", "f")),
-        ("_marks", d.map("_raw", "x", d.struct(raw="x", md=d.starts("x", "#"), t=_trimmed_marks(d, "x")))),
+        ("_marks", d.map("_raw", "x", d.struct(raw="x", md=d.starts("x", "#"), t=f"case when {d.starts('x', '#')} or {d.contains('x', ':')} then {_trimmed_marks(d, 'x')} end"))),
         ("_labels", d.map("_marks", "x", d.struct(raw="x.raw", md="x.md", t="x.t", label=label))),
         ("_kinds", d.let("_fences", "fs", d.map("_labels", "x, i", f"case when x.raw = '' or x.label is null or {d.at('fs', 'i')} then null when _fenced and {fences} % 2 = 1 then null when {fits} then {kind} end"))),
         ("_heads", d.let("_kinds", "ks", d.keep(d.range(n), "k", f"{d.at('ks', 'k')} is not null"))),
@@ -184,7 +188,7 @@ def schema_block(text: pd.Series) -> pd.DataFrame:
 def with_schema(df):
     """``schema``: (present, valid, kind) of the text, and ``schema_score``."""
     asks = F.expr("lc rlike 'json|valid object|schema'")
-    df = df.withColumn("_block", schema_block("text"))
+    df = df.withColumn("_block", schema_block(F.when(F.col("text").contains("{"), F.col("text"))))  # other texts stay in the JVM
     kind = F.when(F.col("_block.present") | asks, "json").otherwise("none")
     df = df.withColumn("schema", F.struct(F.col("_block.present").alias("present"), F.col("_block.valid").alias("valid"), kind.alias("kind"))).drop("_block")
     s = F.col("schema")

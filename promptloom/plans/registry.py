@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from ..functions.dialect import CHECK, SPARK, Dialect, apply, query
+from ..functions.dialect import CHECK, SPARK, Dialect, apply, ctes, query
 from ..operators import compare, evaluate, firewall, lint, memory, optimize, parse, receipt, rewrite, score
 from ..sources import library
-from .corpus import corpus_sql, prompt_corpus, spread
+from .corpus import TEMPLATES, corpus_sql, prompt_corpus, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,7 +97,7 @@ SQL["numbers_and_entities"] = SQL["numbers_and_entities"].replace("cardinality("
 
 def _drifted(d: Dialect):
     shorter = "replace(replace(replace(text, 'must', 'may'), '3', ''), 'Never', 'Rarely')"
-    return [("transformed", shorter), *parse.lines(d), *parse.constraints(d), *compare.drift(d)]
+    return [("transformed", shorter), *parse.lines(d), *parse.constraints(d, X.lower("text")), *compare.drift(d)]
 
 
 _steps("drift_report", prompt_corpus, CORPUS, _drifted, {**rounded("lexical_similarity", "number_retention", "entity_retention", "constraint_retention", "drift"), "lost_numbers": "array_join(lost_numbers, ' ')", "lost_entities": "array_join(lost_entities, ' ')", "within_tolerance": "within_tolerance"})
@@ -132,9 +132,12 @@ def task_summary(spark, sf_dir):
 flagship = task_summary
 
 
-@_query("analyze")
+@_query("analyze", query(CORPUS, _scored(CHECK), f"""SELECT prompt_id, tokens, words, task_type, n_constraints, n_ambiguities, CAST(len(sections) AS BIGINT) AS n_sections, len(safety) AS n_safety,
+  round(composite, 6) AS composite, tier, CASE tier {' '.join(f"WHEN '{t}' THEN '{', '.join(m)}'" for t, _, m in L.TIERS)} END AS route_examples FROM result"""))
 def analyze(spark, sf_dir):
-    return score.analyze(prompt_corpus(spark, sf_dir)).select("prompt_id", "tokens", "words", "task_type", "n_constraints", "n_ambiguities", F.size("sections").alias("n_sections"), F.round("composite", 6).alias("composite"), "tier", "route_examples")
+    df = score.analyze(prompt_corpus(spark, sf_dir))
+    sizes = (F.size("sections").cast("long").alias("n_sections"), F.size("safety").cast("long").alias("n_safety"))
+    return df.select("prompt_id", "tokens", "words", "task_type", "n_constraints", "n_ambiguities", *sizes, F.round("composite", 6).alias("composite"), "tier", F.array_join("route_examples", ", ").alias("route_examples"))
 
 
 @_query("compress")
@@ -142,7 +145,7 @@ def compress(spark, sf_dir):
     return rewrite.compress(prompt_corpus(spark, sf_dir)).select("prompt_id", "compressed", "before_tokens", "after_tokens", "removed", "reduction", "passes")
 
 
-@_query("compile_prompt")
+@_query("compile_prompt", query(CORPUS, _parts(CHECK), f"SELECT prompt_id, {rewrite.compiled(d=CHECK, has_schema='schema_present')} AS compiled FROM result"))
 def compile_prompt(spark, sf_dir):
     return score.analyze(prompt_corpus(spark, sf_dir)).select("prompt_id", F.expr(rewrite.compiled()).alias("compiled"))
 
@@ -160,9 +163,26 @@ def optimize_candidates(spark, sf_dir):
 
 @_query("corpus_validation")
 def corpus_validation(spark, sf_dir):
-    done = optimize.optimize(prompt_corpus(spark, sf_dir))
+    """Shares and means over the corpus, as numbers: acceptance, cost and quality wins, the compression lever, regressions, drift, schemas, flags."""
+    o = score.Options(token_budget=500, witness_key="validate", issued_at="2024-01-01T00:00:00Z")
+    prompts = prompt_corpus(spark, sf_dir).where("text is not null")
+    every = optimize.floored(optimize.candidates(prompts, o))
+    lever = every.where("label = 'compressed' and b.tokens > 0").selectExpr("1D - cast(tokens as double) / b.tokens as lever")
+    won = optimize.select_winner(every).withColumn("reduction", F.expr("if(b.tokens = 0, 0D, 1D - cast(tokens as double) / b.tokens)"))
+    won = won.withColumn("accepted", F.col("accepted") & (F.col("idx") > 0)).select("prompt_id", "accepted", "reduction", "b", F.struct(*score.NAMES).alias("own"), F.col("text").alias("optimized"))
+    kept = " and ".join(f"own.{n} >= b.{n} - 1e-9D" for n in ("accuracy", "safety_margin", "schema_validity"))
+    done = compare.with_drift(prompts.select("prompt_id", F.col("text").alias("original")).join(won, "prompt_id"), "original", "optimized")
+    flagged = firewall.assess(prompts).agg(F.count_if(F.col("decision") != "allow").alias("flagged"))
     share = lambda c: F.avg(F.expr(c).cast("double"))
-    return done.agg(F.count("*").alias("prompts"), share("accepted").alias("accepted"), share("token_reduction > 0").alias("cheaper"), F.avg("token_reduction").alias("mean_reduction"), share("opt_composite >= base_composite - 1e-9D").alias("no_regression"), share("within_tolerance").alias("within_tolerance"))
+    schemas = F.expr("contains(optimized, '{') and contains(optimized, '}')")
+    report = done.agg(
+        F.count("*").alias("prompts"), F.count_if("accepted").alias("accepted"), F.expr("count_if(accepted and reduction > 0.01)").alias("cost_wins"),
+        F.avg(F.expr("if(accepted and reduction > 0.01, reduction, null)")).alias("mean_cost_win"), F.expr("count_if(accepted and reduction <= 0.01)").alias("quality_wins"),
+        share(kept).alias("no_regression"), share("within_tolerance").alias("within_tolerance"), F.count_if(schemas).alias("schemas"),
+        F.count_if(schemas & F.expr("own.schema_validity >= 0.99")).alias("valid_schemas"),
+    )
+    levers = lever.agg(F.avg("lever").alias("mean_lever"), F.avg(F.expr("if(lever > 0.01, lever, null)")).alias("mean_lever_of_compressible"), F.expr("count_if(lever > 0.01)").alias("compressible"))
+    return report.crossJoin(levers).crossJoin(flagged)  # three tables of one row
 
 
 @_query("line_diff")
@@ -242,7 +262,7 @@ SELECT s.doc_id, CAST(dim AS INTEGER) AS dim, round(v / n, 6) AS value FROM s JO
 
 @_query("hash_embed", _GRAMS)
 def hash_embed(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", memory.hash_embed("text").alias("v"))
+    df = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", memory.hash_embed("text").alias("v"))
     return df.select("doc_id", F.posexplode("v").alias("dim", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
 
 
@@ -259,7 +279,7 @@ _UNIT = "aggregate(embedding, 0D, (s, x) -> s + cast(x as double) * x)"
 
 
 def _vectors(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", "label", f"transform(embedding, x -> cast(x as double) / sqrt({_UNIT})) as vector")
+    return spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).selectExpr("vec_id", "label", f"transform(embedding, x -> cast(x as double) / sqrt({_UNIT})) as vector")
 
 
 _VECTORS_SQL = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vector FROM embeddings)"
@@ -297,7 +317,23 @@ def embedding_topk(spark, sf_dir):
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
-@_query("route_exemplar")
+_EXEMPLARS = ", ".join(f"({i}, '{t}', '{n}', '{x}')" for i, (t, n, x) in enumerate(L.ROUTE_EXEMPLARS))
+_ROUTE_SQL = f"""WITH {ctes(CORPUS, _scored(CHECK))}, ex AS (SELECT * FROM (VALUES {_EXEMPLARS}) AS x(i, tier, name, text)),
+tx AS (SELECT 'p' AS kind, prompt_id AS id, text FROM result WHERE text IS NOT NULL UNION ALL SELECT 'e', i, text FROM ex),
+wd AS (SELECT kind, id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1) AS w FROM tx),
+gr AS (SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS g FROM wd),
+di AS (SELECT g, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(g, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS h FROM (SELECT DISTINCT g FROM gr)),
+ve AS (SELECT kind, id, h % 256 AS dim, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS v FROM gr JOIN di USING (g) GROUP BY ALL),
+no AS (SELECT kind, id, sqrt(sum(v * v)) AS n FROM ve GROUP BY ALL),
+dt AS (SELECT p.id AS prompt_id, e.id AS i, sum(p.v * e.v) AS d FROM ve p JOIN ve e ON p.kind = 'p' AND e.kind = 'e' AND p.dim = e.dim GROUP BY ALL),
+si AS (SELECT t.id AS prompt_id, ex.i, ex.tier, ex.name, coalesce(d / nullif(np.n * ne.n, 0), 0) AS s FROM tx t CROSS JOIN ex LEFT JOIN dt ON dt.prompt_id = t.id AND dt.i = ex.i
+  LEFT JOIN no np ON np.kind = 'p' AND np.id = t.id LEFT JOIN no ne ON ne.kind = 'e' AND ne.id = ex.i WHERE t.kind = 'p'),
+be AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY round(s, 12) DESC, name, tier) AS r FROM si)
+SELECT result.prompt_id, CASE WHEN s >= {memory.ROUTE_LEAST} THEN be.tier ELSE result.tier END AS tier, name AS exemplar, round(s, 6) AS similarity, coalesce(s >= {memory.ROUTE_LEAST}, false) AS overridden
+FROM result LEFT JOIN be ON be.prompt_id = result.prompt_id AND r = 1"""
+
+
+@_query("route_exemplar", _ROUTE_SQL)
 def route_exemplar(spark, sf_dir):
     df = apply(_with_schema_score(spark, sf_dir), _scored(SPARK)).select("prompt_id", "tier", memory.hash_embed("text").alias("vector"))
     return memory.refine_route(df, memory.exemplars(spark)).withColumn("similarity", F.round("similarity", 6))
@@ -341,7 +377,7 @@ _OUTPUTS = """SELECT doc_id AS prompt_id, idx, {models} AS model, {cases} AS cas
 
 
 def _suite(spark, sf_dir):
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    ids = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
     grid = ids.crossJoin(spark.range(2).selectExpr("cast(id as int) as idx")).crossJoin(spark.range(3).selectExpr("cast(id as int) as m")).crossJoin(spark.range(3).selectExpr("cast(id as int) as c"))
     text = _OUTPUTS.format(models="get(array('alpha', 'beta', 'gamma'), m)", cases="get(array('c0', 'c1', 'c2'), c)", content=_CONTENT, grid="_eval_grid", pick=_PICK)
     grid.createOrReplaceTempView("_eval_grid")
@@ -393,6 +429,17 @@ def eval_totals(spark, sf_dir):
     return evaluate.totals(_suite(spark, sf_dir)[1]).withColumn("cost_usd", F.round("cost_usd", 4))
 
 
+_LABELS = "case idx when 0 then 'original' else 'compiled' end"
+
+
+@_query("eval_winner", f"{_EVAL_SQL}, wi AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY composite DESC, idx) AS r FROM rk) SELECT gd.prompt_id, count(*) AS calls, round(sum(cost_usd), 6) AS cost_usd, max({_LABELS.replace('idx', 'wi.idx')}) AS winner FROM gd JOIN wi ON wi.prompt_id = gd.prompt_id AND wi.r = 1 GROUP BY gd.prompt_id")
+def eval_winner(spark, sf_dir):
+    cands, graded = _suite(spark, sf_dir)
+    static = cands.selectExpr("*", f"{_LABELS} as label", "0.6D as schema_validity", "0.5D as token_efficiency", "1D as safety_margin", "0.7D as explainability")
+    won = evaluate.winners(graded, evaluate.ranked(evaluate.aggregate(graded, static)))
+    return won.withColumn("cost_usd", F.round("cost_usd", 6))
+
+
 @_query("build_prompt", f"""SELECT prompt_id, CASE WHEN h <> '' THEN substr(text, 1, instr(text, h) - 1) || 'INPUT' || substr(text, instr(text, h) + length(h)) ELSE text || chr(10) || chr(10) || 'Input:' || chr(10) || 'INPUT' END AS prompt
 FROM (SELECT *, regexp_extract(text, '([{{][A-Za-z_]+[}}])', 1) AS h FROM ({CORPUS}))""")
 def build_prompt(spark, sf_dir):
@@ -430,6 +477,48 @@ def export_prompts(spark, sf_dir):
     return df.select("page_id", library.export_markdown("url", "html").alias("markdown"), library.export_toml("url").alias("toml"), library.assemble("domain", "none", "none", "url", "html").alias("prompt"))
 
 
+@_query("rescore", f"WITH {_GRID_SQL} SELECT prompt_id, idx, round(composite, 6) AS composite FROM g")
+def rescore(spark, sf_dir):
+    """Composites recomputed from the objectives, whatever was there."""
+    return score.rescore(_grid(spark, sf_dir).withColumn("composite", F.lit(-1.0))).select("prompt_id", "idx", F.round("composite", 6).alias("composite"))
+
+
+_TEAM = f"case when template_id < {len(TEMPLATES) // 2} then 'redteam-case-' || template_id when template_id < {len(TEMPLATES) - 4} then 'blueteam-case-' || template_id else 'framework-' || template_id end"
+
+
+@_query("team_verdicts", f"WITH {ctes(CORPUS, _guarded(CHECK))}, n AS (SELECT *, {_TEAM} AS name FROM result) SELECT split_part(name, 'team-', 1) AS team, 'Case ' || template_id AS title, count(*) AS n, count(*) FILTER ((decision <> 'allow') = starts_with(name, 'red')) AS as_wanted FROM n WHERE NOT starts_with(name, 'framework') GROUP BY ALL")
+def team_verdicts(spark, sf_dir):
+    """The corpus as templates of two teams: how many of each are judged as their team wants."""
+    named = prompt_corpus(spark, sf_dir).selectExpr(f"{_TEAM} as name", "text as body")
+    return library.verdicts(named).groupBy("team", "title").agg(F.count("*").alias("n"), F.count_if("as_wanted").alias("as_wanted"))
+
+
+@_query("front_matter_parts", "SELECT page_id, 'Page' AS title, url, html AS body FROM pages")
+def front_matter_parts(spark, sf_dir):
+    """The other reading of front matter: a value ends at a second ': '."""
+    raw = F.concat(F.lit("---\ntitle: Page: "), F.col("page_id").cast("string"), F.lit("\nurl: "), F.col("url"), F.lit("\n---\n"), F.col("html"))
+    df = library.front_matter_by_parts(spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("raw", raw))
+    return df.select("page_id", F.col("meta")["title"].alias("title"), F.col("meta")["url"].alias("url"), "body")
+
+
+def _guarded_by_memory(d: Dialect):
+    return [(n, "prior" if n == "ctx_prior_failure_similarity" else e) for n, e in _guarded(d)]
+
+
+_MEMORY_GUARD = f"""WITH {_MEMORY_SQL}, pr AS (SELECT prompt_id, greatest(0, least(1, max(CASE WHEN label % 2 <> 0 OR label % 3 > 0 THEN sim ELSE 0 END))) AS prior FROM r WHERE rank <= {memory.NEIGHBOURS} GROUP BY prompt_id),
+{ctes("SELECT doc_id AS prompt_id, text, prior FROM documents JOIN pr ON pr.prompt_id = doc_id", _guarded_by_memory(CHECK))}
+SELECT prompt_id, round(prior_failure_similarity, 6) AS prior_failure_similarity, round(risk, 6) AS risk, decision FROM result"""
+
+
+@_query("firewall_memory", _MEMORY_GUARD)
+def firewall_memory(spark, sf_dir):
+    """Decisions on every document that has a vector, with what the memory knows of its neighbours."""
+    prior = memory.priors(_recalled(spark, sf_dir)).withColumnRenamed("prior_failure_similarity", "prior")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as prompt_id", "text"))
+    df = firewall.assess(docs.join(prior, "prompt_id"), {"prior_failure_similarity": "prior"})
+    return df.select("prompt_id", F.round("prior_failure_similarity", 6).alias("prior_failure_similarity"), F.round("risk", 6).alias("risk"), "decision")
+
+
 @_query("weights", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({w} AS DOUBLE))" for n, w in L.OBJECTIVES) + ") AS w(objective, weight)")
 def weights(spark, sf_dir):
     return spark.sql("SELECT explode(map(" + ", ".join(f"'{n}', {w}D" for n, w in score.weights().items()) + ")) AS (objective, weight)")

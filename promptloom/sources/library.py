@@ -37,6 +37,21 @@ def title(name: Column) -> Column:
     return F.array_join(F.transform(F.split(bare, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), " ")
 
 
+def team(name: Column) -> Column:
+    """Whose template a file is, by its name: red, blue or framework."""
+    return F.when(name.startswith("redteam-"), "red").when(name.startswith("blueteam-"), "blue").otherwise("framework")
+
+
+def verdicts(templates_: DataFrame) -> DataFrame:
+    """The firewall on every red and blue template (name, body), by title: red ones should be caught, blue ones allowed."""
+    from ..operators import firewall
+
+    df = templates_.withColumn("team", team(F.col("name"))).where("team <> 'framework'")
+    df = firewall.assess(df.withColumnRenamed("body", "text")).withColumn("title", title(F.col("name")))
+    as_wanted = (F.col("decision") != "allow") == (F.col("team") == "red")
+    return df.select("name", "title", "team", "decision", as_wanted.alias("as_wanted")).orderBy("title", "name")
+
+
 def model_catalogue(df: DataFrame) -> DataFrame:
     """Defaults for a model list: context length 4096, prices per thousand tokens, 0 where they don't parse."""
     price = lambda c: F.coalesce(F.expr(f"try_cast(pricing.{c} as double)") * 1000, F.lit(0.0))
@@ -73,6 +88,11 @@ def save(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """Write the whole table of saved prompts anew; ``df`` must not read from ``path``."""
+    df.write.mode("overwrite").parquet(path)
+
+
 def without(saved: DataFrame, gone: str) -> DataFrame:
     """Saved prompts but the one with this id."""
     return saved.where(~F.col("id").eqNullSafe(F.lit(gone)))
