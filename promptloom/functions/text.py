@@ -61,14 +61,14 @@ def lines(d: Dialect, s: str) -> str:
 
 
 def tokens(d: Dialect, s: str) -> str:
-    """Estimated sub-word tokens: runs of white space, letters, digits, marks, and other characters one by one."""
-    runs = d.extract_all(s, r"[\t-\r ]+|[A-Za-z][A-Za-z']*|[0-9]+|[^\x00-\x7F]|[^\t-\r A-Za-z0-9\x80-\x{10FFFF}]+")
+    """Estimated sub-word tokens: runs of white space (single ones are free), letters, digits, marks, and other characters one by one."""
+    runs = d.extract_all(s, r"[\t-\r ]{2,}|[A-Za-z][A-Za-z']*|[0-9]+|[^\x00-\x7F]|[^\t-\r A-Za-z0-9\x80-\x{10FFFF}]+")
     parts = d.split("x", "\n")
     rest = f"(length({d.at(parts, f'({d.size(parts)} - 1)')}) % 4)"
     blank = f"greatest(1, {d.size(parts)} - 1 + {d.sum(d.map(parts, 'y', 'cast(floor(length(y) / 4) as bigint)'))} + case when {rest} > 0 then 1 else 0 end)"
     n = "length(x)"
-    cost = f"""case when ascii(x) in (9, 10, 11, 12, 13, 32) then case when {n} = 1 then 0 else {blank} end
-        when ascii(x) between 65 and 90 or ascii(x) between 97 and 122 then case when {n} <= 7 then 1 when {n} <= 12 then 2 when {n} <= 16 then 3 else 3 + floor(({n} - 13) / 4) end
+    cost = f"""case when ascii(x) between 97 and 122 or ascii(x) between 65 and 90 then case when {n} <= 7 then 1 when {n} <= 12 then 2 when {n} <= 16 then 3 else 3 + floor(({n} - 13) / 4) end
+        when ascii(x) in (9, 10, 11, 12, 13, 32) then {blank}
         when ascii(x) between 48 and 57 then floor(({n} + 2) / 3)
         when ascii(x) >= 128 then 1 else floor(({n} + 1) / 2) end"""
     total = d.sum(d.map(runs, "x", f"cast({cost} as bigint)"))

@@ -30,7 +30,8 @@ def _steps(name: str, base, base_sql: str, make, columns: dict[str, str], rows:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = apply(base(spark, sf_dir), make(SPARK))
         if rows:
-            df = df.select("prompt_id", F.explode(rows).alias("x"))
+            # not explode: the filter that Spark infers for it would work out the whole array a second time
+            df = df.select("prompt_id", F.explode_outer(rows).alias("x")).where("x is not null")
         return df.selectExpr("prompt_id", *(f"{e} as {n}" for n, e in columns.items()))
 
     chosen = ", ".join(["prompt_id", *(f"{e} AS {n}" for n, e in columns.items())])

@@ -30,10 +30,10 @@ def remembered(prompts: DataFrame, known: memory.Backend, k: int = memory.NEIGHB
     """
     seen = prompts.select("prompt_id", "text", memory.hash_embed("text").alias("vector"))
     prior = memory.priors(known.query(seen.select("prompt_id", "vector"), k))
-    names = {"prior_failure_similarity": "_failed", "prior_win_similarity": "_won"}
+    names = {"prior_failure_similarity": "failed_before", "prior_win_similarity": "won_before"}
     df = seen.join(prior.withColumnsRenamed(names), "prompt_id", "left").fillna(0.0, list(names.values()))
-    df = firewall.assess(df, {"prior_failure_similarity": "_failed"})
-    return df.drop("_failed").withColumnRenamed("_won", "prior_win_similarity")
+    df = firewall.assess(df, {"prior_failure_similarity": "failed_before"})
+    return df.drop("failed_before").withColumnRenamed("won_before", "prior_win_similarity")
 
 
 def outcomes(decided: DataFrame) -> DataFrame:

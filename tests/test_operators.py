@@ -60,7 +60,7 @@ def test_intent_ties_and_default(spark):
 
 
 def test_constraints_split_and_dedup(spark):
-    df = apply(frame(spark, "- You must cite sources. You MUST cite sources\n2) never  lie; maybe\nreturn"), [*parse.lines(SPARK), *parse.constraints(SPARK)])
+    df = apply(frame(spark, "- You must cite sources. You MUST cite sources\n2) never  lie; maybe\nreturn"), [*parse.lines(SPARK), *parse.constraints(SPARK, X.lower("text"))])
     assert [(c["polarity"], c["text"], c["line"]) for c in values(df, "constraints")[0]] == [("must", "You must cite sources", 0), ("must_not", "never lie", 1)]
 
 
@@ -116,7 +116,7 @@ def test_scrub(spark):
 def test_compress(spark):
     text = "Please  do   it.   \n\n\n\nI would just like you to help. Be kind to all. be KIND to all!\n```\n a   b\n```\n"
     got = rewrite.compress(frame(spark, text, "")).orderBy("prompt_id").collect()
-    assert got[0]["compressed"] == "Do   it.\n\nHelp. Be kind to all.\n```\nA b\n```"
+    assert got[0]["compressed"] == "Do it.\n\nHelp. Be kind to all.\n```\nA   b\n```"
     assert got[0]["removed"] == 1 and got[0]["after_tokens"] < got[0]["before_tokens"]
     assert got[1]["compressed"] == "" and got[1]["reduction"] == 0
 
