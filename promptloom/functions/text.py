@@ -10,7 +10,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space as Unicode has it, for character classes of either engine.
 WS = r"\t\n\x0B\x0C\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: The same characters as a literal.
-_WS_CHARS = "'" + "".join(f"\\u{c:04X}" for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) + "'"
+_WS_CODES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_WS_CHARS, _WS_COUNT = "'" + "".join(f"\\u{c:04X}" for c in _WS_CODES) + "'", len(_WS_CODES)
 _SPECIAL = set("\\.^$|?*+()[]{}")
 
 
@@ -46,9 +47,16 @@ def first(d: Dialect, s: str, groups, default: str) -> str:
     return f"case {whens} else {default} end"
 
 
-def words(d: Dialect, s: str) -> str:
+def word_list(d: Dialect, s: str) -> str:
     """White-space separated words."""
-    return d.size(d.extract_all(s, f"[^{WS}]+"))
+    if d.name == "spark":  # splitting at a single character needs no pattern
+        return f"array_remove(split(translate({s}, {_WS_CHARS}, '{' ' * _WS_COUNT}'), ' ', -1), '')"
+    return d.extract_all(s, f"[^{WS}]+")
+
+
+def words(d: Dialect, s: str) -> str:
+    """How many words there are."""
+    return d.size(word_list(d, s))
 
 
 def lines(d: Dialect, s: str) -> str:

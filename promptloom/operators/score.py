@@ -41,7 +41,7 @@ def objectives(d: Dialect, o: Options) -> Steps:
     cats = d.size(d.distinct(d.map("constraints", "x", "x.category")))
     breadth = f"least(cast({cats} as double) / {n(4)}, {one})"
     depth = f"least(cast(n_constraints as double) / {n(5)}, {one})"
-    long_words = d.size(d.keep(d.extract_all("text", f"[^{X.WS}]{{4,}}"), "x", f"{d.bytes('x')} > 12"))  # a character has four bytes at most
+    long_words = d.size(d.keep(X.word_list(d, "text"), "x", f"{d.bytes('x')} > 12"))
     return [
         ("coverage", f"case when n_constraints = 0 then {n(0)} else {n(0.6)} * {breadth} + {n(0.4)} * {depth} end"),
         ("schema_validity", "schema_score"),

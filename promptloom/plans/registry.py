@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .. import __version__
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions.dialect import CHECK, SPARK, Dialect, apply, ctes, query
@@ -167,10 +169,10 @@ def corpus_validation(spark, sf_dir):
     """Shares and means over the corpus, as numbers: acceptance, cost and quality wins, the compression lever, regressions, drift, schemas, flags."""
     o = score.Options(token_budget=500, witness_key="validate", issued_at="2024-01-01T00:00:00Z")
     prompts = prompt_corpus(spark, sf_dir).where("text is not null")
-    every = optimize.floored(optimize.candidates(prompts, o))
-    lever = every.where("label = 'compressed' and b.tokens > 0").selectExpr("1D - cast(tokens as double) / b.tokens as lever")
-    won = optimize.select_winner(every).withColumn("reduction", F.expr("if(b.tokens = 0, 0D, 1D - cast(tokens as double) / b.tokens)"))
-    won = won.withColumn("accepted", F.col("accepted") & (F.col("idx") > 0)).select("prompt_id", "accepted", "reduction", "b", F.struct(*score.NAMES).alias("own"), F.col("text").alias("optimized"))
+    compressed = F.max(F.when(F.col("idx") == 1, F.col("tokens"))).over(Window.partitionBy("prompt_id"))
+    won = optimize.select_winner(optimize.floored(optimize.candidates(prompts, o)).withColumn("compressed", compressed))
+    won = won.selectExpr("prompt_id", "accepted and idx > 0 as accepted", "if(b.tokens = 0, 0D, 1D - cast(tokens as double) / b.tokens) as reduction",
+                         "1D - cast(compressed as double) / nullif(b.tokens, 0) as lever", "b", f"struct({', '.join(score.NAMES)}) as own", "text as optimized")
     kept = " and ".join(f"own.{n} >= b.{n} - 1e-9D" for n in ("accuracy", "safety_margin", "schema_validity"))
     done = compare.with_drift(prompts.select("prompt_id", F.col("text").alias("original")).join(won, "prompt_id"), "original", "optimized")
     flagged = firewall.assess(prompts).agg(F.count_if(F.col("decision") != "allow").alias("flagged"))
@@ -180,10 +182,10 @@ def corpus_validation(spark, sf_dir):
         F.count("*").alias("prompts"), F.count_if("accepted").alias("accepted"), F.expr("count_if(accepted and reduction > 0.01)").alias("cost_wins"),
         F.avg(F.expr("if(accepted and reduction > 0.01, reduction, null)")).alias("mean_cost_win"), F.expr("count_if(accepted and reduction <= 0.01)").alias("quality_wins"),
         share(kept).alias("no_regression"), share("within_tolerance").alias("within_tolerance"), F.count_if(schemas).alias("schemas"),
-        F.count_if(schemas & F.expr("own.schema_validity >= 0.99")).alias("valid_schemas"),
+        F.count_if(schemas & F.expr("own.schema_validity >= 0.99")).alias("valid_schemas"), F.avg("lever").alias("mean_lever"),
+        F.avg(F.expr("if(lever > 0.01, lever, null)")).alias("mean_lever_of_compressible"), F.expr("count_if(lever > 0.01)").alias("compressible"),
     )
-    levers = lever.agg(F.avg("lever").alias("mean_lever"), F.avg(F.expr("if(lever > 0.01, lever, null)")).alias("mean_lever_of_compressible"), F.expr("count_if(lever > 0.01)").alias("compressible"))
-    return report.crossJoin(levers).crossJoin(flagged)  # three tables of one row
+    return report.crossJoin(flagged)  # two tables of one row
 
 
 @_query("line_diff")
@@ -484,6 +486,65 @@ def rescore(spark, sf_dir):
     return score.rescore(_grid(spark, sf_dir).withColumn("composite", F.lit(-1.0))).select("prompt_id", "idx", F.round("composite", 6).alias("composite"))
 
 
+@_query("version", f"SELECT '{__version__}' AS version")
+def version(spark, sf_dir):
+    return spark.range(1).select(F.lit(__version__).alias("version"))
+
+
+@_query("title_fallback", "SELECT doc_id, CASE WHEN source IS NULL THEN NULL ELSE 'S' || substr(source, 2) || ' ' || upper(substr(lang, 1, 1)) || substr(lang, 2) || ' NoTe ' || doc_id END AS title FROM documents")
+def title_fallback(spark, sf_dir):
+    """Titles from file names: the team's prefix goes, only first letters change."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    team = F.element_at(F.array(*map(F.lit, ("redteam-", "blueteam-", ""))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return docs.select("doc_id", library.title(F.concat(team, "source", F.lit("-"), "lang", F.lit("-noTe-"), F.col("doc_id").cast("string"))).alias("title"))
+
+
+@_query("delete_saved", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS content FROM customer WHERE c_custkey <> 7")
+def delete_saved(spark, sf_dir):
+    """Saved prompts without the one whose id is 7."""
+    saved = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("cast(c_custkey as string) as id", "c_name as content")
+    return library.without(saved, "7")
+
+
+@_query("diff_markdown", "SELECT page_id, CASE WHEN html IS NOT NULL THEN '```diff' || chr(10) || array_to_string(list_transform(list_filter(string_split(html, chr(10)), lambda x, i: i < len(string_split(html, chr(10))) OR x <> ''), lambda x: '- ' || regexp_replace(x, '\\r$', '') || chr(10)), '') || '```' || chr(10) END AS markdown FROM pages")
+def diff_markdown(spark, sf_dir):
+    """The rendered difference between every page and nothing: all of its lines are deleted."""
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    return pages.select("page_id", compare.line_diff("html", F.lit(""))["markdown"].alias("markdown"))
+
+
+def _chat(model: str, prompt: str) -> dict:
+    """Stands in for a model: deterministic, without a count of its own for the prompt."""
+    return {"content": f"{model} read {len(prompt)}", "prompt_tokens": None, "completion_tokens": 3, "latency_ms": float(len(model))}
+
+
+@_query("chat_outputs", f"""SELECT prompt_id, 0 AS idx, model, 'c' AS case_id, model || ' read ' || length(text) AS content, CASE WHEN n = 0 THEN 0 ELSE greatest(1, CAST(floor(n / 4 + 0.5) AS BIGINT)) END AS prompt_tokens,
+  CAST(3 AS BIGINT) AS completion_tokens, CAST(length(model) AS DOUBLE) AS latency_ms FROM (SELECT *, length({X.trim(CHECK, 'text')}) AS n FROM ({CORPUS}) WHERE text IS NOT NULL), (VALUES ('alpha'), ('beta')) AS m(model)""")
+def chat_outputs(spark, sf_dir):
+    """A user's model function over the corpus; missing token counts are estimated."""
+    models = F.explode(F.array(F.lit("alpha"), F.lit("beta"))).alias("model")
+    grid = prompt_corpus(spark, sf_dir).where("text is not null").select("prompt_id", F.lit(0).alias("idx"), models, F.lit("c").alias("case_id"), F.col("text").alias("prompt"))
+    return evaluate.call_models(grid, _chat)
+
+
+@_query("eval_frontier", f"""WITH {_GRID_SQL}, c AS (SELECT prompt_id, idx, NOT EXISTS (SELECT 1 FROM g o WHERE o.prompt_id = g.prompt_id AND {score.dominates('o', 'g')}) AS on_frontier FROM g)
+SELECT prompt_id, idx, count(*) AS cells FROM c, ({_MODELS}) m, ({_CASES}) k WHERE on_frontier GROUP BY prompt_id, idx""")
+def eval_frontier(spark, sf_dir):
+    """Cells per candidate: only candidates on the frontier are evaluated."""
+    none = spark.createDataFrame([], "prompt_id long, idx int, model string, case_id string, content string, prompt_tokens long, completion_tokens long, latency_ms double")
+    cells = evaluate.cells(score.pareto(_grid(spark, sf_dir)).select("prompt_id", "idx", "on_frontier"), spark.sql(_MODELS), spark.sql(_CASES), none)
+    return cells.groupBy("prompt_id", "idx").agg(F.count("*").alias("cells"))
+
+
+@_query("bench_rank", f"{_EVAL_SQL}, b AS (SELECT prompt_id, idx, count(*) FILTER (pass) / count(*) AS accuracy, avg(latency_ms) AS mean_latency_ms FROM gd WHERE model = 'alpha' GROUP BY ALL) SELECT prompt_id, idx, round(accuracy, 6) AS accuracy, CAST(1 AS DOUBLE) AS cross_model_stability, round(1 / (1 + mean_latency_ms / 4000.0), 6) AS latency_efficiency FROM b")
+def bench_rank(spark, sf_dir):
+    """Measured with a single model, the stability is 1."""
+    cands, graded = _suite(spark, sf_dir)
+    static = cands.selectExpr("*", "0.6D as schema_validity", "0.5D as token_efficiency", "1D as safety_margin", "0.7D as explainability")
+    out = evaluate.aggregate(graded.where("model = 'alpha'"), static)
+    return out.select("prompt_id", "idx", F.round("accuracy", 6).alias("accuracy"), "cross_model_stability", F.round("latency_efficiency", 6).alias("latency_efficiency"))
+
+
 _TEAM = f"case when template_id < {len(TEMPLATES) // 2} then 'redteam-case-' || template_id when template_id < {len(TEMPLATES) - 4} then 'blueteam-case-' || template_id else 'framework-' || template_id end"
 
 
