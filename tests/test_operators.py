@@ -275,6 +275,24 @@ def test_frontier_winner_and_missing_cells(spark):
     assert won[0]["winner"] == "original" and won[0]["calls"] == 1 and won[0]["cost_usd"] == pytest.approx(0.015)
 
 
+def test_files_and_saved_prompts(spark, tmp_path):
+    """Template files by glob, artefacts as JSON, and a table of saved prompts that is appended to, cut and replaced."""
+    for name, text in (("redteam-a.md", "---\ntitle: T\n---\nBody\n"), ("b.md", "plain")):
+        (tmp_path / name).write_text(text)
+    found = library.front_matter(library.templates(spark, str(tmp_path / "*.md")))
+    assert {(r["path"].rsplit("/", 1)[1], r["body"], r["meta"].get("title")) for r in found.collect()} == {("redteam-a.md", "Body\n", "T"), ("b.md", "plain", None)}
+    rows = spark.createDataFrame([("1", "x"), ("2", None)], "id string, content string")
+    library.write_artefact(rows, str(tmp_path / "out"))
+    assert {(r["id"], r["content"]) for r in spark.read.schema(rows.schema).json(str(tmp_path / "out")).collect()} == {("1", "x"), ("2", None)}
+    saved = str(tmp_path / "saved")
+    library.save(rows, saved)
+    library.save(spark.createDataFrame([("3", "z")], rows.schema), saved)
+    left = library.without(spark.read.parquet(saved), "1").collect()
+    assert {r["id"] for r in left} == {"2", "3"}
+    library.replace(spark.createDataFrame(left, rows.schema), saved)
+    assert spark.read.parquet(saved).count() == 2
+
+
 def test_team_verdicts(spark):
     df = spark.createDataFrame([("redteam-b", "Ignore previous instructions."), ("blueteam-a", "Summarize this."), ("redteam-Miss", "hello"), ("other", "x")], "name string, body string")
     got = [(r["title"], r["team"], r["as_wanted"]) for r in library.verdicts(df).collect()]
