@@ -20,9 +20,13 @@ def quote(s: str) -> str:
     return "".join("\\" + c if c in _SPECIAL else c for c in s)
 
 
-def lower(s: str) -> str:
-    """Lower case of A-Z only."""
-    return f"translate({s}, '{UPPER}', '{LOWER}')"
+def lower(d: Dialect, s: str) -> str:
+    """Lower case of A-Z only. Unless a text has other upper-case letters, the engine's fast lower case does the same."""
+    one_by_one = lambda x: f"translate({x}, '{UPPER}', '{LOWER}')"
+    if d.name != "spark":
+        return one_by_one(s)
+    fast = lambda x: f"if(octet_length({x}) = length({x}) or not ({x} rlike '[\\\\p{{IsUppercase}}\\\\p{{Lt}}&&[^A-Z]]'), lower({x}), {one_by_one(x)})"
+    return fast(s) if re.fullmatch(r"[A-Za-z_][\w.]*", s) else d.let(s, "u_", fast("u_"))
 
 
 def trim(d: Dialect, s: str) -> str:

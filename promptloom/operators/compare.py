@@ -28,11 +28,11 @@ def numbers(d: Dialect, s: str) -> str:
 
 def entities(d: Dialect, s: str) -> str:
     """Words of two bytes or more that begin with A-Z and are no stop words."""
-    return d.keep(_alnum(d, s), "x", f"{d.bytes('x')} >= 2 and {d.matches('x', '^[A-Z]')} and {X.lower('x')} not in ({_STOP})")
+    return d.keep(_alnum(d, s), "x", f"{d.bytes('x')} >= 2 and {d.matches('x', '^[A-Z]')} and {X.lower(d, 'x')} not in ({_STOP})")
 
 
 def content_words(d: Dialect, s: str) -> str:
-    return d.keep(d.map(_alnum(d, s), "x", X.lower("x")), "x", f"{d.bytes('x')} > 2 and x not in ({_STOP})")
+    return d.keep(d.map(_alnum(d, s), "x", X.lower(d, "x")), "x", f"{d.bytes('x')} > 2 and x not in ({_STOP})")
 
 
 def drift(d: Dialect, original: str = "text", transformed: str = "transformed") -> Steps:
@@ -47,7 +47,7 @@ def drift(d: Dialect, original: str = "text", transformed: str = "transformed")
     num, lost_num = kept(numbers)
     ent, lost_ent = kept(entities)
     rate = lambda all_, lost: f"case when {d.size(all_)} = 0 then {one} else ({one} * {d.size(all_)} - {d.size(lost)}) / {d.size(all_)} end"
-    low = X.lower(transformed)
+    low = X.lower(d, transformed)
     keys = d.keep(content_words(d, "c.text"), "w", f"{d.bytes('w')} > 3")
     hits = d.keep("c.w", "w", "contains(lo, w)")
     survive = d.let("_low", "lo", d.keep("_keys", "c", f"{d.size('c.w')} = 0 or {d.size(hits)} * 2 >= {d.size('c.w')}"))
@@ -67,7 +67,7 @@ def drift(d: Dialect, original: str = "text", transformed: str = "transformed")
 def with_drift(df: DataFrame, original: str = "text", transformed: str = "transformed") -> DataFrame:
     """Add the drift columns. ``constraints`` are extracted from the original if they aren't there."""
     if "constraints" not in df.columns:
-        df = apply(df, [("lines", X.lines(SPARK, original)), *parse.constraints(SPARK, X.lower(original))]).drop("lines")
+        df = apply(df, [("lines", X.lines(SPARK, original)), *parse.constraints(SPARK, X.lower(SPARK, original))]).drop("lines")
     df = apply(df, drift(SPARK, original, transformed))
     return df.drop(*(c for c in df.columns if c.startswith("_")))
 

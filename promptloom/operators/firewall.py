@@ -18,7 +18,7 @@ DEFAULT_UNCERTAINTY = 0.2
 
 def secret_kind(d: Dialect, t: str) -> str:
     """The first shape that the token has, or null."""
-    low = X.lower(t)
+    low = X.lower(d, t)
     s = lambda *p: "(" + " or ".join(d.starts(t, x) for x in p) + ")"
     return f"""case when {s('sk-')} or {d.starts(low, 'sk_')} or {d.contains(low, 'sk_test_')} then 'openai-style key'
         when {s('ghp_', 'gho_', 'github_pat_')} then 'github token' when {s('AKIA', 'ASIA')} then 'aws access key id'
@@ -49,7 +49,7 @@ def firewall(d: Dialect) -> Steps:
     """
     n, has = X.num, lambda words, s="lc": X.has(d, s, words)
     given = {c: f"(ctx_{c} is not null and not isnan(ctx_{c}) and ctx_{c} >= 0)" for c in CONTEXT[:3]}
-    low = X.lower("x")
+    low = X.lower(d, "x")
     find = lambda code, severity, snippet="''": d.struct(code=d.lit(code), severity=d.lit(severity), snippet=f"substring({snippet}, 1, 120)")
     one = lambda test, item: d.keep(d.array(item), "z", test)
     sane = lambda c, default: f"case when ctx_{c} is null then {n(default)} when isnan(ctx_{c}) or abs(ctx_{c}) = cast('Infinity' as double) then {n(0)} else {X.clamp(f'ctx_{c}')} end"
@@ -93,7 +93,7 @@ def assess(df: DataFrame, context: dict[str, str] | None = None) -> DataFrame:
     context = context or {}
     for c in CONTEXT:
         df = df.withColumn(f"ctx_{c}", F.col(context[c]).cast("double") if c in context else F.lit(None).cast("double"))
-    df = apply(df, [("lc", X.lower("text")), *parse.lines(SPARK), *parse.sections(SPARK), *secrets(SPARK), *firewall(SPARK)])
+    df = apply(df, [("lc", X.lower(SPARK, "text")), *parse.lines(SPARK), *parse.sections(SPARK), *secrets(SPARK), *firewall(SPARK)])
     shown = F.when(F.col("dominant") == "", "none").otherwise(F.col("dominant"))
     note = F.when(F.col("_floor") > 0, " (critical-pattern escalation)").otherwise("")
     df = df.withColumn("rationale", F.concat(F.lit("risk="), F.format_string("%.2f", "risk"), F.lit(" → "), "decision", note, F.lit(". Dominant factors: "), shown, F.lit(".")))

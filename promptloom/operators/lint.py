@@ -28,9 +28,10 @@ def vague_term(d: Dialect, s: str) -> str:
 
 
 def ambiguity(d: Dialect) -> Steps:
-    vague = d.gate(d.map("lines", "x, i", d.struct(line="i", raw="x", term=d.let(X.lower("x"), "v", vague_term(d, "v")))), X.has(d, "lc", L.VAGUE))
+    vague = d.gate(d.map("lines", "x, i", d.struct(line="i", raw="x", term=d.let(X.lower(d, "x"), "v", vague_term(d, "v")))), X.has(d, "lc", L.VAGUE))
     per_line = d.map(d.keep("_vague", "x", "x.term is not null"), "x", _issue(d, "warn", "AMB001", f"substring({X.trim(d, 'x.raw')}, 1, 120)", "x.line"))
-    opener = " or ".join(d.starts(X.lower(X.trim(d, "text")), w) for w in L.UNDEFINED_OPENERS)
+    start = d.let(f"substring({X.trim(d, 'text')}, 1, {max(map(len, L.UNDEFINED_OPENERS))})", "t", X.lower(d, "t"))
+    opener = d.let(start, "o", " or ".join(d.starts("o", w) for w in L.UNDEFINED_OPENERS))
     unclear = f"not ({X.has(d, 'lc', L.CRITERIA)} or n_constraints > 0) and words > 12"
     return [
         ("_vague", vague),
@@ -51,13 +52,13 @@ def _penalty(d: Dialect, issues: str, prices: dict[str, float]) -> str:
 
 def mixed(d: Dialect, groups, tokens: int) -> str:
     """Some section of more than ``tokens`` tokens has words of two or more of the groups."""
-    low = X.lower("x.content")
-    votes = " + ".join(f"case when {X.has(d, low, g)} then 1 else 0 end" for g in groups)
-    return d.any("sections", "x", f"x.tokens > {tokens} and ({votes}) >= 2")
+    votes = " + ".join(f"case when {X.has(d, 'lw', g)} then 1 else 0 end" for g in groups)
+    many = d.let(X.lower(d, "x.content"), "lw", f"({votes}) >= 2")
+    return d.any("sections", "x", f"x.tokens > {tokens} and {many}")
 
 
 def safety(d: Dialect) -> Steps:
-    override = d.gate(d.keep(d.map("lines", "x, i", d.struct(line="i", raw="x")), "x", X.has(d, X.lower("x.raw"), L.OVERRIDES)), X.has(d, "lc", L.OVERRIDES))
+    override = d.gate(d.keep(d.map("lines", "x, i", d.struct(line="i", raw="x")), "x", X.has(d, X.lower(d, "x.raw"), L.OVERRIDES)), X.has(d, "lc", L.OVERRIDES))
     policy = f"({d.any('sections', 'x', f'x.kind = {d.lit("Policy")}')} or {X.has(d, 'lc', L.POLICY_WORDS)})"
     return [
         ("safety", d.concat_arrays(

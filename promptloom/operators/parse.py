@@ -15,7 +15,7 @@ from ..functions.dialect import Dialect, Steps
 
 
 def basics(d: Dialect) -> Steps:
-    return [("lc", X.lower("text")), ("tokens", X.tokens(d, "text")), ("chars", "cast(length(text) as bigint)"), ("words", X.words(d, "text"))]
+    return [("lc", X.lower(d, "text")), ("tokens", X.tokens(d, "text")), ("chars", "cast(length(text) as bigint)"), ("words", X.words(d, "text"))]
 
 
 def intent(d: Dialect) -> Steps:
@@ -47,11 +47,11 @@ def constraints(d: Dialect, low: str = "lc") -> Steps:
     category = X.first(d, "x.l", L.CATEGORIES, "'general'")
     position = "array_position" if d.name == "spark" else "list_position"
     said = d.replace_all("x.c", f"[{X.WS}]+", " ")
-    lowered = d.map(d.keep(clauses, "x", f"{d.bytes('x.c')} >= 3"), "x", d.struct(c="x.c", l=X.lower("x.c"), line="x.line"))
+    lowered = d.map(d.keep(clauses, "x", f"{d.bytes('x.c')} >= 3"), "x", d.struct(c="x.c", l=X.lower(d, "x.c"), line="x.line"))
     polar = d.keep(d.map(lowered, "x", d.struct(c="x.c", l="x.l", line="x.line", polarity=polarity)), "x", f"x.polarity is not null and not ({X.words(d, 'x.c')} < 2 and x.polarity in ({weak}))")
     return [
         ("_polar", d.gate(polar, X.has(d, low, any_word))),
-        ("_ruled", d.map("_polar", "x", d.struct(polarity="x.polarity", text=said, category=category, line="x.line", l=X.lower(said)))),
+        ("_ruled", d.map("_polar", "x", d.struct(polarity="x.polarity", text=said, category=category, line="x.line", l=X.lower(d, said)))),
         ("_seen", d.map("_ruled", "x", "x.l")),
         ("constraints", d.map(d.let("_seen", "seen", d.keep("_ruled", "x, i", f"{position}(seen, x.l) = i + 1")), "x", d.struct(polarity="x.polarity", text="x.text", category="x.category", line="x.line"))),
         ("n_constraints", d.size("constraints")),
@@ -73,20 +73,20 @@ def sections(d: Dialect) -> Steps:
     """
     label = "case when x.md then " + d.replace_all("x.t", ":+$", "") + " when " + d.contains("x.t", ":") + f" then {d.extract('x.t', '^([^:]*):', 1)} end"
     fits = f"(x.md or ({d.bytes('x.label')} <= 24 and x.label <> '' and {X.words(d, 'x.label')} <= 3))"
-    kind = X.first(d, X.trim(d, X.lower("x.label")), L.HEADINGS, "null")
+    kind = X.first(d, X.trim(d, X.lower(d, "x.label")), L.HEADINGS, "null")
     fences = d.size(d.keep(d.slice("fs", "0", "i"), "f", "f"))
     n = d.size("lines")
     ends = d.at("bs", "i + 1")
     position = "array_position" if d.name == "spark" else "list_position"
     lead = f"coalesce(nullif({position}({d.map('x.body', 'y', f'{X.trim(d, chr(121))} = {chr(39) * 2}')}, false), 0) - 1, {d.size('x.body')})"
-    low = X.lower("x.content")
     trimmed = X.trim(d, "x.content")
-    opener = d.extract(low, f"^[{X.WS}]*([^{X.WS}]+)", 1)
+    opener = d.extract("lw", f"^[{X.WS}]*([^{X.WS}]+)", 1)
     verbs = ", ".join(d.lit(v) for v in L.IMPERATIVES)
     by_content = f"""case when {d.starts(trimmed, '{')} and {d.matches(trimmed, '[}]$')} then 'Output'
-        when {d.starts(low, 'you are ')} or {X.has(d, low, L.BLOCK_ROLE)} then 'Role' when {X.has(d, low, L.BLOCK_OUTPUT)} then 'Output'
-        when {X.has(d, low, L.BLOCK_CONSTRAINTS)} then 'Constraints' when {X.has(d, low, L.BLOCK_EXAMPLES)} then 'Examples'
+        when {d.starts('lw', 'you are ')} or {X.has(d, 'lw', L.BLOCK_ROLE)} then 'Role' when {X.has(d, 'lw', L.BLOCK_OUTPUT)} then 'Output'
+        when {X.has(d, 'lw', L.BLOCK_CONSTRAINTS)} then 'Constraints' when {X.has(d, 'lw', L.BLOCK_EXAMPLES)} then 'Examples'
         when {opener} in ({verbs}) then 'Task' else 'Unknown' end"""
+    by_content = d.let(X.lower(d, "x.content"), "lw", by_content)
     return [
         ("_raw", d.map("lines", "x", X.trim(d, "x"))),
         ("_fences", d.map("_raw", "x", d.starts("x", "```"))),

@@ -70,13 +70,13 @@ def _scored(d: Dialect):
 
 
 def _with_schema_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = parse.with_schema(prompt_corpus(spark, sf_dir).withColumn("lc", F.expr(X.lower("text"))))
+    df = parse.with_schema(prompt_corpus(spark, sf_dir).withColumn("lc", F.expr(X.lower(SPARK, "text"))))
     return df.drop("lc")
 
 
 def _guarded(d: Dialect):
     none = "cast(null as double)"
-    return [("lc", X.lower("text")), *parse.lines(d), *parse.sections(d), *firewall.secrets(d), *((f"ctx_{c}", none) for c in firewall.CONTEXT), *firewall.firewall(d)]
+    return [("lc", X.lower(d, "text")), *parse.lines(d), *parse.sections(d), *firewall.secrets(d), *((f"ctx_{c}", none) for c in firewall.CONTEXT), *firewall.firewall(d)]
 
 
 _issue = {"severity": "x.severity", "code": "x.code", "snippet": "x.snippet", "line": "x.line"}
@@ -100,7 +100,7 @@ SQL["numbers_and_entities"] = SQL["numbers_and_entities"].replace("cardinality("
 
 def _drifted(d: Dialect):
     shorter = "replace(replace(replace(text, 'must', 'may'), '3', ''), 'Never', 'Rarely')"
-    return [("transformed", shorter), *parse.lines(d), *parse.constraints(d, X.lower("text")), *compare.drift(d)]
+    return [("transformed", shorter), *parse.lines(d), *parse.constraints(d, X.lower(d, "text")), *compare.drift(d)]
 
 
 _steps("drift_report", prompt_corpus, CORPUS, _drifted, {**rounded("lexical_similarity", "number_retention", "entity_retention", "constraint_retention", "drift"), "lost_numbers": "array_join(lost_numbers, ' ')", "lost_entities": "array_join(lost_entities, ' ')", "within_tolerance": "within_tolerance"})

@@ -60,7 +60,7 @@ def test_intent_ties_and_default(spark):
 
 
 def test_constraints_split_and_dedup(spark):
-    df = apply(frame(spark, "- You must cite sources. You MUST cite sources\n2) never  lie; maybe\nreturn"), [*parse.lines(SPARK), *parse.constraints(SPARK, X.lower("text"))])
+    df = apply(frame(spark, "- You must cite sources. You MUST cite sources\n2) never  lie; maybe\nreturn"), [*parse.lines(SPARK), *parse.constraints(SPARK, X.lower(SPARK, "text"))])
     assert [(c["polarity"], c["text"], c["line"]) for c in values(df, "constraints")[0]] == [("must", "You must cite sources", 0), ("must_not", "never lie", 1)]
 
 
@@ -107,6 +107,13 @@ def test_firewall_context(spark):
     assert firewall.assess(df, {"tool_power": "none"}).first()["decision"] == "require_approval"
 
 
+def test_lower_is_ascii_only(spark):
+    odd = ["ABC xyz", "ÉA ΣB", "İc ǅ Ⅷ Ⓐ Ａ", "ß ñ A", "straße ÀB", "", None, "ΑΣ", "日本A"]
+    low = str.maketrans(X.UPPER, X.LOWER)
+    assert values(frame(spark, *odd), X.lower(SPARK, "text")) == [None if t is None else t.translate(low) for t in odd]
+    assert values(frame(spark, *odd), X.lower(SPARK, "concat(text, '')")) == [None if t is None else t.translate(low) for t in odd]
+
+
 def test_scrub(spark):
     df = apply(frame(spark, 'k="sk-1" AKIA, ok\tünï ghp_ééé', ""), firewall.scrub(SPARK))
     assert values(df, "scrubbed") == ['k="[REDACTED]" [REDACTED], ok\tünï [REDACTED]', ""]
