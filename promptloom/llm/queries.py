@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 
-from . import dedup, knn, licences, mixing, neardup, packing, quality, secrets, sharding, warc
+from . import dedup, knn, licences, mixing, neardup, packing, quality, secrets, sharding, spelling, warc
 
 QUERIES = {
     "op1_knn": knn.op1_knn,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_licences": licences.op8_licences,
     "op9_pack": packing.op9_pack,
     "op10_quality": quality.op10_quality,
+    "op11_spelling": spelling.op11_spelling,
 }
 SQL = {
     "op7_warc": warc.OP7_SQL,
@@ -21,4 +22,5 @@ SQL = {
     "op3_secrets": secrets.OP3_SQL,
     "op4_jaccard_join": neardup.OP4_SQL,
     "op6_exact_dedup": dedup.OP6_SQL,
+    "op11_spelling": spelling.OP11_SQL,
 }
