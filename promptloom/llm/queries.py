@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, and their SQL where SQL can express them."""
 
-from . import dedup, knn, licences, mixing, neardup, packing, quality, secrets, sharding, spelling, warc
+from . import dedup, knn, lexicon_bpe, licences, mixing, neardup, negatives, packing, quality, secrets, sharding, spelling, warc
 
 QUERIES = {
     "op1_knn": knn.op1_knn,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_pack": packing.op9_pack,
     "op10_quality": quality.op10_quality,
     "op11_spelling": spelling.op11_spelling,
+    "op12_negatives": negatives.op12_negatives,
+    "op13_bpe": lexicon_bpe.op13_bpe,
 }
 SQL = {
     "op7_warc": warc.OP7_SQL,
@@ -23,4 +25,5 @@ SQL = {
     "op4_jaccard_join": neardup.OP4_SQL,
     "op6_exact_dedup": dedup.OP6_SQL,
     "op11_spelling": spelling.OP11_SQL,
+    "op12_negatives": negatives.OP12_SQL,
 }
