@@ -219,14 +219,15 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None) -> DataFrame
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that their group keeps, one of each group; columns unchanged."""
     groups = common.staged(exact_groups(docs), "groups")
-    digest = F.sha2(normalised(F.col("text")), 256)
+    docs = docs.select(F.struct("*").alias("row"))  # names of any other columns can't clash
+    digest = F.sha2(normalised(F.col("row.text")), 256)
     gone = groups.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (digest == F.col("_gone_sha")), "left_anti")
+    left = docs.join(gone, F.col("row.doc_id").eqNullSafe(F.col("_gone_id")) & (digest == F.col("_gone_sha")), "left_anti")
     twice = common.staged(groups.where("kept").groupBy("text_sha256").count().where("count > 1").select(F.col("text_sha256").alias("_twice")), "twice")
     if twice.isEmpty():
-        return left
+        return left.select("row.*")
     rows = left.withColumn("_sha", digest).join(twice, F.col("_sha") == F.col("_twice"), "left")
-    return rows.where("_twice is null").unionByName(rows.where("_twice is not null").dropDuplicates(["_twice"])).select(*docs.columns)
+    return rows.where("_twice is null").unionByName(rows.where("_twice is not null").dropDuplicates(["_twice"])).select("row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ class Cells:
         self.parts = [-(-r["n"] // BLOCK_ROWS) for r in rows]
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """No row of a cell (columns) scores more with a query (rows): the better of the ball's bound and the sides' bound."""
+        """No row of a cell (columns) scores more with a query (rows): the better of the ball's bound and the sides' bound. NaN where neither can be said."""
         size = np.sqrt((q**2).sum(1))[:, None]
         ball = q @ self.pivots.T + size * self.far
         along = q @ self.units.T
@@ -118,7 +118,7 @@ def _reach(cells: Cells, allowed: np.ndarray):
                 part = batch.slice(at, 500)
                 q, g = _matrix(part.column(2), cells.pivots.shape[1]), part.column(3).to_numpy()
                 t = np.array([-np.inf if x is None else x for x in part.column(4).to_pylist()], np.float64)
-                near = allowed[g] & (cells.bounds(q) >= t[:, None])
+                near = allowed[g] & ~(cells.bounds(q) < t[:, None])  # NaN, where squares leave the doubles, is within reach
                 near[np.arange(len(g)), g] = False
                 rows, to = np.nonzero(near)
                 for i in range(0, len(rows), 20_000):
@@ -228,7 +228,7 @@ def _one_length(data: DataFrame, queries: DataFrame, dim: int, k: int) -> tuple[
     radii, least = np.zeros(len(cells.ids)), np.full(len(cells.ids), np.inf)
     for r in groups:
         radii[r["g"]], least[r["g"]] = r["r"], r["t"]
-    allowed = cells.group_bounds(radii) >= least[:, None]
+    allowed = ~(cells.group_bounds(radii) < least[:, None])
     sent = common.staged(asked.select("row", "query_id", "v", "g", "least").mapInArrow(_reach(cells, allowed), "row long, query_id long, v array<double>, c int, least long"), "sent")
     return first.unionByName(_local(sent, blocks, cells, k)), sent, cells
 
