@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 from typing import Protocol
 
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
+from ..sources.tablelog import COMPACT_AT, TableLog
 
 #: Vector width, entries kept, neighbours, least similarity for a routing override.
 DIMS, MAX_ENTRIES, NEIGHBOURS, ROUTE_LEAST = 256, 500, 5, 0.45
@@ -176,6 +178,7 @@ def top_similar(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
 
 ENTRY = "place long, id string, preview string, vector array<double>, composite double, accepted boolean, decision string, n_findings int, token_reduction double"
+_ENTRY_NAMES = [c.split()[0] for c in ENTRY.split(", ")]
 PAYLOAD = ("preview", "vector", "composite", "accepted", "decision", "n_findings", "token_reduction")
 #: An evaluation accepts its winner from this accuracy on, and so much of a prompt is its preview. Fixed values.
 ACCEPT_ACCURACY, PREVIEW = 0.9, 160
@@ -203,47 +206,87 @@ class Backend(Protocol):
 
 
 class TableBackend:
-    """A memory in a folder of Parquet snapshots. A write makes the next snapshot; readers take the last one that is complete, so a write that fails or runs twice harms nothing."""
+    """A memory in a folder, as a log of changes.
+
+    A write adds a part with what it changes: new payloads of the ids that are
+    there, and the newest ``cap`` ids that aren't, numbered on from the last
+    place. Reading merges the parts: an id keeps the place of its first write
+    and the payload of its last one. The newest ``cap`` places stay; each commit
+    notes the least of them, so an id that had to go and comes again is new,
+    whenever the parts are merged for good. Writers don't wait for each other:
+    who is second works out its change again. A batch of a writer that runs
+    twice is there once.
+    """
 
     def __init__(self, spark: SparkSession, path: str, cap: int = MAX_ENTRIES) -> None:
-        self.spark, self.path, self.cap = spark, path.rstrip("/"), cap
-
-    def _folder(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _last(self) -> int:
-        folder, fs = self._folder(self.path)
-        if not fs.exists(folder):
-            return -1
-        names = [s.getPath() for s in fs.listStatus(folder)]
-        return max((int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(self._folder(f"{p.toString()}/_SUCCESS")[0])), default=-1)
-
-    def _write(self, table: DataFrame, number: int) -> None:
-        table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={number}")  # at most ``cap`` rows
-
-    def all(self) -> DataFrame:
-        last = self._last()
-        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/v={last}") if last >= 0 else self.spark.createDataFrame([], ENTRY)
-
-    def upsert(self, writes: DataFrame, number: int | None = None) -> None:
-        """Merge writes (seq, id, ...). ``number``: the snapshot to make; one that is there already stays as it is."""
-        last = self._last()
-        number = last + 1 if number is None else number
-        if number <= last:
-            return
-        old = self.all()
-        base = old.agg(F.max("place")).first()[0]
-        seq = F.col("seq").cast("long") + (0 if base is None else base + 1)
-        both = old.withColumnRenamed("place", "seq").unionByName(writes.select(seq.alias("seq"), "id", *PAYLOAD))
-        self._write(upsert(both, self.cap).select([f.name for f in old.schema]), number)
+        self.spark, self.cap = spark, cap
+        self.log = TableLog(spark, path, ENTRY)
+
+    def _merged(self, manifest: dict) -> DataFrame:
+        """All ids of the parts. ``place`` of a part's rows counts from its ``first``; ``floor`` is the least place that stayed before it came."""
+        parts = manifest["parts"]
+        if not parts:
+            return self.spark.createDataFrame([], ENTRY)
+        rows = [self.log.read_part(p).withColumn("place", F.col("place") + p["first"]).withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
+        if len(rows) == 1:
+            return rows[0].drop("part")
+        writes = F.array_sort(F.collect_list(F.struct("part", "place", F.struct(*PAYLOAD).alias("p"))))
+        floors = F.array(*(F.lit(p["floor"]).cast("long") for p in parts))
+        none = F.lit(None).cast(f"struct<place:bigint,p:struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in rows[0].schema if f.name in PAYLOAD)}>>")
+
+        def take(kept, write):
+            stays = kept["place"] >= F.get(floors, write["part"])
+            return F.struct(F.when(stays, kept["place"]).otherwise(write["place"]).alias("place"), write["p"].alias("p"))
+
+        # at most one write per id and part
+        merged = reduce(DataFrame.unionByName, rows).groupBy("id").agg(writes.alias("w")).withColumn("x", F.aggregate("w", none, take))
+        return merged.select("x.place", "id", "x.p.*")
+
+    def all(self, manifest: dict | None = None) -> DataFrame:
+        """The entries as of the last manifest (or of a given one)."""
+        m = manifest or self.log.last()
+        return self._merged(m).where(F.col("place") >= m["notes"].get("floor", 0))
+
+    def upsert(self, writes: DataFrame, number: int | None = None, writer: str = "") -> None:
+        """Merge writes (seq, id, ...): of one id the first ``seq`` is its place, the last its payload. ``number``: the writer's batch, by default its next; one that is there already changes nothing."""
+        merged = writes.groupBy("id").agg(F.min("seq").alias("seq"), F.max_by(F.struct(*PAYLOAD), "seq").alias("p"))
+
+        def change(m: dict) -> dict:
+            if number is None:
+                m["writers"][writer] = m["writers"].get(writer, -1) + 1
+            ids = merged.count()
+            if not ids:
+                return {**m, "notes": {"next": 0, "floor": 0, **m["notes"]}}
+            live = F.broadcast(self.all(m).select("id"))  # at most ``cap``
+            new = merged.join(live, "id", "left_anti").orderBy(F.desc("seq")).limit(self.cap)
+            rows = merged.join(live, "id", "left_semi").unionByName(new)
+            # twice ``cap`` rows at most; numbered from the end, as ids left out are the oldest
+            rows = rows.withColumn("place", F.lit(ids) - F.row_number().over(Window.orderBy(F.desc("seq"))))
+            first, floor = m["notes"].get("next", 0), m["notes"].get("floor", 0)
+            m["parts"].append({"folder": self.log.write_part(rows.select("place", "id", "p.*").select(*_ENTRY_NAMES).coalesce(1)), "first": first, "floor": floor})
+            m["notes"] = {"next": first + ids, "floor": floor}
+            newest = self.all(m).orderBy(F.desc("place")).limit(self.cap).agg(F.count("*").alias("n"), F.min("place").alias("least")).first()
+            if newest["n"] == self.cap:
+                m["notes"]["floor"] = newest["least"]
+            return m
+
+        if len(self.log.commit(change, writer, number)["parts"]) > COMPACT_AT:
+            self.compact()
+
+    def compact(self) -> None:
+        """One part with what stays, then drop what nothing needs any more."""
+
+        def change(m: dict) -> dict:
+            return {**m, "parts": [{"folder": self.log.write_part(self.all(m).select(*_ENTRY_NAMES).coalesce(1)), "first": 0, "floor": 0}]}
+
+        self.log.commit(change)
+        self.log.vacuum()
 
     def query(self, prompts: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         return recall(prompts, self.all(), k)
 
     def clear(self) -> None:
-        self._write(self.spark.createDataFrame([], ENTRY), self._last() + 1)
+        self.log.commit(lambda m: {**m, "parts": [], "notes": {**m["notes"], "floor": m["notes"].get("next", 0)}})
 
     def size(self) -> int:
         return self.all().count()

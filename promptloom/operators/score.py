@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions.dialect import SPARK, Dialect, Steps, apply
-from . import lint, parse
+from . import lint, parse, skyline
 
 NAMES = tuple(n for n, _ in L.OBJECTIVES)
 
@@ -98,11 +98,8 @@ def dominates(a: str, b: str) -> str:
 
 
 def pareto(df: DataFrame, prompt: str = "prompt_id") -> DataFrame:
-    """Add ``on_frontier``: no other candidate of the prompt dominates. A prompt has a handful of candidates; they meet in one window."""
-    own = F.struct(*NAMES)
-    per = Window.partitionBy(prompt)
-    df = df.withColumn("_own", own).withColumn("_all", F.collect_list("_own").over(per))
-    return df.withColumn("on_frontier", F.expr(f"not exists(_all, x -> {dominates('x', '_own')})")).drop("_own", "_all")
+    """Add ``on_frontier``: no other candidate of the prompt dominates, however many there are."""
+    return skyline.frontier(df, prompt, NAMES)
 
 
 def rank(df: DataFrame, prompt: str = "prompt_id", index: str = "idx") -> DataFrame:

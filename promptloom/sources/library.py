@@ -27,7 +27,9 @@ def front_matter_by_parts(df: DataFrame) -> DataFrame:
     """The other reading: split at '---' lines, drop empty parts, the first is the head; a value ends at a second ': '."""
     df = df.withColumn("_parts", F.expr(r"filter(split(raw, '---\\n'), x -> x <> '')"))
     lines = r"filter(split(get(_parts, 0), '\\n'), x -> size(split(x, ': ')) > 1)"
-    df = df.withColumn("meta", F.expr(f"map_from_entries(transform({lines}, x -> struct(trim(get(split(x, ': '), 0)) as k, trim(get(split(x, ': '), 1)) as v)))"))
+    df = df.withColumn("_pairs", F.expr(f"transform({lines}, x -> struct(trim(get(split(x, ': '), 0)) as k, trim(get(split(x, ': '), 1)) as v))"))
+    last = "filter(_pairs, (x, i) -> not exists(slice(_pairs, i + 2, size(_pairs)), y -> y.k = x.k))"  # of a key that repeats the last holds
+    df = df.withColumn("meta", F.expr(f"map_from_entries({last})")).drop("_pairs")
     return df.withColumn("body", F.expr(r"trim(array_join(slice(_parts, 2, greatest(1, size(_parts))), '---\\n'))")).drop("_parts")
 
 
@@ -89,8 +91,14 @@ def save(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write the whole table of saved prompts anew; ``df`` must not read from ``path``."""
-    df.write.mode("overwrite").parquet(path)
+    """Write the whole table of saved prompts anew, aside first, so ``df`` may read it; with writers at the same time use ``tablelog.SavedPrompts``."""
+    spark, aside = df.sparkSession, f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").parquet(aside)
+    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    fs.rename(new, old)
+    spark.catalog.refreshByPath(path)
 
 
 def without(saved: DataFrame, gone: str) -> DataFrame:

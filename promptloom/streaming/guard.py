@@ -47,14 +47,14 @@ def outcomes(decided: DataFrame) -> DataFrame:
 def deciding_sink(known: memory.TableBackend, path: str) -> Callable[[DataFrame, int], None]:
     """A sink that decides each micro-batch with the memory as it was before, writes the decisions and remembers them.
 
-    Decisions overwrite their batch's folder and the memory's snapshot has the batch's number, so a batch that runs
+    Decisions overwrite their batch's folder and the memory knows the last batch of this writer, so a batch that runs
     twice is there once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         out = f"{path}/batch={number}"
         remembered(batch, known).where("text is not null").write.mode("overwrite").parquet(out)
-        known.upsert(outcomes(batch.sparkSession.read.parquet(out)), number)
+        known.upsert(outcomes(batch.sparkSession.read.parquet(out)), number, writer=path)
 
     return write
 
