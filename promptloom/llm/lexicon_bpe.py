@@ -9,6 +9,7 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,9 @@ from . import common, packing
 
 #: Words in the lexicon, their longest in bytes (longer ones hardly come again), and distinct words that a task counts before it passes them on.
 LEXICON_WORDS, LEXICON_BYTES, COUNTED_WORDS = 100_000, 40, 200_000
-#: Documents of one step of the encoder, and characters after which a step ends.
-STEP_ROWS, STEP_CHARS = 200, 1_000_000
+#: Documents of one step of the encoder, characters after which a step ends, and widths of the matrices in which words merge; longer ones have a heap each.
+STEP_ROWS, STEP_CHARS, SHORT_WORDS = 500, 2_000_000, (8, 16, 32, 64)
+NEVER = 1 << 40
 _PARTS = ("arcs", "targets", "skips", "finals", "starts", "ids")
 _TYPES = {"arcs": np.int64, "targets": np.int32, "skips": np.int32, "finals": np.uint8, "starts": np.int64, "ids": np.uint16}
 
@@ -44,17 +46,71 @@ class Vocabulary:
         self.bytes_of = {i: _raw(t, back) for t, i in model["vocab"].items()}
         self.bytes_of |= {t["id"]: _raw(t["content"], back) for t in data["added_tokens"]}
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.byte_ids = [model["vocab"].get(c) for _, c in sorted(byte_alphabet().items())]
+        self.byte_ids = np.array([model["vocab"][c] for _, c in sorted(byte_alphabet().items())], np.int64)
         self.merges = {}
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges[model["vocab"][a], model["vocab"][b]] = (rank, model["vocab"][a + b])
         if max(self.bytes_of) >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
-
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of one word: of all neighbouring pairs the one of least rank merges first, the leftmost of equal ones. A heap of pairs keeps long words cheap."""
-        ids = [i for b in word if (i := self.byte_ids[b]) is not None]
+        keys = sorted((a << 16 | b, rank) for (a, b), (rank, _) in self.merges.items())
+        self.pairs, self.pair_ranks = (np.array(x, np.int64) for x in zip(*keys, strict=True))
+        self.merged = np.zeros(len(model["merges"]), np.int64)
+        for rank, new in self.merges.values():
+            self.merged[rank] = new
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids, as uint16, of words on their own: of all neighbouring pairs the one of least rank merges first, the leftmost of equal ones.
+
+        Short words merge together, a merge of each at a time, in a matrix of ids and one of the pairs' ranks.
+        """
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in pairwise((0, *SHORT_WORDS)):
+            at = np.flatnonzero((sizes > low) & (sizes <= high))
+            ids = self._merge_short([words[i] for i in at.tolist()], sizes[at], high) if len(at) else []
+            for i, raw in zip(at.tolist(), ids, strict=True):
+                out[i] = raw
+        for i in np.flatnonzero(sizes > SHORT_WORDS[-1]).tolist():
+            out[i] = np.array(self._merge_long(self.byte_ids[np.frombuffer(words[i], np.uint8)].tolist()), np.uint16).tobytes()
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids; NEVER where it doesn't merge or one is missing."""
+        key = np.where((a >= 0) & (b >= 0), a * (1 << 16) + b, -1)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], NEVER)
+
+    def _merge_short(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        ids[np.arange(width + 1) < sizes[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        left, cols, done = np.arange(len(words)), np.arange(width), np.zeros((len(words), width), np.int64)
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        while True:
+            at = ranks.argmin(1)
+            rank = ranks[np.arange(len(left)), at]
+            over = rank == NEVER
+            if over.any():
+                done[left[over]] = ids[over, :-1]
+                left, ids, ranks, at, rank = (x[~over] for x in (left, ids, ranks, at, rank))
+            if not len(left):
+                break
+            rows = np.arange(len(left))
+            ids[rows, at] = self.merged[rank]
+            after = cols + (cols > at[:, None])  # what lies behind the pair's second id moves up
+            ids[:, :-1] = np.take_along_axis(ids, after, 1)
+            ids[:, -1] = -1
+            ranks = np.take_along_axis(ranks, np.minimum(after, width - 1), 1)
+            ranks[rows, at] = self._ranks(ids[rows, at], ids[rows, at + 1])
+            some = rows[at > 0]
+            ranks[some, at[some] - 1] = self._ranks(ids[some, at[some] - 1], ids[some, at[some]])
+        there = done >= 0
+        ends = np.cumsum(there.sum(1)) * 2
+        raw = done[there].astype(np.uint16).tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """A long word, with a heap of pairs and links between what is left: n bytes take n log n steps."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
@@ -95,8 +151,8 @@ class Transducer:
         self.parts = parts
 
     @classmethod
-    def build(cls, words: list[tuple[bytes, list[int]]]) -> Transducer:
-        """From (word, ids) in order of the words, distinct: states whose way on is the same become one as soon as the next word shows that they are complete."""
+    def build(cls, words: list[tuple[bytes, bytes]]) -> Transducer:
+        """From (word, its ids as uint16) in order of the words, distinct: states whose way on is the same become one as soon as the next word shows that they are complete."""
         register: dict[tuple, int] = {}
         count: list[int] = []  # words below each state
         frozen: list[tuple] = []  # (final, ((byte, state), ...)) of each state
@@ -131,8 +187,8 @@ class Transducer:
                 targets.append(root - to)
                 skips.append(skip)
                 skip += count[to]
-        sizes = [len(ids) for _, ids in words]
-        made = {"arcs": arcs, "targets": targets, "skips": skips, "finals": [frozen[s][0] for s in range(root, -1, -1)], "starts": np.r_[0, np.cumsum(sizes)], "ids": [i for _, ids in words for i in ids]}
+        sizes = [len(ids) // 2 for _, ids in words]
+        made = {"arcs": arcs, "targets": targets, "skips": skips, "finals": [frozen[s][0] for s in range(root, -1, -1)], "starts": np.r_[0, np.cumsum(sizes)], "ids": np.frombuffer(b"".join(ids for _, ids in words), np.uint16)}
         return cls({k: np.array(made[k], _TYPES[k]) for k in _PARTS})
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -158,8 +214,8 @@ class Transducer:
         return np.where((state >= 0) & (p["finals"][state] > 0), number, -1)
 
     def ids_of(self, numbers: np.ndarray) -> list[bytes]:
-        ids, starts = self.parts["ids"], self.parts["starts"]
-        return [ids[starts[n] : starts[n + 1]].tobytes() for n in numbers]
+        raw, starts = self.parts["ids"].view(np.uint8).data, self.parts["starts"]
+        return [bytes(raw[a:b]) for a, b in zip((starts[numbers] * 2).tolist(), (starts[numbers + 1] * 2).tolist(), strict=True)]
 
     def packed(self) -> bytes:
         """A head with the parts' places, then the parts one after another."""
@@ -178,7 +234,7 @@ class Transducer:
         with open(path, "rb") as f:
             size = int.from_bytes(f.read(8), "little")
             head = json.loads(f.read(size))
-        return cls({k: np.memmap(path, _TYPES[k], "r", 8 + size + at, (n,)) if n else np.zeros(0, _TYPES[k]) for k, (at, n) in head.items()})
+        return cls({k: np.memmap(path, _TYPES[k], "r", 8 + size + at, (n,)).view(np.ndarray) if n else np.zeros(0, _TYPES[k]) for k, (at, n) in head.items()})
 
 
 @cache
@@ -241,10 +297,21 @@ def _given(seen: Counter) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> DataFrame:
-    """(word, n): the ``words`` most frequent words of all texts (ties: the first in code-point order), none longer than LEXICON_BYTES."""
+    """(word, n): the most frequent words of all texts, at most ``words``, none longer than LEXICON_BYTES.
+
+    The counts are written once. A histogram of them, of eight classes to each power of two, gives the
+    least count up from which the words fit; words of one class come or go together.
+    """
     counts = docs.select("text").where("text is not null").mapInArrow(_counts(path), "word string, n long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= LEXICON_BYTES)
-    return counts.orderBy(F.desc("n"), "word").limit(words)
+    counts = counts.groupBy("word").agg(F.sum("n").alias("n")).where((F.octet_length("word") <= LEXICON_BYTES) & (F.col("n") > 1))
+    counts = common.staged(counts.withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "counts")
+    least, room = None, words
+    for r in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["class"]
+    return counts.where(F.lit(False) if least is None else F.col("class") >= least).select("word", "n")
 
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> str:
@@ -254,7 +321,7 @@ def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> str
     """
     vocabulary = _vocabulary(path)
     chosen = sorted(r["word"].encode() for r in frequent_words(docs, path, words).select("word").collect() if r["word"] not in vocabulary.added)
-    made = Transducer.build([(w, vocabulary.merge(w)) for w in chosen])
+    made = Transducer.build(list(zip(chosen, vocabulary.merge(chosen), strict=True)))
     target = common.scratch_path(docs.sparkSession, "lexicon") + ".fst"
     _write(docs.sparkSession, target, made.packed())
     return target
@@ -280,13 +347,14 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
-        words = list(dict.fromkeys(w for s in split for w in s))
+        words = list(dict.fromkeys(chain.from_iterable(split)))
         raw = [w.encode() for w in words]
         numbers = self.lexicon.numbers(raw)
-        known = dict(zip(words, self.lexicon.ids_of(np.maximum(numbers, 0)), strict=True)) if len(self.lexicon.parts["starts"]) > 1 else {}
-        for i in np.flatnonzero(numbers < 0):
-            added = self.vocabulary.added.get(words[i])
-            known[words[i]] = np.array([added] if added is not None else self.vocabulary.merge(raw[i]), np.uint16).tobytes()
+        there = np.flatnonzero(numbers >= 0)
+        known = dict(zip([words[i] for i in there.tolist()], self.lexicon.ids_of(numbers[there]), strict=True))
+        new = np.flatnonzero(numbers < 0).tolist()
+        known |= zip([words[i] for i in new], self.vocabulary.merge([raw[i] for i in new]), strict=True)
+        known |= {w: np.array([i], np.uint16).tobytes() for w, i in self.vocabulary.added.items()}
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
 
