@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from . import common, packing
 
 #: Words in the lexicon, their longest in bytes (longer ones hardly come again), and distinct words that a task counts before it passes them on.
-LEXICON_WORDS, LEXICON_BYTES, COUNTED_WORDS = 100_000, 40, 200_000
+LEXICON_WORDS, LEXICON_BYTES, COUNTED_WORDS = 100_000, 40, 100_000
 #: Documents of one step of the encoder, characters after which a step ends, and widths of the matrices in which words merge; longer ones have a heap each.
-STEP_ROWS, STEP_CHARS, SHORT_WORDS = 500, 2_000_000, (8, 16, 32, 64)
+STEP_ROWS, STEP_CHARS, SHORT_WORDS = 500, 1_000_000, (8, 16, 32, 64)
 NEVER = 1 << 40
 _PARTS = ("arcs", "targets", "skips", "finals", "starts", "ids")
 _TYPES = {"arcs": np.int64, "targets": np.int32, "skips": np.int32, "finals": np.uint8, "starts": np.int64, "ids": np.uint16}
@@ -358,10 +358,11 @@ class Encoder:
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
 
-def _steps(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def _steps(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of a few rows at a time."""
     at, part, chars = 0, [], 0
     for i, t in enumerate(texts):
-        part.append(t or "")
+        part.append(t.as_py() or "")
         chars += len(part[-1])
         if len(part) == STEP_ROWS or chars > STEP_CHARS or i == len(texts) - 1:
             yield at, part
@@ -372,7 +373,7 @@ def _encoded(path: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path, SparkFiles.get(name))
         for batch in batches:
-            for at, texts in _steps(batch.column(1).to_pylist()):
+            for at, texts in _steps(batch.column(1)):
                 raw = encode(texts)
                 ids = np.frombuffer(b"".join(raw), np.uint16).astype(np.int32)
                 ends = np.r_[0, np.cumsum([len(r) // 2 for r in raw])].astype(np.int32)
