@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from contextlib import suppress
 from functools import reduce
 from itertools import chain
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,11 +17,13 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..sources.tablelog import COMPACT_AT, TableLog
+from . import neighbours
+from .vector_index import VectorIndex
 
 #: Vector width, entries kept, neighbours, least similarity for a routing override.
 DIMS, MAX_ENTRIES, NEIGHBOURS, ROUTE_LEAST = 256, 500, 5, 0.45
 #: Vectors of one block of a comparison set (2 KB each).
-BLOCK = 4096
+BLOCK = neighbours.BLOCK
 _SPLIT = re.compile("[^a-z0-9]+")
 
 
@@ -67,82 +68,9 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    """Rows of vectors; missing components, as those of shorter vectors, are 0."""
-    lengths = np.diff(column.offsets.to_numpy())
-    flat = np.nan_to_num(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False))
-    out = np.zeros((len(column), lengths.max(initial=0)))
-    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
-    return out
-
-
-def _near(names: np.ndarray, vectors: np.ndarray, k: int, asked: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the batch, number of the entry, similarity) of the k best of entries in the order of their ties."""
-    q = _vectors(asked.column(1))
-    wide = min(q.shape[1], vectors.shape[1])
-    score = q[:, :wide] @ vectors[:, :wide].T
-    n = min(k, len(names))
-    edge = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n : score.shape[1] - n + 1]
-    r, c = np.nonzero(score >= edge - 1e-12)
-    order = np.lexsort((c, -np.round(score[r, c], 12), r))
-    r, c = r[order], c[order]
-    keep = np.arange(len(r)) - np.searchsorted(r, r) < n
-    return r[keep], c[keep], score[r[keep], c[keep]]
-
-
 def nearest(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
-    """The k entries (id long, vector) that are most similar to each query (query_id long, vector): query_id, id, similarity.
-
-    Similarity is the dot product of normalised vectors; ties go to the smaller
-    id; null vectors take no part. One block of entries, ``BLOCK`` at most, is
-    sent to all queries. Of more entries each block meets all queries in
-    batches, and what each block found is ranked again.
-    """
-    schema = "query_id long, id long, similarity double"
-    queries = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    entries = entries.where("vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    few = entries.limit(BLOCK + 1).toArrow()
-    if len(few) <= BLOCK:
-        few = few.sort_by("id").combine_chunks()
-        names, vectors = few.column(0).to_numpy(), _vectors(few.column(1).combine_chunks())
-
-        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows if len(names) else 0, 1000):
-                    part = batch.slice(at, 1000)
-                    r, c, s = _near(names, vectors, k, part)
-                    yield pa.record_batch([part.column(0).take(pa.array(r)), pa.array(names[c]), pa.array(s)], names=["query_id", "id", "similarity"])
-
-        return queries.mapInArrow(solve, schema)
-    blocks = -(-entries.count() // BLOCK)
-    held = entries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.lit(0).alias("side"), "id", "vector")
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.lit(1).alias("side"), F.col("query_id").alias("id"), "vector")
-    both = held.unionByName(asked).repartition("b").sortWithinPartitions("b", "side", "id")
-
-    def solve_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
-        for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)], 1)
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            for a, b in zip([0, *cut], [*cut, len(keys)], strict=True):
-                if a == b:
-                    continue
-                if keys[a, 0] != block:
-                    block, held = keys[a, 0], []
-                part = batch.slice(a, b - a).select(["id", "vector"])
-                if keys[a, 1] == 0:
-                    held.append(part)
-                elif held:
-                    own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    names, vectors = own.column(0).to_numpy(), _vectors(own.column(1))
-                    for at in range(0, part.num_rows, 1000):
-                        some = part.slice(at, 1000)
-                        r, c, s = _near(names, vectors, k, some)
-                        yield pa.record_batch([some.column(0).take(pa.array(r)), pa.array(names[c]), pa.array(s)], names=["query_id", "id", "similarity"])
-
-    found = both.mapInArrow(solve_blocks, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "id"))
-    return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+    """The k entries (id, vector) that are most similar to each query (query_id, vector), with either side of any size."""
+    return neighbours.nearest(queries, entries, k, BLOCK)
 
 
 def upsert(entries: DataFrame, cap: int = MAX_ENTRIES) -> DataFrame:
@@ -218,7 +146,7 @@ class TableBackend:
     twice is there once.
     """
 
-    def __init__(self, spark: SparkSession, path: str, cap: int = MAX_ENTRIES) -> None:
+    def __init__(self, spark: SparkSession, path: str, cap: int | None = MAX_ENTRIES) -> None:
         self.spark, self.cap = spark, cap
         self.log = TableLog(spark, path, ENTRY)
 
@@ -254,30 +182,40 @@ class TableBackend:
         def change(m: dict) -> dict:
             if number is None:
                 m["writers"][writer] = m["writers"].get(writer, -1) + 1
-            ids = merged.count()
-            if not ids:
+            rows, span = self._numbered(merged, m)
+            if rows is None:
                 return {**m, "notes": {"next": 0, "floor": 0, **m["notes"]}}
-            live = F.broadcast(self.all(m).select("id"))  # at most ``cap``
-            new = merged.join(live, "id", "left_anti").orderBy(F.desc("seq")).limit(self.cap)
-            rows = merged.join(live, "id", "left_semi").unionByName(new)
-            # twice ``cap`` rows at most; numbered from the end, as ids left out are the oldest
-            rows = rows.withColumn("place", F.lit(ids) - F.row_number().over(Window.orderBy(F.desc("seq"))))
             first, floor = m["notes"].get("next", 0), m["notes"].get("floor", 0)
-            m["parts"].append({"folder": self.log.write_part(rows.select("place", "id", "p.*").select(*_ENTRY_NAMES).coalesce(1)), "first": first, "floor": floor})
-            m["notes"] = {"next": first + ids, "floor": floor}
-            newest = self.all(m).orderBy(F.desc("place")).limit(self.cap).agg(F.count("*").alias("n"), F.min("place").alias("least")).first()
-            if newest["n"] == self.cap:
-                m["notes"]["floor"] = newest["least"]
+            m["parts"].append({"folder": self.log.write_part(rows.select("place", "id", "p.*").select(*_ENTRY_NAMES)), "first": first, "floor": floor})
+            if span is None:
+                span = (self.log.read_part(m["parts"][-1]).agg(F.max("place")).first()[0] or 0) + 1
+            m["notes"] = {**m["notes"], "next": first + span, "floor": floor}
+            if self.cap is not None:
+                newest = self.all(m).orderBy(F.desc("place")).limit(self.cap).agg(F.count("*").alias("n"), F.min("place").alias("least")).first()
+                if newest["n"] == self.cap:
+                    m["notes"]["floor"] = newest["least"]
             return m
 
         if len(self.log.commit(change, writer, number)["parts"]) > COMPACT_AT:
             self.compact()
 
+    def _numbered(self, merged: DataFrame, m: dict) -> tuple[DataFrame | None, int | None]:
+        """What a write (id, seq, p) changes, with ``place`` counted from 0 in the order of ``seq``, and how many places it takes (None: those that its part has)."""
+        ids = merged.count()
+        if not ids:
+            return None, None
+        live = F.broadcast(self.all(m).select("id"))  # at most ``cap``
+        new = merged.join(live, "id", "left_anti").orderBy(F.desc("seq")).limit(self.cap)
+        rows = merged.join(live, "id", "left_semi").unionByName(new)
+        # twice ``cap`` rows at most; numbered from the end, as ids left out are the oldest
+        return rows.withColumn("place", F.lit(ids) - F.row_number().over(Window.orderBy(F.desc("seq")))).coalesce(1), ids
+
     def compact(self) -> None:
         """One part with what stays, then drop what nothing needs any more."""
 
         def change(m: dict) -> dict:
-            return {**m, "parts": [{"folder": self.log.write_part(self.all(m).select(*_ENTRY_NAMES).coalesce(1)), "first": 0, "floor": 0}]}
+            rows = self.all(m).select(*_ENTRY_NAMES)
+            return {**m, "parts": [{"folder": self.log.write_part(rows if self.cap is None else rows.coalesce(1)), "first": 0, "floor": 0}]}
 
         self.log.commit(change)
         self.log.vacuum()
@@ -286,12 +224,58 @@ class TableBackend:
         return recall(prompts, self.all(), k)
 
     def clear(self) -> None:
-        self.log.commit(lambda m: {**m, "parts": [], "notes": {**m["notes"], "floor": m["notes"].get("next", 0)}})
+        self.log.commit(lambda m: {**m, "parts": [], "notes": {**m["notes"], "floor": m["notes"].get("next", 0), "cleared": m["number"] + 1}})
 
     def size(self) -> int:
         return self.all().count()
 
 
+class IndexedBackend(TableBackend):
+    """The table with a vector index beside it, for memories of any number of entries: nothing leaves by its place, and recall probes the index.
+
+    The index is made with the first write; an entry's place is its id there. A write commits to the table alone. What
+    the index hasn't seen is added before the next recall, known by the number of the last manifest that it has taken
+    in, so a writer that dies between the two loses nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, recall: float = 0.95) -> None:
+        super().__init__(spark, path, cap=None)
+        self.least_recall = recall
+        self.index = VectorIndex(spark, f"{path.rstrip('/')}/index")
+
+    def _numbered(self, merged: DataFrame, m: dict) -> tuple[DataFrame | None, int | None]:
+        """Places with gaps, in the order of ``seq``: partitions follow each other, and rows within them."""
+        if merged.isEmpty():
+            return None, None
+        return merged.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("place", F.monotonically_increasing_id()), None
+
+    def _indexed(self) -> bool:
+        """Bring the index up to the table; False while there is nothing in it."""
+        m, done = self.log.last(), self.index.log.last()
+        seen = done["writers"].get("table", -1)
+        if seen < m["notes"].get("cleared", -1) and done["parts"]:
+            done = self.index.log.commit(lambda i: {**i, "parts": []}, "table", m["notes"]["cleared"])
+        recent = [p for p in m["parts"] if p["number"] > seen]
+        if recent:
+            ids = reduce(DataFrame.unionByName, [self.log.read_part(p).select("id") for p in recent]).distinct()
+            now = self.all(m).join(ids, "id", "left_semi").where("vector is not null").select(F.col("place").alias("id"), "vector")
+            if done["number"] < 0:
+                if now.isEmpty():
+                    return False
+                with suppress(FileExistsError):  # another reader's
+                    VectorIndex.build(self.spark, self.index.path, now, recall=self.least_recall)
+            self.index.add(now, writer="table", batch=m["number"])
+        return bool(m["parts"]) and self.index.log.last()["number"] >= 0
+
+    def query(self, prompts: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+        """As the table's, but similarities below 0 count as 0."""
+        if not self._indexed():
+            return recall(prompts, self.all(), k)
+        near = self.index.search(prompts.select(F.col("prompt_id").alias("query_id"), "vector"), k)
+        near = near.select(F.col("query_id").alias("prompt_id"), F.col("id").alias("place"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")).alias("similarity"), "rank")
+        return near.join(self.all().drop("vector"), "place")
+
+
 def exemplars(spark, learned: str | None = None) -> DataFrame:
     """The seed exemplars with their vectors, and those in the table at ``learned``."""
     if learned is not None:
