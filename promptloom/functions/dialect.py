@@ -7,6 +7,7 @@ table expressions for the checking database.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -223,11 +224,29 @@ class Check(Dialect):
 
 
 SPARK, CHECK = Dialect(), Check()
+_WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
-def apply(df: DataFrame, steps: Steps) -> DataFrame:
+def layers(steps: Steps) -> list[Steps]:
+    """``steps`` in as few layers as their names allow: a step comes after what it reads was made, and makes a name anew no earlier than others have read the old one."""
+    made: dict[str, int] = {}  # name to the layer of its last step
+    read: dict[str, int] = {}  # name to the last layer that reads it
+    out: list[Steps] = []
     for name, expression in steps:
-        df = df.withColumn(name, F.expr(expression))
+        names = set(_WORD.findall(expression))
+        at = max([0, *(made[n] + 1 for n in names if n in made), read.get(name, 0), made.get(name, -1) + 1])
+        out += [[] for _ in range(at + 1 - len(out))]
+        out[at].append((name, expression))
+        made[name] = at
+        for n in names:
+            read[n] = max(read.get(n, 0), at)
+    return out
+
+
+def apply(df: DataFrame, steps: Steps) -> DataFrame:
+    """Add the steps' columns, a layer at a time: Spark checks a plan anew for every projection that is put on it."""
+    for layer in layers(steps):
+        df = df.withColumns({name: F.expr(expression) for name, expression in layer})
     return df
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,32 +87,51 @@ def _lines(text: str) -> list[str]:
     return [p[:-1] if p.endswith("\r") else p for p in parts]
 
 
+def _rows(a: np.ndarray, b: np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of the table of common lengths of what is left of both, upwards from the row ``last`` below ``a``: equal lines take the diagonal, a running maximum along the row does the rest."""
+    for line in a[::-1]:
+        row = np.empty_like(last)
+        row[-1] = 0
+        row[:-1] = np.where(b == line, last[1:] + 1, last[:-1])
+        last = np.maximum.accumulate(row[::-1])[::-1]
+        yield last
+
+
 def diff_lines(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     """An edit script along a longest common subsequence; of equal choices the deletion comes first.
 
-    Rows of the table are filled from the end with numpy: equal lines take the
-    diagonal, and a running maximum along the row does the rest.
+    What both begin with is cut off; not what they end with, as that would match other lines of those that repeat. Of
+    the table of n by m only every sqrt(n)th row is kept; the rows between two of them are made again on the way down.
     """
-    head = 0
+    head = next((i for i, (x, y) in enumerate(zip(old, new, strict=False)) if x != y), min(len(old), len(new)))
+    out = [("eq", s) for s in old[:head]]
+    old, new = old[head:], new[head:]
     n, m = len(old), len(new)
     ids = {s: i for i, s in enumerate(dict.fromkeys([*old, *new]))}
     a, b = np.array([ids[s] for s in old], np.int32), np.array([ids[s] for s in new], np.int32)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        row = np.where(b == a[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :m] = np.maximum.accumulate(row[::-1])[::-1]
-    out, j = [], 0
-    while head < n and j < m:
-        if a[head] == b[j]:
-            out.append(("eq", old[head]))
-            head, j = head + 1, j + 1
-        elif table[head + 1, j] >= table[head, j + 1]:
-            out.append(("del", old[head]))
-            head += 1
-        else:
-            out.append(("ins", new[j]))
-            j += 1
-    return out + [("del", s) for s in old[head:]] + [("ins", s) for s in new[j:]]
+    step = isqrt(n) + 1
+    kept = {n: np.zeros(m + 1, np.int32)}
+    for i, row in enumerate(_rows(a, b, kept[n])):
+        if (n - 1 - i) % step == 0:
+            kept[n - 1 - i] = row
+    i = j = 0
+    for top in range(0, n, step):
+        end = min(top + step, n)
+        if j == m:
+            break
+        table = [kept[end][j:], *_rows(a[top:end], b[j:], kept.pop(end)[j:])][::-1]  # of the columns from j on
+        left = j
+        while i < end and j < m:
+            if a[i] == b[j]:
+                out.append(("eq", old[i]))
+                i, j = i + 1, j + 1
+            elif table[i + 1 - top][j - left] >= table[i - top][j + 1 - left]:
+                out.append(("del", old[i]))
+                i += 1
+            else:
+                out.append(("ins", new[j]))
+                j += 1
+    return out + [("del", s) for s in old[i:]] + [("ins", s) for s in new[j:]]
 
 
 def markdown(ops: list[tuple[str, str]]) -> str:

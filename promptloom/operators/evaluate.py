@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -14,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions.dialect import SPARK
+from ..sources.tablelog import COMPACT_AT, TableLog
 from .memory import sized
 from .parse import balanced
 from .score import composite
@@ -57,8 +61,6 @@ def json_fields(output: pd.Series) -> pd.Series:
 
 def usable_patterns(patterns: list[str]) -> list[str]:
     """Those that the engine compiles; a check with another pattern fails, not the job."""
-    from pyspark.sql import SparkSession
-
     jvm = SparkSession.getActiveSession().sparkContext._jvm
     good = []
     for p in patterns:
@@ -112,6 +114,67 @@ def call_models(grid: DataFrame, chat: Callable[[str, str], dict]) -> DataFrame:
     return out.drop("prompt")
 
 
+class CallLedger:
+    """What models answered, by the hash of model and prompt: every distinct pair is asked once, in whatever cells, runs and retries it comes.
+
+    Answers are a part of a table per call of ``outputs``, committed when all of it is there. Calls that fail are not
+    kept: they are tried again the next time.
+    """
+
+    SCHEMA = "key string, model string, content string, prompt_tokens long, completion_tokens long, latency_ms double"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.log = TableLog(spark, path, self.SCHEMA)
+
+    def answers(self) -> DataFrame:
+        """All answers, one of each pair, though two runs at a time may both have asked."""
+        parts = [self.log.read_part(p) for p in self.log.last()["parts"]]
+        if not parts:
+            return self.log.spark.createDataFrame([], self.SCHEMA)
+        return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).dropDuplicates(["key"])
+
+    def outputs(self, grid: DataFrame, chat: Callable[[str, str], dict], concurrency: int = 8, attempts: int = 3, wait: float = 0.5) -> DataFrame:
+        """As ``call_models``: the outputs of every row of ``grid`` (prompt_id, idx, model, case_id, prompt), asking for the pairs that are new.
+
+        A worker has ``concurrency`` calls open at a time. A call that raises is tried ``attempts`` times in all, after
+        ``wait`` seconds and twice as long each time. A null model or prompt has no output.
+        """
+        key = F.sha2(F.concat_ws("\0", "model", "prompt"), 256)
+        grid = grid.where("model is not null and prompt is not null").withColumn("key", key)
+        new = grid.select("key", "model", "prompt").dropDuplicates(["key"]).join(self.answers().select("key"), "key", "left_anti")
+        schema = "key string, model string, prompt string, content string, prompt_tokens long, completion_tokens long, latency_ms double"
+
+        def ask(row) -> tuple | None:
+            for i in range(attempts):
+                try:
+                    got = chat(row.model, row.prompt)
+                    return (*row, got.get("content"), got.get("prompt_tokens"), got.get("completion_tokens"), got.get("latency_ms"))
+                except Exception:  # noqa: BLE001  whatever the user's function raises is a failed call
+                    if i + 1 < attempts:
+                        time.sleep(wait * 2**i)
+            return None
+
+        def run(batches):
+            with ThreadPoolExecutor(concurrency) as pool:
+                for pdf in batches:
+                    rows = [r for r in pool.map(ask, pdf[["key", "model", "prompt"]].itertuples(index=False)) if r]
+                    out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                    yield out.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64", "latency_ms": "Float64"})
+
+        got = new.mapInPandas(run, schema)
+        for count, of in (("prompt_tokens", "prompt"), ("completion_tokens", "content")):
+            got = got.withColumn(count, F.coalesce(count, F.expr(est_tokens(of))))
+        folder = self.log.write_part(got.drop("prompt"))
+
+        def change(m: dict) -> dict:
+            return {**m, "parts": [*m["parts"], {"folder": folder}]}
+
+        if len(self.log.commit(change)["parts"]) > COMPACT_AT:
+            self.log.commit(lambda m: {**m, "parts": [{"folder": self.log.write_part(self.answers())}]})
+            self.log.vacuum()
+        return grid.drop("prompt").join(self.answers().drop("model"), "key").drop("key")
+
+
 def grade(grid: DataFrame, checks: DataFrame, patterns: list[str]) -> DataFrame:
     """Grade every cell by its case's checks (case_id, kind, arg, n). A cell without output fails them all. Returns one row per cell."""
     low = "lower(content)"

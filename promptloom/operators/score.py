@@ -27,8 +27,9 @@ class Options:
     issued_at: str = ""
 
 
-def composite(d: Dialect | None = None) -> str:
-    return "(" + " + ".join(f"{n} * {X.num(w)}" for n, w in L.OBJECTIVES) + ")"
+def composite(d: Dialect | None = None, of: str = "") -> str:
+    """The weighted sum of the objectives, of columns or of the fields of the struct ``of``."""
+    return "(" + " + ".join(f"{f'{of}.' if of else ''}{n} * {X.num(w)}" for n, w in L.OBJECTIVES) + ")"
 
 
 def weights() -> dict[str, float]:

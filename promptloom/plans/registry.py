@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import __version__
 from ..functions import lexicon as L
@@ -161,7 +160,7 @@ def optimize_query(spark, sf_dir):
 
 @_query("optimize_candidates")
 def optimize_candidates(spark, sf_dir):
-    return optimize.floored(optimize.candidates(prompt_corpus(spark, sf_dir))).select("prompt_id", "idx", "label", "tokens", "composite", "on_frontier", "accepted")
+    return optimize.listed(optimize.judged(optimize.gathered(prompt_corpus(spark, sf_dir)))).select("prompt_id", "idx", "label", "tokens", "composite", "on_frontier", "accepted")
 
 
 @_query("corpus_validation")
@@ -169,12 +168,11 @@ def corpus_validation(spark, sf_dir):
     """Shares and means over the corpus, as numbers: acceptance, cost and quality wins, the compression lever, regressions, drift, schemas, flags."""
     o = score.Options(token_budget=500, witness_key="validate", issued_at="2024-01-01T00:00:00Z")
     prompts = prompt_corpus(spark, sf_dir).where("text is not null")
-    compressed = F.max(F.when(F.col("idx") == 1, F.col("tokens"))).over(Window.partitionBy("prompt_id"))
-    won = optimize.select_winner(optimize.floored(optimize.candidates(prompts, o)).withColumn("compressed", compressed))
-    won = won.selectExpr("prompt_id", "accepted and idx > 0 as accepted", "if(b.tokens = 0, 0D, 1D - cast(tokens as double) / b.tokens) as reduction",
-                         "1D - cast(compressed as double) / nullif(b.tokens, 0) as lever", "b", f"struct({', '.join(score.NAMES)}) as own", "text as optimized")
+    won = optimize.won(optimize.judged(optimize.gathered(prompts.select("prompt_id", "text"), o)))
+    won = won.selectExpr("text as original", "win.accepted and win.idx > 0 as accepted", "if(b.tokens = 0, 0D, 1D - cast(win.tokens as double) / b.tokens) as reduction", "constraints", "size(constraints) as n_constraints",
+                         "1D - cast(get(filter(cands, x -> x.idx = 1), 0).tokens as double) / nullif(b.tokens, 0) as lever", "b", "win as own", "win.text as optimized")
     kept = " and ".join(f"own.{n} >= b.{n} - 1e-9D" for n in ("accuracy", "safety_margin", "schema_validity"))
-    done = compare.with_drift(prompts.select("prompt_id", F.col("text").alias("original")).join(won, "prompt_id"), "original", "optimized")
+    done = compare.with_drift(won, "original", "optimized")
     flagged = firewall.assess(prompts).agg(F.count_if(F.col("decision") != "allow").alias("flagged"))
     share = lambda c: F.avg(F.expr(c).cast("double"))
     schemas = F.expr("contains(optimized, '{') and contains(optimized, '}')")
@@ -568,16 +566,16 @@ def _guarded_by_memory(d: Dialect):
 
 
 _MEMORY_GUARD = f"""WITH {_MEMORY_SQL}, pr AS (SELECT prompt_id, greatest(0, least(1, max(CASE WHEN label % 2 <> 0 OR label % 3 > 0 THEN sim ELSE 0 END))) AS prior FROM r WHERE rank <= {memory.NEIGHBOURS} GROUP BY prompt_id),
-{ctes("SELECT doc_id AS prompt_id, text, prior FROM documents JOIN pr ON pr.prompt_id = doc_id", _guarded_by_memory(CHECK))}
+{ctes("SELECT doc_id AS prompt_id, text, coalesce(prior, 0) AS prior FROM documents LEFT JOIN pr ON pr.prompt_id = doc_id", _guarded_by_memory(CHECK))}
 SELECT prompt_id, round(prior_failure_similarity, 6) AS prior_failure_similarity, round(risk, 6) AS risk, decision FROM result"""
 
 
 @_query("firewall_memory", _MEMORY_GUARD)
 def firewall_memory(spark, sf_dir):
-    """Decisions on every document that has a vector, with what the memory knows of its neighbours."""
+    """Decisions on every document, with what the memory knows of its neighbours; without a vector it has none."""
     prior = memory.priors(_recalled(spark, sf_dir)).withColumnRenamed("prior_failure_similarity", "prior")
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as prompt_id", "text"))
-    df = firewall.assess(docs.join(prior, "prompt_id"), {"prior_failure_similarity": "prior"})
+    df = firewall.assess(docs.join(prior, "prompt_id", "left").fillna(0.0, ["prior"]), {"prior_failure_similarity": "prior"})
     return df.select("prompt_id", F.round("prior_failure_similarity", 6).alias("prior_failure_similarity"), F.round("risk", 6).alias("risk"), "decision")
 
 
