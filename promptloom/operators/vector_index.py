@@ -289,9 +289,9 @@ class VectorIndex:
 
     def exact(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """The same from all lists and all vectors."""
-        norm = lambda c: F.transform(c, lambda x: x.cast("double") / _size(c))
-        entries = self.rows().select("id", norm("vector").alias("vector"))
-        return _ranked(neighbours.nearest(_queries(queries).select("query_id", norm("vector").alias("vector")), entries, k), k)
+        # the size in an array of one: within the inner function it would be worked out for every component
+        norm = F.transform(F.array(_size("vector")), lambda n: F.transform("vector", lambda x: x.cast("double") / n))[0].alias("vector")
+        return _ranked(neighbours.nearest(_queries(queries).select("query_id", norm), self.rows().select("id", norm), k), k)
 
     def recall(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """Per query: how many of its exact k best ``search`` finds (``found``), of how many, and their share. One as similar as the exact k-th counts."""

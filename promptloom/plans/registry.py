@@ -280,7 +280,7 @@ _UNIT = "aggregate(embedding, 0D, (s, x) -> s + cast(x as double) * x)"
 
 
 def _vectors(spark, sf_dir):
-    return spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).selectExpr("vec_id", "label", f"transform(embedding, x -> cast(x as double) / sqrt({_UNIT})) as vector")
+    return spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).selectExpr("vec_id", "label", f"get(transform(array(sqrt({_UNIT})), n -> transform(embedding, x -> cast(x as double) / n)), 0) as vector")
 
 
 _VECTORS_SQL = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vector FROM embeddings)"
