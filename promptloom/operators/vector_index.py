@@ -24,6 +24,10 @@ from . import neighbours
 
 #: Lists at most, rows that the centroids and codes are fitted to at most, passes over them, dimensions of one code, values of a code, sample rows that measure recall.
 LISTS, SAMPLE, PASSES, CODE_DIMS, CODES, ASKED = 1024, 20_000, 8, 4, 256, 400
+#: Entries that a block of queries meets in one task, on average.
+ENTRIES = 500_000
+#: Pairs of a block of queries and a list that are broadcast at most.
+ASKS = 200_000
 #: Multiples of k that a second look may take in.
 AGAIN = (4, 8, 16, 32, 64, 128)
 SCHEMA = "id long, vector array<float>, code binary, list int"
@@ -144,43 +148,74 @@ def fitted(x: np.ndarray, dim: int) -> np.ndarray:
 
 
 def _probed(model: Model, probes: int):
-    """A row per query and list that it probes."""
+    """The lists that each query probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 score = fitted(unit(neighbours.vectors(part.column(1))), model.dim) @ model.centroids.T
-                lists = np.argpartition(-score, probes - 1, axis=1)[:, :probes].ravel()
-                take = pa.array(np.repeat(np.arange(part.num_rows), probes))
-                yield pa.record_batch([*(part.column(i).take(take) for i in (0, 1)), pa.array(lists.astype(np.int32))], names=["query_id", "vector", "list"])
+                lists = np.argpartition(-score, probes - 1, axis=1)[:, :probes].astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * probes, pa.int32()), pa.array(lists.ravel()))
+                yield pa.record_batch([part.column(0), part.column(1).cast(pa.list_(pa.float32())), column], names=["query_id", "vector", "lists"])
 
     return run
 
 
+class _Best:
+    """The ``n`` best entries so far of each query of a block, by the codes."""
+
+    def __init__(self, parts: list[pa.RecordBatch], model: Model, n: int) -> None:
+        own = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        self.ids, self.q = own.column(0), fitted(unit(neighbours.vectors(own.column(1))), model.dim)
+        lists = own.column(3)
+        self.asks = np.zeros((len(self.q), len(model.centroids)), bool)
+        self.asks[np.repeat(np.arange(len(self.q)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+        self.score = np.full((len(self.q), n), -np.inf)
+        self.found, self.at = np.zeros((len(self.q), n), np.int64), np.zeros((len(self.q), n), np.int32)
+
+    def take(self, ids: np.ndarray, at: int, x: np.ndarray) -> None:
+        """Entries of list ``at``."""
+        rows, n = np.flatnonzero(self.asks[:, at]), self.score.shape[1]
+        for i in range(0, len(rows), 500):
+            some = rows[i : i + 500]
+            score = np.concatenate([self.score[some], self.q[some] @ x.T], 1)
+            top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            new = top >= n
+            mine = np.minimum(top, n - 1)
+            self.found[some] = np.where(new, ids[np.maximum(top - n, 0)], np.take_along_axis(self.found[some], mine, 1))
+            self.at[some] = np.where(new, at, np.take_along_axis(self.at[some], mine, 1))
+            self.score[some] = np.take_along_axis(score, top, 1)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        r, c = np.nonzero(self.score > -np.inf)
+        for i in range(0, len(r), 50_000):
+            a, b = r[i : i + 50_000], c[i : i + 50_000]
+            yield pa.record_batch([self.ids.take(pa.array(a)), pa.array(self.found[a, b]), pa.array(self.at[a, b]), pa.array(self.score[a, b])], names=["query_id", "id", "list", "about"])
+
+
 def _look(model: Model, n: int):
-    """Cells (list, entry block, query block) one after another: the entries' codes are held, the queries pass by; the ``n`` best of each by the codes."""
+    """Cells (query block, entry block) one after another: a block of queries is held, the codes of the lists that they probe pass by, list after list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, ready = None, [], None
         for batch in batches:
-            for key, part in neighbours.runs(batch, 4):
-                if key[:3] != cell:
-                    cell, held, ready = key[:3], [], None
-                if key[3] == 0:
+            for key, part in neighbours.runs(batch, 4):  # qb, eb, side, list
+                if key[:2] != cell:
+                    if ready is not None:
+                        yield from ready.rows()
+                    cell, held, ready = key[:2], [], None
+                if key[2] == 0:
                     held.append(part)
                     continue
-                if not held:
-                    continue
                 if ready is None:
-                    own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    codes = np.frombuffer(b"".join(own.column(2).to_pylist()), np.uint8).reshape(own.num_rows, -1)
-                    ready = own.column(0).to_numpy(), model.decode(key[0], codes)
-                for at in range(0, part.num_rows, 500):
-                    some = part.slice(at, 500)
-                    score = fitted(unit(neighbours.vectors(some.column(1))), model.dim) @ ready[1].T
-                    r, c = neighbours.best(score, n)
-                    yield pa.record_batch([some.column(0).take(pa.array(r)), pa.array(ready[0][c]), pa.array(np.full(len(r), key[0], np.int32)), pa.array(score[r, c])], names=["query_id", "id", "list", "about"])
+                    if not held:
+                        continue
+                    ready = _Best(held, model, n)
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                ready.take(part.column(0).to_numpy(), key[3], model.decode(key[3], codes))
+        if ready is not None:
+            yield from ready.rows()
 
     return run
 
@@ -263,24 +298,29 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 5, probes: int | None = None, again: int | None = None) -> DataFrame:
         """The k entries most similar to each query (query_id, vector): query_id, id, similarity, rank; ties to the smaller id.
 
-        By default as many lists and second looks as the index was measured to need. Lists are dealt in blocks, of
-        entries and of queries, by their sizes, so neither a large list nor a list that all queries probe is one task's.
+        By default as many lists and second looks as the index was measured to need. Queries are dealt in blocks, and
+        entries in larger ones: of the two the codes are sent on, to the blocks of queries that probe their list. So a
+        query moves once for every ENTRIES entries, not for every list, and neither a large list nor one that all
+        queries probe is a single task's.
         """
         model, rows = self.model, self.rows()
         probes, again = min(len(model.centroids), probes or model.probes), max(k, again or model.again)
-        asked = staged(_queries(queries).mapInArrow(_probed(model, probes), "query_id long, vector array<double>, list int"), "probes")
-        # a number per list, of which there are LISTS at most
-        parts = {}
-        for side, df in (("e", rows), ("q", asked)):
-            sizes = {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}
-            parts[side] = F.array(*(F.lit(max(1, -(-sizes.get(i, 0) // neighbours.BLOCK))) for i in range(len(model.centroids))))
-            if side == "q" and len(sizes) < len(model.centroids):
-                rows = rows.where(F.col("list").isin(list(sizes)))  # other lists' folders are not read
-        block = lambda side, name: F.pmod(F.xxhash64(name), parts[side][F.col("list")]).cast("int")
-        every = lambda side: F.explode(F.sequence(F.lit(0), parts[side][F.col("list")] - 1))
-        held = rows.select("list", block("e", "id").alias("eb"), every("q").alias("qb"), F.lit(0).alias("side"), "id", F.lit(None).cast("array<double>").alias("vector"), "code")
-        to = asked.select("list", every("e").alias("eb"), block("q", "query_id").alias("qb"), F.lit(1).alias("side"), F.col("query_id").alias("id"), "vector", F.lit(None).cast("binary").alias("code"))
-        cells = held.unionByName(to).repartition("list", "eb", "qb").sortWithinPartitions("list", "eb", "qb", "side", "id")
+        asked = staged(_queries(queries).mapInArrow(_probed(model, probes), "query_id long, vector array<float>, lists array<int>"), "probes")
+        # the distinct lists, LISTS at most
+        used = [r["list"] for r in asked.select(F.explode("lists").alias("list")).distinct().collect()]
+        if len(used) < len(model.centroids):
+            rows = rows.where(F.col("list").isin(used))  # other lists' folders are not read
+        q, e = (max(1, -(-df.count() // size)) for df, size in ((asked, neighbours.BLOCK), (rows.select("id"), ENTRIES)))
+        block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        no = {"vector": "array<float>", "code": "binary", "lists": "array<int>"}
+        none = {c: F.lit(None).cast(t).alias(c) for c, t in no.items()}
+        to = asked.select(block("query_id", q).alias("qb"), every(e).alias("eb"), F.lit(0).alias("side"), F.lit(-1).alias("list"), F.col("query_id").alias("id"), "vector", none["code"], "lists")
+        # of a block's entries only those of the lists that its queries probe
+        asks = asked.select(block("query_id", q).alias("qb"), F.explode("lists").alias("list")).distinct()
+        asks = F.broadcast(asks) if q * len(used) <= ASKS else asks
+        held = rows.select("list", "id", "code").join(asks, "list").select("qb", block("id", e).alias("eb"), F.lit(1).alias("side"), "list", "id", none["vector"], "code", none["lists"])
+        cells = to.unionByName(held).repartition("qb", "eb").sortWithinPartitions("qb", "eb", "side", "list", "id")
         rough = cells.mapInArrow(_look(model, again), "query_id long, id long, list int, about double")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "id"))
         chosen = rough.withColumn("r", place).where(F.col("r") <= again).drop("r", "about")
