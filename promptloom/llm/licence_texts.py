@@ -1,6 +1,7 @@
 """Public licence notices and texts that scans compare with. All are fixed values, as their publishers word them.
 
-NOTICES are what headers say, TEXTS whole licences, OPENINGS how the longer
+NOTICES are what headers say, LINES the identifier lines of source files, which
+have to be there word for word, TEXTS whole licences, OPENINGS how the longer
 licences begin: their titles and first paragraphs.
 """
 
@@ -20,7 +21,7 @@ NOTICES = {
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License."],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
@@ -29,12 +30,18 @@ NOTICES = {
     "ISC": ["Released under the ISC License."],
     "LGPL-2.1": [_GNU_2.format(what="library", name="Lesser General Public License", v="2.1")],
     "LGPL-3.0": [_GNU.format(name="Lesser General Public License", v="3")],
-    "MIT": ["Released under the MIT License."],
+    "MIT": [
+        "Released under the MIT License.", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+        "Licensed under the MIT License. See License.txt in the project root for license information.",
+    ],
     "MPL-2.0": [
         "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
 }
+#: Besides a licence's own identifier: those of the versions that may be chosen.
+_GNU_FORMS = ("", "-only", "-or-later")
+LINES = {name: [f"SPDX-License-Identifier: {name}{form}" for form in (_GNU_FORMS if "GPL" in name else ("",))] for name in NOTICES}
 TEXTS = {
     "BSD-2-Clause": ["\n".join((_BSD_HEAD, _BSD_TAIL))],
     "BSD-3-Clause": ["\n".join((_BSD_HEAD, _BSD_NAMES, _BSD_TAIL))],

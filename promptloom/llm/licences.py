@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .licence_texts import NOTICES, OPENINGS, TEXTS
+from .licence_texts import LINES, NOTICES, OPENINGS, TEXTS
 
 #: Words are hashed to 2**18 features; their document frequencies are counted over all documents.
 FEATURE_BITS = 18
-#: Least cosine of a window; share of a text's words that a whole licence must fill for a licence file;
+#: Least cosine of a window, and of an identifier line, whose two words must both be there; share of a text's words that a whole licence must fill for a licence file;
 #: before which word a licence's opening must begin for that.
-LEAST, FILLED, AT_START = 0.7, 0.5, 50
+LEAST, LEAST_LINE, FILLED, AT_START = 0.7, 0.999, 0.5, 50
 _WORD = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _FILE_NAME = re.compile(r"(?i)^(?:un)?(?:licen[cs]e|copying)(?:[-._].*)?$")
 
@@ -49,7 +49,7 @@ class Matcher:
     def __init__(self, df: np.ndarray, n: int) -> None:
         self.idf = np.log((1 + n) / (1 + df)) + 1
         known = _Features()
-        kinds = [(name, kind, t) for kind, of in (("notice", NOTICES), ("text", TEXTS), ("opening", OPENINGS)) for name, texts in of.items() for t in texts]
+        kinds = [(name, kind, t) for kind, of in (("line", LINES), ("notice", NOTICES), ("text", TEXTS), ("opening", OPENINGS)) for name, texts in of.items() for t in texts]
         self.names, self.kinds, texts = zip(*sorted(kinds), strict=True)
         ids = [features(t.encode(), known) for t in texts]
         self.lengths = [len(i) for i in ids]
@@ -63,7 +63,7 @@ class Matcher:
         self.squares = self.units**2
 
     def windows(self, ids: np.ndarray) -> list[tuple[int, float, int]]:
-        """(template, cosine, first word) of the best window of each template that has one of cosine ``LEAST`` or more."""
+        """(template, cosine, first word) of the best window of each template that has one of cosine ``LEAST`` (``LEAST_LINE``) or more."""
         if not len(ids):
             return []
         at = self.place[ids]
@@ -89,7 +89,7 @@ class Matcher:
                 cosine = float(dot[i] / np.sqrt(((counts * self.idf[part]) ** 2).sum()))
                 if cosine > best + 1e-9 or (cosine > best - 1e-9 and i < where):
                     best, where = max(best, cosine), int(i)
-            if best >= LEAST - 1e-9:
+            if best >= (LEAST_LINE if self.kinds[t] == "line" else LEAST) - 1e-9:
                 found.append((int(t), best, where))
         return found
 
@@ -101,7 +101,7 @@ class Matcher:
             if own[1] is None or cosine > own[1] + 1e-9:
                 own = (self.names[t], cosine)
             kind = self.kinds[t]
-            if kind != "notice" and (named or (kind == "text" and self.lengths[t] >= FILLED * len(ids)) or (kind == "opening" and at < AT_START)):
+            if kind not in ("notice", "line") and (named or (kind == "text" and self.lengths[t] >= FILLED * len(ids)) or (kind == "opening" and at < AT_START)):
                 if whole[1] is None or cosine > whole[1] + 1e-9:
                     whole = (self.names[t], cosine)
         return (*own, *whole)
@@ -178,6 +178,16 @@ def scan(docs: DataFrame, path: Column) -> DataFrame:
     return out.select("doc_id", "path", licence.alias("licence"), basis.alias("basis"), F.round("cosine", 6).alias("cosine"), F.when(basis == "inherited", F.col("from_dir")).alias("from_dir"))
 
 
+def url_path(url: Column) -> Column:
+    """Host and path of a URL, without scheme, query and fragment: its directories."""
+    return F.regexp_replace(F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "[?#].*$", "")
+
+
+def scan_pages(pages: DataFrame) -> DataFrame:
+    """The scan of web pages (page_id, url, html) in the directories of their URLs."""
+    return scan(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), "url"), url_path(F.col("url")))
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table has no paths: a document lies in source/language/thousands of its id."""
     docs = common.table(spark, sf_dir, "documents")

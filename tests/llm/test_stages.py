@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from promptloom.llm import knn
+from promptloom.llm import knn, licences
 
 INNER = [
     "_gone", "_key", "_id", "_text", "_gone_id", "_gone_sha", "_sha", "_twice", "row", "rid", "sig", "top_rid", "stays", "n", "_s", "_h", "_row", "_t", "_b", "_n", "_r", "_o", "_c0",
@@ -55,3 +55,19 @@ def test_knn_of_large_numbers(spark, large):
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = knn.top_k(data, data.where("vec_id % 50 = 0"))
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute(rows, [i for i, _ in rows if i % 50 == 0])
+
+
+def test_licence_lines_and_directories(spark):
+    """Identifier lines, notices that point to a file, and inheritance along the directories of URLs."""
+    mit = "\n".join(licences.TEXTS["MIT"])
+    code = "\nint main(void) { return 0; } " * 20
+    rows = [
+        (1, "https://a.org/x/LICENSE?v=1", mit), (2, "https://a.org/x/y/z.c#top", code), (3, "https://a.org/w.c", code), (4, "https://a.org/x/q.c", "// SPDX-License-Identifier: Apache-2.0" + code),
+        (5, "https://a.org/x/r.c", "# SPDX-License-Identifier: GPL-2.0-or-later" + code), (6, "https://b.org/s.go", "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file." + code),
+        (7, "https://b.org/t.c", "// SPDX-License-Identifier: Unheard-Of-1.0" + code), (8, None, code),
+    ]
+    got = {r["doc_id"]: (r["licence"], r["basis"], r["from_dir"]) for r in licences.scan_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {
+        1: ("MIT", "file", None), 2: ("MIT", "inherited", "a.org/x"), 3: (None, "none", None), 4: ("Apache-2.0", "header", None),
+        5: ("GPL-2.0", "header", None), 6: ("BSD-3-Clause", "header", None), 7: (None, "none", None), 8: (None, "none", None),
+    }
