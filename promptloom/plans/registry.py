@@ -11,7 +11,7 @@ from .. import __version__
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions.dialect import CHECK, SPARK, Dialect, apply, ctes, query
-from ..operators import compare, evaluate, firewall, lint, memory, optimize, parse, receipt, rewrite, score
+from ..operators import compare, evaluate, firewall, lint, memory, optimize, parse, receipt, report, rewrite, score
 from ..sources import library
 from .corpus import TEMPLATES, corpus_sql, prompt_corpus, spread
 
@@ -166,24 +166,7 @@ def optimize_candidates(spark, sf_dir):
 @_query("corpus_validation")
 def corpus_validation(spark, sf_dir):
     """Shares and means over the corpus, as numbers: acceptance, cost and quality wins, the compression lever, regressions, drift, schemas, flags."""
-    o = score.Options(token_budget=500, witness_key="validate", issued_at="2024-01-01T00:00:00Z")
-    prompts = prompt_corpus(spark, sf_dir).where("text is not null")
-    won = optimize.won(optimize.judged(optimize.gathered(prompts.select("prompt_id", "text"), o)))
-    won = won.selectExpr("text as original", "win.accepted and win.idx > 0 as accepted", "if(b.tokens = 0, 0D, 1D - cast(win.tokens as double) / b.tokens) as reduction", "constraints", "size(constraints) as n_constraints",
-                         "1D - cast(get(filter(cands, x -> x.idx = 1), 0).tokens as double) / nullif(b.tokens, 0) as lever", "b", "win as own", "win.text as optimized")
-    kept = " and ".join(f"own.{n} >= b.{n} - 1e-9D" for n in ("accuracy", "safety_margin", "schema_validity"))
-    done = compare.with_drift(won, "original", "optimized")
-    flagged = firewall.assess(prompts).agg(F.count_if(F.col("decision") != "allow").alias("flagged"))
-    share = lambda c: F.avg(F.expr(c).cast("double"))
-    schemas = F.expr("contains(optimized, '{') and contains(optimized, '}')")
-    report = done.agg(
-        F.count("*").alias("prompts"), F.count_if("accepted").alias("accepted"), F.expr("count_if(accepted and reduction > 0.01)").alias("cost_wins"),
-        F.avg(F.expr("if(accepted and reduction > 0.01, reduction, null)")).alias("mean_cost_win"), F.expr("count_if(accepted and reduction <= 0.01)").alias("quality_wins"),
-        share(kept).alias("no_regression"), share("within_tolerance").alias("within_tolerance"), F.count_if(schemas).alias("schemas"),
-        F.count_if(schemas & F.expr("own.schema_validity >= 0.99")).alias("valid_schemas"), F.avg("lever").alias("mean_lever"),
-        F.avg(F.expr("if(lever > 0.01, lever, null)")).alias("mean_lever_of_compressible"), F.expr("count_if(lever > 0.01)").alias("compressible"),
-    )
-    return report.crossJoin(flagged)  # two tables of one row
+    return report.report(report.state(prompt_corpus(spark, sf_dir)))
 
 
 @_query("line_diff")

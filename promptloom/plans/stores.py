@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.dialect import CHECK, SPARK, apply, ctes
 from ..operators import memory, score
 from ..operators.vector_index import VectorIndex
+from ..sources import library
 from ..sources.shared import new_path
 from ..sources.tablelog import SavedPrompts
 from .registry import _VECTORS_SQL, CORPUS, _query, _scored, _vectors, _with_schema_score
@@ -100,3 +102,17 @@ def pareto_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which prompts of the corpus no other prompt of the same task beats."""
     scored = apply(_with_schema_score(spark, sf_dir), _scored(SPARK))
     return score.pareto(scored.select("prompt_id", "task_type", *score.NAMES), "task_type").select("prompt_id", "task_type", "on_frontier")
+
+
+# ---- titles in a reader's order: letters first, small ones before capital ones where nothing else differs
+
+_TITLE = "CASE o_orderkey % 3 WHEN 0 THEN lower(o_orderpriority) WHEN 1 THEN upper(o_orderpriority) ELSE o_orderpriority END"
+_CASES = "translate(title, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')"
+
+
+@_query("templates_by_title", f"SELECT title, n, CAST(row_number() OVER (ORDER BY lower(title), {_CASES}) AS INTEGER) AS place FROM (SELECT split_part({_TITLE}, '-', 2) AS title, count(*) AS n FROM orders GROUP BY ALL) WHERE title <> ''")
+def templates_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities in mixed case as titles: the distinct ones, which are few, with their places."""
+    title = F.split_part(F.expr(_TITLE.lower()), F.lit("-"), F.lit(2))
+    counts = spark.read.parquet(f"{sf_dir}/orders.parquet").select(title.alias("title")).where("title <> ''").groupBy("title").agg(F.count("*").alias("n"))
+    return counts.select("title", "n", F.row_number().over(Window.orderBy(library.locale())).alias("place"))

@@ -51,7 +51,21 @@ def verdicts(templates_: DataFrame) -> DataFrame:
     df = templates_.withColumn("team", team(F.col("name"))).where("team <> 'framework'")
     df = firewall.assess(df.withColumnRenamed("body", "text")).withColumn("title", title(F.col("name")))
     as_wanted = (F.col("decision") != "allow") == (F.col("team") == "red")
-    return df.select("name", "title", "team", "decision", as_wanted.alias("as_wanted")).orderBy("title", "name")
+    return by_title(df.select("name", "title", "team", "decision", as_wanted.alias("as_wanted")), "name")
+
+
+#: The order of titles for a reader: letters before case and accents, as the root collation has it.
+LOCALE = "UNICODE"
+
+
+def locale(name: str = "title") -> Column:
+    """A column of text that sorts as a reader expects."""
+    return F.collate(F.col(name), LOCALE)
+
+
+def by_title(df: DataFrame, *then: str) -> DataFrame:
+    """Templates in the order of their titles."""
+    return df.orderBy(locale(), *then)
 
 
 def model_catalogue(df: DataFrame) -> DataFrame:

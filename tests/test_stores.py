@@ -176,3 +176,10 @@ def test_front_matter_by_parts_repeats(spark):
     df = spark.createDataFrame([("---\ntags: a\nx: 1\ntags: b\n---\nBody",)], "raw string")
     r = library.front_matter_by_parts(df).first()
     assert r["meta"] == {"tags": "b", "x": "1"} and r["body"] == "Body"
+
+
+def test_titles_in_a_readers_order(spark):
+    titles = ["b", "A", "a", "É", "Z", "e", "ab", "Ä", None]
+    df = spark.createDataFrame([(t,) for t in titles], "title string")
+    got = [r["title"] for r in library.by_title(df).collect()]
+    assert got == [None, "a", "A", "Ä", "ab", "b", "e", "É", "Z"] != sorted(t for t in titles if t)
