@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dialect import CHECK, SPARK, apply, ctes
-from ..operators import memory, score
+from ..operators import compare, memory, score
 from ..operators.vector_index import VectorIndex
 from ..sources import library
 from ..sources.shared import new_path
 from ..sources.tablelog import SavedPrompts
+from .corpus import prompt_corpus
 from .registry import _VECTORS_SQL, CORPUS, _query, _scored, _vectors, _with_schema_score
 
 #: Parts in which the tables arrive, and neighbours that are asked for.
@@ -116,3 +117,17 @@ def templates_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.split_part(F.expr(_TITLE.lower()), F.lit("-"), F.lit(2))
     counts = spark.read.parquet(f"{sf_dir}/orders.parquet").select(title.alias("title")).where("title <> ''").groupBy("title").agg(F.count("*").alias("n"))
     return counts.select("title", "n", F.row_number().over(Window.orderBy(library.locale())).alias("place"))
+
+
+# ---- a script of edits played both ways gives both texts
+
+_EDITED = "replace(replace(text, 'must', 'may'), '. ', '.\n')"
+_LINES = "array_to_string(list_transform(list_filter(string_split({0}, chr(10)), lambda x, i: i < len(string_split({0}, chr(10))) OR x <> ''), lambda x: regexp_replace(x, '\\r$', '')), chr(10))"
+
+
+@_query("diff_replay", f"SELECT prompt_id, {_LINES.format('text')} AS old_text, {_LINES.format('other')} AS new_text FROM (SELECT prompt_id, text, replace(replace(text, 'must', 'may'), '. ', '.' || chr(10)) AS other FROM ({CORPUS}))")
+def diff_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt and an edited one from the lines of their difference: those that aren't inserted, and those that aren't deleted."""
+    df = prompt_corpus(spark, sf_dir).withColumn("d", compare.line_diff("text", F.expr(_EDITED)))
+    side = lambda gone, name: F.expr(f"array_join(transform(filter(d.ops, x -> x.op <> '{gone}'), x -> x.text), '\n')").alias(name)
+    return df.select("prompt_id", side("ins", "old_text"), side("del", "new_text"))
