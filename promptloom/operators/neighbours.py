@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from ..sources.shared import staged
 
-#: Rows of a block of either side, on average (2 KB each at 256 dimensions), and queries that are compared with a block at a time.
-BLOCK, STEP = 4096, 1000
+#: Rows of a block of queries, on average (2 KB each at 256 dimensions), how many times as many entries pass by it in one task, and rows that are compared at a time.
+BLOCK, PASSING, STEP = 4096, 64, 1000
 FOUND = "query_id long, id long, similarity double"
 
 
@@ -53,13 +53,13 @@ def _found(asked: pa.RecordBatch, names: np.ndarray, x: np.ndarray, k: int) -> I
 
 
 def cells(queries: DataFrame, entries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Both sides (query_id or id, vector) in a grid: (eb, qb, side, id, vector). Every query meets every entry in one cell, and a cell has about ``block`` rows of each side."""
-    e, q = (max(1, -(-df.count() // block)) for df in (entries, queries))
+    """Both sides (query_id or id, vector) in a grid: (eb, qb, side, id, vector). Every query meets every entry in one cell; a cell has about ``block`` queries and PASSING times as many entries at most."""
+    e, q = (max(1, -(-df.count() // n)) for df, n in ((entries, block * PASSING), (queries, block)))
     of = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = entries.select(of("id", e).alias("eb"), every(q).alias("qb"), F.lit(0).alias("side"), "id", "vector")
-    asked = queries.select(every(e).alias("eb"), of("query_id", q).alias("qb"), F.lit(1).alias("side"), F.col("query_id").alias("id"), "vector")
-    return held.unionByName(asked)
+    asked = queries.select(every(e).alias("eb"), of("query_id", q).alias("qb"), F.lit(0).alias("side"), F.col("query_id").alias("id"), "vector")
+    held = entries.select(of("id", e).alias("eb"), every(q).alias("qb"), F.lit(1).alias("side"), "id", "vector")
+    return asked.unionByName(held)
 
 
 def runs(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -72,22 +72,45 @@ def runs(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, pa.RecordBat
             yield tuple(values[a].tolist()), rest.slice(a, b - a)
 
 
+class _Block:
+    """A block of queries and the k best entries of each so far. Entries come in the order of their ids, so of equal ones those that are there stay."""
+
+    def __init__(self, parts: list[pa.RecordBatch], k: int) -> None:
+        own = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        self.names, self.q, self.k = own.column(0), vectors(own.column(1)), k
+        self.score, self.ids = np.full((len(self.q), k), -np.inf), np.zeros((len(self.q), k), np.int64)
+
+    def take(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for at in range(0, len(ids), STEP):
+            score = np.concatenate([self.score, similarities(self.q, x[at : at + STEP])], 1)
+            every = np.concatenate([self.ids, np.broadcast_to(ids[at : at + STEP], (len(self.q), len(ids[at : at + STEP])))], 1)
+            _, c = best(score, self.k)
+            c = c.reshape(len(self.q), self.k)
+            self.score, self.ids = np.take_along_axis(score, c, 1), np.take_along_axis(every, c, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        r, c = np.nonzero(self.score > -np.inf)
+        return pa.record_batch([self.names.take(pa.array(r)), pa.array(self.ids[r, c]), pa.array(self.score[r, c])], names=["query_id", "id", "similarity"])
+
+
 def _solve(k: int):
-    """Cells one after another: the entries are held, ordered once; the queries pass by."""
+    """Cells one after another: a block of queries is held, the entries pass by; what is given is k rows of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, ready = None, [], None
         for batch in batches:
             for key, part in runs(batch, 3):
                 if key[:2] != cell:
+                    if ready is not None:
+                        yield ready.rows()
                     cell, held, ready = key[:2], [], None
                 if key[2] == 0:
                     held.append(part)
                 elif held:
-                    if ready is None:
-                        own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                        ready = own.column(0).to_numpy(), vectors(own.column(1))
-                    yield from _found(part, *ready, k)
+                    ready = ready or _Block(held, k)
+                    ready.take(part.column(0).to_numpy(), vectors(part.column(1)))
+        if ready is not None:
+            yield ready.rows()
 
     return run
 
@@ -105,7 +128,7 @@ def nearest(queries: DataFrame, entries: DataFrame, k: int, block: int = BLOCK)
     id; null vectors take no part; ids of either side must be unique. Entries
     of one block are sent to all queries. Of more entries, both sides are
     written once and dealt to a grid of blocks, and what the cells found is
-    merged: no task holds more than a block of entries, nor gets all queries.
+    merged: no task holds more than a block of queries, nor sees more than PASSING blocks of entries.
     """
     side = lambda df, name: df.where("vector is not null").select(F.col(name).cast("long").alias(name), F.col("vector").cast("array<double>").alias("vector"))
     queries, entries = side(queries, "query_id"), side(entries, "id")

@@ -24,19 +24,23 @@ def exact(q, x, k):
     return {(i, j) for i in range(len(q)) for j in sorted(range(len(x)), key=lambda j: (-round(s[i, j], 12), j))[:k]}
 
 
-def test_grid_bounds_rows_per_task(spark):
-    """No cell holds much more than a block of either side, and every pair meets once."""
+def test_grid_bounds_rows_per_task(spark, monkeypatch):
+    """No cell holds much more than a block of queries, nor sees much more than PASSING blocks of entries, and every pair meets once."""
+    monkeypatch.setattr(neighbours, "PASSING", 3)
     rng = np.random.default_rng(1)
     q, x = frame(spark, units(rng, 900), "query_id"), frame(spark, units(rng, 1500))
     cells = neighbours.cells(q, x, 100).groupBy("eb", "qb", "side").count()
-    assert cells.agg(F.max("count")).first()[0] <= 200
-    assert cells.select("eb", "qb").distinct().count() == 9 * 15
+    assert cells.where("side = 0").agg(F.max("count")).first()[0] <= 200
+    assert cells.where("side = 1").agg(F.max("count")).first()[0] <= 450
+    assert cells.select("eb", "qb").distinct().count() == 9 * 5
     met = cells.groupBy("eb", "qb").agg(F.expr("sum(if(side = 0, count, 0)) * sum(if(side = 1, count, 0))").alias("pairs"))
     assert met.agg(F.sum("pairs")).first()[0] == 900 * 1500
 
 
 @pytest.mark.parametrize("block", [40, 4096])
-def test_nearest_of_two_large_sides(spark, block):
+def test_nearest_of_two_large_sides(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "PASSING", 3)
+    monkeypatch.setattr(neighbours, "STEP", 30)
     rng = np.random.default_rng(2)
     x, q = units(rng, 300, 8), units(rng, 170, 8)
     x[17] = x[5]
