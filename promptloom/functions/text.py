@@ -53,8 +53,10 @@ def first(d: Dialect, s: str, groups, default: str) -> str:
 
 def word_list(d: Dialect, s: str) -> str:
     """White-space separated words."""
-    if d.name == "spark":  # splitting at a single character needs no pattern
-        return f"array_remove(split(translate({s}, {_WS_CHARS}, '{' ' * _WS_COUNT}'), ' ', -1), '')"
+    if d.name == "spark":  # splitting at a single character needs no pattern, and plain replacements are faster than translate
+        rare = f"(octet_length({s}) <> length({s}) and {s} rlike '[\\\\x85\\\\xA0\\\\x{{1680}}\\\\x{{2000}}-\\\\x{{200A}}\\\\x{{2028}}\\\\x{{2029}}\\\\x{{202F}}\\\\x{{205F}}\\\\x{{3000}}]' or {s} rlike '[\\\\x0B-\\\\r]')"
+        plain = f"if({rare}, translate({s}, {_WS_CHARS}, '{' ' * _WS_COUNT}'), replace(replace({s}, '\\n', ' '), '\\t', ' '))"
+        return f"array_remove(split({plain}, ' ', -1), '')"
     return d.extract_all(s, f"[^{WS}]+")
 
 
@@ -72,18 +74,52 @@ def lines(d: Dialect, s: str) -> str:
     return f"if(contains({s}, '\\r'), {bare}, {kept})" if d.name == "spark" else bare
 
 
-def tokens(d: Dialect, s: str) -> str:
-    """Estimated sub-word tokens: runs of white space (single ones are free), letters, digits, marks, and other characters one by one."""
-    runs = d.extract_all(s, r"[\t-\r ]{2,}|[A-Za-z][A-Za-z']*|[0-9]+|[^\x00-\x7F]|[^\t-\r A-Za-z0-9\x80-\x{10FFFF}]+")
-    parts = d.split("x", "\n")
+_BLANK, _LETTER = r"[\t-\r ]", "[A-Za-z']"
+_SIGN = r"[^\t-\r A-Za-z0-9\x80-\x{10FFFF}]"
+
+
+def _blank_cost(d: Dialect, x: str) -> str:
+    """Tokens of a run of two or more white-space characters."""
+    parts = d.split(x, "\n")
     rest = f"(length({d.at(parts, f'({d.size(parts)} - 1)')}) % 4)"
-    blank = f"greatest(1, {d.size(parts)} - 1 + {d.sum(d.map(parts, 'y', 'cast(floor(length(y) / 4) as bigint)'))} + case when {rest} > 0 then 1 else 0 end)"
+    return f"greatest(1, {d.size(parts)} - 1 + {d.sum(d.map(parts, 'y', 'cast(floor(length(y) / 4) as bigint)'))} + case when {rest} > 0 then 1 else 0 end)"
+
+
+def _tokens_by_run(d: Dialect, s: str) -> str:
+    """The sum over a list of all runs."""
+    runs = d.extract_all(s, rf"{_BLANK}{{2,}}|[A-Za-z]{_LETTER}*|[0-9]+|[^\x00-\x7F]|{_SIGN}+")
     n = "length(x)"
     cost = f"""case when ascii(x) between 97 and 122 or ascii(x) between 65 and 90 then case when {n} <= 7 then 1 when {n} <= 12 then 2 when {n} <= 16 then 3 else 3 + floor(({n} - 13) / 4) end
-        when ascii(x) in (9, 10, 11, 12, 13, 32) then {blank}
+        when ascii(x) in (9, 10, 11, 12, 13, 32) then {_blank_cost(d, "x")}
         when ascii(x) between 48 and 57 then floor(({n} + 2) / 3)
         when ascii(x) >= 128 then 1 else floor(({n} + 1) / 2) end"""
-    total = d.sum(d.map(runs, "x", f"cast({cost} as bigint)"))
+    return d.sum(d.map(runs, "x", f"cast({cost} as bigint)"))
+
+
+def _tokens_by_pieces(d: Dialect, s: str) -> str:
+    """The same without a list: one character is left of every token, and these are counted.
+
+    A token is up to 3 digits, up to 2 signs, a character beyond ASCII, or a piece of a word: its first 7 letters, the next
+    5, and 4 at a time from there on. The first 36 letters are matched at once (a group per piece after the first); where a
+    match ends within a word that began 36 or more letters before, the next one takes 4 more. Runs of white space have
+    a price of their own and are listed only where there are any.
+    """
+    more = ""
+    for size in (4, 4, 4, 4, 4, 4, 5):  # the innermost piece first
+        more = f"(?:({_LETTER}){_LETTER}{{0,{size - 1}}}+{more})?+"
+    rest = rf"\G(?<={_LETTER})(?={_LETTER})(?<=[A-Za-z]{_LETTER}{{35,70}}){_LETTER}{{1,4}}+"
+    piece = rf"{rest}|{_BLANK}*+(?:[A-Za-z]{_LETTER}{{0,6}}+{more}|[0-9]{{1,3}}+|[^\x00-\x7F]|{_SIGN}{{1,2}}+)"
+    ended = f"trim(TRAILING ' \\t\\n\\u000B\\u000C\\r' FROM {s})"
+    left = d.replace_all(ended, piece, "x" + "".join(f"${i}" for i in range(1, 8)))
+    blanks = d.sum(d.map(d.extract_all(s, rf"{_BLANK}{{2,}}"), "x", f"cast({_blank_cost(d, 'x')} as bigint)"))
+    return f"(cast(length({left}) as bigint) + if({d.matches(s, rf'{_BLANK}{{2}}')}, {blanks}, 0L))"
+
+
+def tokens(d: Dialect, s: str) -> str:
+    """Estimated sub-word tokens: runs of white space (single ones are free), letters, digits, marks, and other characters one by one."""
+    total = _tokens_by_run(d, s)
+    if d.name == "spark":  # the step within long words looks back for a letter and would miss it behind so many quotes
+        total = f"if({d.contains(s, chr(39) * 30)}, {total}, {_tokens_by_pieces(d, s)})"
     return f"case when {s} is null then null when {s} = '' then cast(0 as bigint) else greatest({total}, cast(1 as bigint)) end"
 
 

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions.dialect import SPARK
 from ..sources.tablelog import COMPACT_AT, TableLog
+from . import parse
 from .memory import sized
-from .parse import balanced
 from .score import composite
 
 #: Milliseconds at which latency counts half. Fixed value.
@@ -41,22 +39,9 @@ def est_tokens(text: str) -> str:
     return f"case when {n} = 0 then cast(0 as bigint) else greatest(cast(1 as bigint), cast(floor({n} / 4 + 0.5D) as bigint)) end"
 
 
-def _first_object(text: str | None):
-    at = (text or "").find("{")
-    end = balanced(text, at) if at >= 0 else None
-    if end is None:
-        return None
-    try:
-        return json.loads(text[at:end], parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
-    except (ValueError, RecursionError):
-        return None
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def json_fields(output: pd.Series) -> pd.Series:
+def json_fields(output: str) -> Column:
     """Keys of the first balanced object; null if there is none or it doesn't parse."""
-    found = [_first_object(t) for t in output]
-    return pd.Series([None if x is None else list(x) for x in found])
+    return F.expr(parse.keys(parse.first_block(output)))
 
 
 def usable_patterns(patterns: list[str]) -> list[str]:

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import lexicon as L
 from ..functions import text as X
@@ -20,13 +15,13 @@ def basics(d: Dialect) -> Steps:
 
 def intent(d: Dialect) -> Steps:
     hits = [f"({' + '.join(f'case when {d.contains("lc", w)} then 1 else 0 end' for w in words)})" for _, words in L.TASKS]
-    top = f"greatest({', '.join(hits)})"
-    task = " ".join(f"when {h} = hits then {d.lit(name)}" for h, (name, _) in zip(hits, L.TASKS, strict=True))
+    names, position = d.array(*(d.lit(name) for name, _ in L.TASKS)), "array_position" if d.name == "spark" else "list_position"
     confidence = f"case when hits = 0 then {X.num(0.4)} when hits = 1 then {X.num(0.7)} else {X.num(0.85)} end"
     confidence = f"({confidence} + case when output_type <> 'unknown' then {X.num(0.1)} else {X.num(0)} end + case when audience <> 'general' then {X.num(0.05)} else {X.num(0)} end)"
     return [
-        ("hits", top),
-        ("task_type", f"case when hits = 0 then 'generate' {task} end"),
+        ("_hits", d.array(*hits)),
+        ("hits", f"{'array_max' if d.name == 'spark' else 'list_max'}(_hits)"),
+        ("task_type", f"case when hits = 0 then 'generate' else {d.at(names, f'({position}(_hits, hits) - 1)')} end"),
         ("output_type", X.first(d, "lc", L.OUTPUTS, "'unknown'")),
         ("audience", X.first(d, "lc", L.AUDIENCES, "'general'")),
         ("confidence", X.clamp(confidence)),
@@ -108,88 +103,82 @@ def sections(d: Dialect) -> Steps:
     ]
 
 
-# ---- schema: the one part that needs a scan with state, in Arrow batches
+# ---- schema
 
 TYPE_WORDS = ("string", "number", "boolean", "integer", "float", "any", "object")
-_BARE = [re.compile(f": {t}(?=[,}} \n])") for t in TYPE_WORDS]
-
-
-def largest_block(text: str) -> str | None:
-    best, at = None, text.find("{")
-    while at >= 0:
-        end = balanced(text, at)
-        if end is None:
-            at = text.find("{", at + 1)
-            continue
-        if best is None or len(text[at:end].encode()) > len(best.encode()):
-            best = text[at:end]
-        at = text.find("{", end)
-    return best
-
-
-def balanced(text: str, start: int) -> int | None:
-    """The end of the balanced {...} that opens at ``start``; within quotes braces don't count and a backslash escapes."""
-    depth, quoted, skip = 0, False, False
-    for m in re.compile(r'[\\"{}]').finditer(text, start):
-        c, at = m.group(), m.start()
-        if skip is not False and at == skip:
-            skip = False
-            continue
-        skip = False
-        if quoted:
-            if c == "\\":
-                skip = at + 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return at + 1
-    return None
 
 
-def without_placeholders(block: str) -> str:
-    out, at = [], 0
-    for m in re.finditer(r'"(?:[^"\\]|\\.)*(?:"|$)|<[^>]*>|\.\.\.', block, re.S):
-        out += [block[at : m.start()], m.group() if m.group()[0] == '"' else "null"]
-        at = m.end()
-    s = "".join([*out, block[at:]])
-    for bare in _BARE:
-        s = bare.sub(": null", s)
-    return s
+def _fields(**values: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")"
+
+
+def first_block(text: str) -> str:
+    """The balanced {...} that begins at the first brace of a text; null if that brace never closes."""
+    return _block(text, "a.n = 0", "1")
+
+
+def largest_block(text: str) -> str:
+    """The largest balanced {...} of a text, in bytes; of equal ones the first; null if there is none. A brace that never closes is passed over."""
+    return _block(text, "x.n + a.p - a.s > a.n", "size(ps)")
 
 
-def _no_constant(name: str):
-    raise ValueError(name)
+def _block(text: str, better: str, tries: str) -> str:
+    """Of the balanced blocks the last that was ``better`` than the one before. ``tries``: so many braces that don't close are passed over.
+
+    Within quotes braces don't count and a backslash escapes. The text from the
+    first opening to the last closing brace is cut after every quote, brace and backslash, and the pieces are folded with what is
+    open; all blocks up to the first brace that doesn't close take one pass, each such brace one more.
+    """
+    core = f"regexp_extract({text}, '(?s)\\\\{{.*\\\\}}', 0)"
+    pieces = "transform(regexp_extract_all(c, '[^\\\\\\\\\"{}]*+[\\\\\\\\\"{}]', 0), x -> named_struct('mark', substring(x, -1, 1), 'n', cast(octet_length(x) as bigint)))"
+    mark, at = "x.mark", "a.p + x.n - 1"
+    free, plain = "a.s < 0", "not a.q"
+    closes = f"a.s >= 0 and {plain} and a.d = 1 and {mark} = '}}'"
+    opens = f"{free} and {mark} = '{{' and {at} >= a.f"
+    larger = f"{closes} and {better}"
+    escaped = "a.e and x.n = 1"
+    after = _fields(
+        p="a.p + x.n", f="a.f",
+        s=f"case when {opens} then {at} when {closes} then -1L else a.s end",
+        d=f"case when {free} or a.q then if({opens}, 1, a.d) when {mark} = '{{' then a.d + 1 when {mark} = '}}' then a.d - 1 else a.d end",
+        q=f"case when {free} then false when a.q then {escaped} or {mark} <> '\"' else {mark} = '\"' end",
+        e=f"a.s >= 0 and a.q and not ({escaped}) and {mark} = '\\\\'",
+        b=f"if({larger}, a.s, a.b)", n=f"if({larger}, {at} + 1 - a.s, a.n)",
+    )
+    fresh = _fields(p="0L", f="o.f", s="-1L", d="0", q="false", e="false", b="o.b", n="o.n")
+    ended = _fields(f="if(a.s < 0, -1L, a.s + 1)", b="a.b", n="a.n")
+    once = f"aggregate(ps, {fresh}, (a, x) -> {after}, a -> {ended})"
+    braces = f"slice(filter(ps, x -> x.mark = '{{'), 1, {tries})"
+    best = f"aggregate({braces}, {_fields(f='0L', b='-1L', n='0L')}, (o, y) -> if(o.f < 0, o, {once}))"
+    cut = f"transform(array({best}), z -> if(z.b < 0, null, cast(substring(cast(c as binary), cast(z.b + 1 as int), cast(z.n as int)) as string)))[0]"
+    return f"if(contains({text}, '{{'), transform(array({core}), c -> transform(array({pieces}), ps -> {cut})[0])[0], null)"
+
+
+def without_placeholders(block: str) -> str:
+    """``<...>`` and ``...`` outside quotes, and type words that stand for a value, become null."""
+    skipped = r'(?:[^"<.]++|"(?:[^"\\\\]++|\\\\.)*+(?:"|\\z)|<(?![^>]*>)|\\.(?!\\.\\.))*+'
+    marks = f"regexp_replace({block}, '(?s)\\\\G({skipped})(?:<[^>]*>|\\\\.\\\\.\\\\.)', '$1null')"
+    return f"regexp_replace({marks}, ': (?:{'|'.join(TYPE_WORDS)})(?=[,}} \\n])', ': null')"
 
 
-def parses(block: str) -> bool:
-    try:
-        json.loads(block, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return False
-    return True
+_STRICT = "'allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false'"
 
 
-SCHEMA_TYPE = T.StructType([T.StructField("present", T.BooleanType()), T.StructField("valid", T.BooleanType())])
+def parses(block: str) -> str:
+    """The text of an object is JSON as the standard has it (repeated keys pass; at most 1000 levels). ``block`` isn't null."""
+    return f"from_json({block}, '_bad string', map('columnNameOfCorruptRecord', '_bad', {_STRICT}))._bad is null"
 
 
-@F.pandas_udf(SCHEMA_TYPE)
-def schema_block(text: pd.Series) -> pd.DataFrame:
-    """Whether the text has a balanced {...}, and whether the largest one, placeholders aside, is JSON."""
-    blocks = [largest_block(t) if t and "{" in t else None for t in text]
-    return pd.DataFrame({"present": [b is not None for b in blocks], "valid": [b is not None and parses(without_placeholders(b)) for b in blocks]})
+def keys(block: str) -> str:
+    """The keys of the text of an object; null if it isn't JSON."""
+    return f"map_keys(from_json({block}, 'map<string, string>', map({_STRICT})))"
 
 
 def with_schema(df):
-    """``schema``: (present, valid, kind) of the text, and ``schema_score``."""
-    asks = F.expr("lc rlike 'json|valid object|schema'")
-    df = df.withColumn("_block", schema_block(F.when(F.col("text").contains("{"), F.col("text"))))  # other texts stay in the JVM
-    kind = F.when(F.col("_block.present") | asks, "json").otherwise("none")
-    df = df.withColumn("schema", F.struct(F.col("_block.present").alias("present"), F.col("_block.valid").alias("valid"), kind.alias("kind"))).drop("_block")
+    """``schema``: (present, valid, kind) of the text, and ``schema_score``. No step leaves the JVM."""
+    df = df.withColumn("_block", F.expr(largest_block("text")))
+    valid = f"_block is not null and {parses(without_placeholders('_block'))}"
+    kind = "if(_block is not null or lc rlike 'json|valid object|schema', 'json', 'none')"
+    df = df.withColumn("schema", F.expr(_fields(present="_block is not null", valid=valid, kind=kind))).drop("_block")
     s = F.col("schema")
     return df.withColumn("schema_score", F.when(s["valid"], 1.0).when(s["present"], 0.4).when(s["kind"] == "json", 0.0).otherwise(0.6))

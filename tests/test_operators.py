@@ -73,16 +73,6 @@ def test_sections(spark):
     assert [(s["kind"], s["content"]) for s in got[2]] == [("Task", "")]
 
 
-@pytest.mark.parametrize(
-    ("text", "block", "valid"),
-    [("x {} y", "{}", True), ('{"a": <n>, "b": [...]}', '{"a": <n>, "b": [...]}', True), ("{ a: 1 }", "{ a: 1 }", False), ('{"}": 1', None, None), ("{ {\"a\": string} ", '{"a": string}', True), ("{'a': NaN}", "{'a': NaN}", False)],
-)
-def test_schema(text, block, valid):
-    assert parse.largest_block(text) == block
-    if block:
-        assert parse.parses(parse.without_placeholders(block)) == valid
-
-
 def test_weights_and_rescore(spark):
     assert sum(score.weights().values()) == pytest.approx(1)
     df = spark.range(1).select(*(F.lit(1.0).alias(n) for n in score.NAMES))
