@@ -16,3 +16,14 @@ def test_diff_holds_a_piece_at_a_time():
         if a is not None:
             expected = compare.diff_lines(compare._lines(a), compare._lines(b))
             assert [(o["op"], o["text"]) for o in r["ops"]] == expected and r["markdown"] == compare.markdown(expected)
+
+
+def test_embedding_holds_a_piece_at_a_time():
+    from promptloom.operators import memory
+
+    texts = ["Some words, some words", None, "", *(f"word{i} word{i % 7}" for i in range(3000)), "long " * 500_000]
+    pieces = list(memory.hash_embed.func(iter([pa.array(texts)])))
+    assert len(pieces) > 2 and max(map(len, pieces)) <= 500
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert len(rows) == len(texts) and rows[1] is None and not any(rows[2])
+    assert all(abs(sum(x * x for x in r) - 1) < 1e-9 for r in rows[3:] if r)
