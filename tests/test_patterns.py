@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import lexicon as L
 from promptloom.functions import text as X
-from promptloom.functions.dialect import SPARK, apply, spelled
+from promptloom.functions.dialect import SPARK, apply, probe, spelled
 from promptloom.operators import compare, firewall, parse
 
 CLASSES = (
@@ -36,6 +36,28 @@ def test_entities_and_lower_case_against_models(spark):
     assert all(x.a == x.b and x.low == x.plain for x in df.collect())
 
 
+def test_words_are_looked_for_from_their_rarest_character_on(spark):
+    assert [probe(w) for w in ("example", "json", "table", "as a chatbot", "to", "{", "eat")] == ["xample", "json", "ble", "bot", "to", "{", "eat"]
+    assert "cast(lc as binary)" in SPARK.contains("lc", "table") and "translate" not in X.lower(SPARK, "text")
+    r = random.Random(5)
+    words = ("example", "table", "as a chatbot", "étape", "e", "{", "naïve x")
+    texts = [None, "", *("".join(r.choice((*words, "exampl", "xample", "bot", " ", "é", "\u4e00")) for _ in range(r.randrange(6))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in texts], "lc string").coalesce(1)
+    found = df.selectExpr("lc", *(f"{SPARK.contains('lc', w)} as c{i}" for i, w in enumerate(words)), f"{X.present(SPARK, words)} as p").collect()
+    for row in found:
+        assert list(row)[1:-1] == [None if row.lc is None else w in row.lc for w in words]
+        assert row.p == [w for w in words if w in (row.lc or "")]
+
+
+def test_long_texts_are_trimmed_like_short_ones(spark):
+    blanks = [chr(c) for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    texts = [None, "", "a", *(t for b in blanks for t in (b, b + "a", "a" + b, b + "a b" + b + b, "a" + b + "b"))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rows = df.selectExpr(f"{X.trim(SPARK, 'text')} as a", f"{X.trim(SPARK, 'text', long=True)} as b", f"{X.trim(SPARK, 'concat(text, text)', long=True)} as c", f"{X.trim(SPARK, 'concat(text, text)')} as d", f"{X.trim_end(SPARK, 'text')} as e", "text").collect()
+    blank = "".join(set(blanks) - {"\u200b", "\ufeff"})
+    assert all(r.a == r.b and r.c == r.d and r.e == (r.text and r.text.rstrip(blank)) for r in rows)
+
+
 def test_secrets_are_looked_for_only_where_a_shape_occurs(spark):
     texts = ["sk-12345678", "x SK_test_1", "a=ghp_12345", "AKIA1234", "asia1234", "ASIA1234", "the Canary12", "eyJhb.cde", "AIza12345", "xoxp-1234", "nothing here", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).withColumn("lc", F.expr(X.lower(SPARK, "text")))
