@@ -36,7 +36,7 @@ def test_entities_and_lower_case_against_models(spark):
     assert all(x.a == x.b and x.low == x.plain for x in df.collect())
 
 
-def test_words_are_looked_for_from_their_rarest_character_on(spark):
+def test_words_are_looked_for_in_the_bytes_of_a_text(spark):
     assert [probe(w) for w in ("example", "json", "table", "as a chatbot", "to", "{", "eat")] == ["xample", "json", "ble", "bot", "to", "{", "eat"]
     assert "cast(lc as binary)" in SPARK.contains("lc", "table") and "translate" not in X.lower(SPARK, "text")
     r = random.Random(5)
