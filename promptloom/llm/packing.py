@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,6 +22,8 @@ END_ID = 1
 DIMS, BITS, SEED, REPEATS = 4, 10, 20_240_229, 0.01
 #: Words whose ids a worker keeps, and their longest: longer ones hardly come again.
 KNOWN_WORDS, KNOWN_LENGTH = 400_000, 14
+#: Unknown words that are encoded at once.
+NEW_WORDS = 2000
 #: Letters, numbers and white space below U+0250, as the byte-level tokenizer splits words.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 _SPLIT = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -47,27 +50,72 @@ class Encoder:
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.known = _Known(self._ids)
+        self.known = _Known()
 
     def _ids(self, word: str) -> bytes:
-        return np.array(self.model.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.model.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words. A blank and letters end where the next blank begins, so such words are encoded as one text."""
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        made = {}
+        if plain:
+            got = self.model.encode("".join(plain), add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(np.array(got.word_ids), prepend=-1))
+            if len(cuts) == len(plain):
+                raw, ends = array("H", got.ids).tobytes(), [*(2 * cuts[1:]).tolist(), 2 * len(got.ids)]
+                made = {w: raw[i:j] for w, i, j in zip(plain, (2 * cuts).tolist(), ends, strict=True)}
+        made |= {w: self._ids(w) for w in words if w not in made}
+        for w, ids in made.items():
+            if len(w) <= KNOWN_LENGTH and len(self.known) < KNOWN_WORDS:  # first come: frequent words come early
+                self.known[w] = ids
+        return made
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Words that aren't known are noted, and encoded together whenever there are NEW_WORDS of them."""
+        out: list = []
+        waiting: list[tuple[int, list, list[str]]] = []  # number of a text, ids of its words (None: not known), its words that aren't known
+        noted = 0
+
+        def fill() -> None:
+            made = self._learn(list(dict.fromkeys(w for _, _, words in waiting for w in words)))
+            for at, ids, words in waiting:
+                i = -1
+                for w in words:
+                    i = ids.index(None, i + 1)
+                    ids[i] = made[w]
+                out[at] = b"".join(ids)
+            waiting.clear()
+
+        for text in texts:
+            if _HIGH.search(text) or any(a in text for a in self.added):
+                out.append(self._ids(text))
+                continue
+            self.known.new = new = []
+            ids = list(map(self.known.__getitem__, _SPLIT.findall(text)))
+            if not new:
+                out.append(b"".join(ids))
+                continue
+            waiting.append((len(out), ids, new))
+            out.append(None)
+            noted += len(new)
+            if noted >= NEW_WORDS:
+                fill()
+                noted = 0
+        fill()
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if _HIGH.search(text) or any(a in text for a in self.added):
-            return self._ids(text)
-        return b"".join(map(self.known.__getitem__, _SPLIT.findall(text)))
+        return self.many([text])[0]
 
 
 class _Known(dict):
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
+    """Ids of words; one that isn't there is noted in ``new`` and gives None."""
+
+    new: list[str]
 
-    def __missing__(self, word: str) -> bytes:
-        got = self.make(word)
-        if len(word) <= KNOWN_LENGTH and len(self) < KNOWN_WORDS:  # first come: frequent words come early
-            self[word] = got
-        return got
+    def __missing__(self, word: str) -> None:
+        self.new.append(word)
 
 
 @cache
@@ -78,8 +126,18 @@ def _encoder(path: str) -> Encoder:
 
 @cache
 def _directions() -> np.ndarray:
-    """A hashed vector component per token id, projected: a sign per id and dimension."""
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (1 << 16, DIMS))
+    """A hashed vector component per token id, projected: a sign per id and dimension. The dimensions' plus signs are 0 or 1 in 16 bits each of a number, so that one sum counts them all."""
+    plus = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (1 << 16, DIMS)) > 0
+    return (plus.astype(np.int64) << 16 * np.arange(DIMS)[::-1]).sum(1)
+
+
+def _sums(ids: np.ndarray) -> np.ndarray:
+    """The sum of the signs of the ids, by dimension; so many ids at once that no count takes more than 15 bits."""
+    total = np.zeros(DIMS, np.int64)
+    for at in range(0, len(ids), 1 << 14):
+        part = ids[at : at + (1 << 14)]
+        total += 2 * (int(_directions()[part].sum()) >> 16 * np.arange(DIMS)[::-1] & 0xFFFF) - len(part)
+    return total
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -110,7 +168,7 @@ def curve_keys(docs: list[np.ndarray]) -> np.ndarray:
     """The Hilbert keys of documents: their hashed token counts, scaled to about unit length, projected
     and squashed onto the grid. A text's count vector has the squared length n + REPEATS * n * n, roughly."""
     sizes = np.array([len(ids) for ids in docs], np.float64)
-    z = np.array([_directions()[ids].sum(0, dtype=np.int64) for ids in docs], np.float64).reshape(-1, DIMS)
+    z = np.array([_sums(ids) for ids in docs], np.float64).reshape(-1, DIMS)
     z /= np.sqrt(np.maximum(1, sizes + REPEATS * sizes * sizes))[:, None]
     return hilbert(np.minimum((1 << BITS) - 1, (1 << BITS) / (1 + np.exp(-1.7 * z))), BITS)
 
@@ -122,7 +180,7 @@ def _encode(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                raw = [encode(t or "") for t in part.column(1).to_pylist()]
+                raw = encode.many([t or "" for t in part.column(1).to_pylist()])
                 keys = curve_keys([np.frombuffer(r, "<u2") for r in raw])
                 sizes = pa.array([len(r) // 2 + 1 for r in raw], pa.int64())
                 yield pa.record_batch([part.column(0), part.column(2), part.column(3), pa.array(keys, pa.int64()), sizes, pa.array([r + end for r in raw], pa.binary())], names=["doc_id", "tie", "window", "key", "n", "ids"])

@@ -462,6 +462,20 @@ def test_hilbert_is_a_walk():
     assert np.abs(np.diff(walk, axis=0)).sum(1).max() == 1
 
 
+def test_unknown_words_are_encoded_together(monkeypatch):
+    """Words of several texts, repeated, too long to be kept, without a blank or beyond the letters; and sums of signs in one number."""
+    encoder = packing.Encoder(packing.tokenizer_path())
+    monkeypatch.setattr(packing, "NEW_WORDS", 7)
+    made = [" ".join(f"{a}{b}qu{a}" for b in "xyzéß") for a in ("ba", "ño", "incomprehensibilities", "K")]
+    docs = ["", *made, "x", made[0] + "\n\n tab\t12 it's  <|endoftext|> end", "中文 ba", "".join(made), " " + made[2] * 40, *made]
+    want = [encoder.model.encode(t, add_special_tokens=False).ids for t in docs]
+    assert [np.frombuffer(r, "<u2").tolist() for r in encoder.many(docs)] == want
+    assert [np.frombuffer(r, "<u2").tolist() for r in encoder.many(docs)] == want and max(map(len, encoder.known)) <= packing.KNOWN_LENGTH
+    signs = np.random.default_rng(packing.SEED).choice(np.array([-1, 1], np.int8), (1 << 16, packing.DIMS))
+    for ids in (np.zeros(0, np.uint16), np.full(70_000, 5, np.uint16), np.arange(1 << 16, dtype=np.uint16)):
+        assert packing._sums(ids).tolist() == signs[ids].sum(0, dtype=np.int64).tolist()
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
