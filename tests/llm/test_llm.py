@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -123,6 +124,55 @@ def test_neardup_long_lists(spark, texts, monkeypatch):
     assert rows(neardup.jaccard_groups(documents(spark, texts)), "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute_groups(texts), key=repr)
 
 
+def test_neardup_writes_no_sets(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [prose(rng, 4000) for _ in range(60)]
+    texts += [t + " tail" for t in texts[:5]]
+    kept, wrote = common.staged, {}
+
+    def staged(df, tag, path=None):
+        out = kept(df, tag, path)
+        wrote[tag] = max(wrote.get(tag, 0), sum(Path(f.removeprefix("file:")).stat().st_size for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "staged", staged)
+    groups = neardup.jaccard_groups(documents(spark, texts)).groupBy("component_id").count().where("count > 1").collect()
+    assert sorted((r[0], r[1]) for r in groups) == [(i, 2) for i in range(5)]
+    assert wrote["sets"] < sum(8 * (len(t.split()) - 4) for t in texts) / 3  # 64-bit hashes don't compress
+
+
+@pytest.mark.parametrize("bits", [6, 24])
+def test_neardup_shuffled(spark, texts, monkeypatch, bits):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    ids = [None if i % 9 == 0 else i // 2 for i in range(3 * len(texts))]
+    docs = documents(spark, texts * 3, ids)
+    kept = rows(neardup.one_of_each_group(docs), "doc_id", "text")
+    gone = {(r["_gone"], r["_key"]) for r in _judged(docs) if not r["stays"]} - {(r["_gone"], r["_key"]) for r in _judged(docs) if r["stays"]}
+    key = lambda i, t: (i, t is not None and hashlib.sha256(t.encode()).digest())
+    assert kept == sorted(((i, t) for i, t in zip(ids, texts * 3, strict=True) if key(i, t) not in gone), key=repr)
+    got = rows(neardup.jaccard_groups(documents(spark, texts)), "doc_id", "n_shingles", "component_id", "n_links")
+    assert got == sorted(brute_groups(texts), key=repr)
+
+
+def _judged(docs):
+    found = neardup._grouped(docs).where("n > 0").collect()
+    return [{"_gone": r["doc_id"], "_key": bytes(r["text_key"]), "stays": r["rid"] == r["top_rid"]} for r in found]
+
+
+def test_may_have(spark):
+    keys = spark.createDataFrame([(1,), (None,), (300,)], "x long")
+    for bits in (6, 24):
+        common.FILTER_BITS, was = bits, common.FILTER_BITS
+        try:
+            got = {r["i"]: r["_may"] for r in common.may_have(spark.createDataFrame([(i,) for i in [None, *range(1000)]], "i long"), ["i"], keys).collect()}
+        finally:
+            common.FILTER_BITS = was
+        assert len(got) == 1001 and got[1] and got[None] and got[300]
+        assert bits < 24 or sum(got.values()) == 3
+    assert not common.may_have(spark.range(5), ["id"], keys.where("false")).where("_may").count()
+
+
 def test_neardup_edges(spark):
     base = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     odd = ["x y", "x y", "x y", None, base, base + " 1", base + " 2", "other words than those of the rest"]
